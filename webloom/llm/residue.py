@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.boilerplate import BYLINE, OWN, difference_pages, judge_lines
-from webloom.llm.lines import key64, squeeze, template
+from webloom.llm.lines import squeeze
 from webloom.session import materialize
 
 MIN_HOSTS = 3
@@ -145,5 +145,3 @@ def _title_only(batches):
         rows = [s for s, t in zip(batch.column("seq").to_pylist(), batch.column("title").to_pylist()) if t and has_open_slot(t)]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(["open slot"] * len(rows), pa.string())], names=["seq", "kind"])
 
-
-__all__ = ["find_residue", "has_open_slot", "key64", "line_residue", "residue", "template"]
