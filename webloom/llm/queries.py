@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import boilerplate, residue, stuffing
+from webloom.llm import boilerplate, repeated_lines, residue, stuffing
 from webloom.session import table
 
 
@@ -20,6 +20,14 @@ def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.clean_pages(table(spark, d, "docs"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines.repeated_lines(table(spark, d, "docs"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines.cut_repeated(table(spark, d, "docs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "docs")).select("seq")
 
@@ -31,8 +39,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_main_text": p3_main_text,
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p7_found": p7_found,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Lines equal after lower-casing, trimming, reducing white space and digit runs.
+P5_SQL = """WITH d AS (SELECT seq, coalesce(host,'') AS host, coalesce(url,'') AS url, string_split(body, chr(10)) AS ls FROM docs WHERE body IS NOT NULL),
+x AS (SELECT seq, host, url, unnest(ls) AS l, unnest(range(1, len(ls) + 1))::BIGINT AS line_no FROM d),
+k AS (SELECT seq, host, url, line_no, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[\\s\\x0b\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g')) AS k FROM x),
+n AS (SELECT coalesce(host,'') AS host, count(DISTINCT coalesce(url,'')) AS n FROM docs GROUP BY 1),
+r AS (SELECT host, k FROM k WHERE k <> '' GROUP BY 1, 2 HAVING count(DISTINCT url) >= 5
+  AND count(DISTINCT url) >= 0.05 * (SELECT n FROM n WHERE n.host = k.host))
+SELECT seq, line_no FROM k JOIN r USING (host, k)"""
+
+ORACLE_SQL: dict[str, str] = {"p5_found": P5_SQL}

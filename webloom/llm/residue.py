@@ -71,6 +71,7 @@ _MESSAGE = re.compile(
 )
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|(?<=[。！？])")
 _FILLER = re.compile(r"\b(?:lorem|ipsum)\b", re.I)
+_DIGIT = re.compile("[0-9]")
 _PLAIN = re.compile(r"\b(?:the|and|of|in|is|der|die|und|le|les|et|los|que|para)\b", re.I)
 SLOTTED, MESSAGE, FILLER = 1, 2, 4
 
@@ -105,6 +106,8 @@ def words_are_filler(s: str) -> bool:
 def residue(title: str, lines: list[str], bits: list[int]) -> list[int]:
     """Per line: residue flags, and from bit 8 the line's length up to a limit."""
     out = [line_residue(x) | min(len(x), 1 << 16) << 8 for x in lines]
+    if any(x & FILLER for x in out):  # the rest of a filler page need not repeat its two best-known words
+        out = [x | FILLER if s.isascii() and s.count(" ") >= 3 and not _PLAIN.search(s) and not _DIGIT.search(s) else x for x, s in zip(out, lines)]
     if title and has_open_slot(title):
         out = [x | SLOTTED for x in out]
     return out
