@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import boilerplate, repeated_lines, residue, stuffing
+from webloom.llm import boilerplate, repeated_lines, residue, stuffing, toxic
 from webloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    scored = toxic.score_pages(table(spark, d, "docs"), table(spark, d, "review_labels"))
+    return scored.where("is_toxic").select("seq")
+
+
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxic.score_pages(table(spark, d, "docs"), table(spark, d, "review_labels"))
+
+
+def p1_host_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxic.host_rates(p1_scores(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     gone = F.explode(F.filter(F.arrays_zip("line_no", "gone"), lambda x: x["gone"])).alias("x")
     return boilerplate.judged_pages(table(spark, d, "docs")).select("seq", gone).select("seq", F.col("x.line_no").cast("long").alias("line_no"))
@@ -37,6 +50,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_scores": p1_scores,
+    "p1_host_rates": p1_host_rates,
     "p3_found": p3_found,
     "p3_main_text": p3_main_text,
     "p5_found": p5_found,
