@@ -112,13 +112,13 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 Feature = Callable[[str, list[str], list[int]], list[int]]
 
 
-def _differ(feature: Feature | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: list[tuple[str, list[int], int]] = []
         known: dict[str, tuple[int, int]] = {}
         as_usual: dict[str, int] = {}  # a line set in capitals takes the key of the same line set as usual
         for batch in batches:
-            keys_out, bits_out, extra_out = [], [], []
+            keys_out, bits_out, extra_out = [], [], [[] for _ in features]
             for url, title, body in zip(*(batch.column(c).to_pylist() for c in ("url", "title", "body"))):
                 keys, bits, title, lines = [], [], squeeze(title or ""), body.split("\n")
                 for line in lines:
@@ -135,7 +135,8 @@ def _differ(feature: Feature | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
                                 as_usual[_DIGITS.sub("0", s.lower())] = kb[0]
                     keys.append(kb[0])
                     bits.append(kb[1] | OWN if kb[1] & TITLE and title and title.startswith(squeeze(line)) else kb[1])
-                extra_out.append(feature(title, lines, bits) if feature else [0] * len(lines))
+                for out, feature in zip(extra_out, features):
+                    out.append(feature(title, lines, bits))
                 filled = len(keys) - keys.count(0)
                 for other, theirs, n in recent:
                     if other == url:
@@ -156,11 +157,9 @@ def _differ(feature: Feature | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 recent = [r for r in recent if r[0] != url][-NEIGHBOURS + 1 :] + [(url, keys, filled)]
                 keys_out.append(keys)
                 bits_out.append(bits)
-            extra = pa.array(extra_out, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("seq"), pa.array(keys_out, pa.list_(pa.int64())), pa.array(bits_out, pa.list_(pa.int8())), extra],
-                names=["seq", "keys", "bits", "extra"],
-            )
+            arrays = [batch.column("seq"), pa.array(keys_out, pa.list_(pa.int64())), pa.array(bits_out, pa.list_(pa.int8()))]
+            arrays += [pa.array(x, pa.list_(pa.int64())) for x in extra_out]
+            yield pa.RecordBatch.from_arrays(arrays, names=["seq", "keys", "bits", *(f"extra{i}" for i in range(len(features)))])
 
     return difference
 
@@ -175,9 +174,10 @@ def page_order(docs: DataFrame) -> DataFrame:
     return pages.repartitionByRange("_host", "_path", "seq").sortWithinPartitions("_host", "_path", "seq").select("seq", "url", "title", "body")
 
 
-def difference_pages(docs: DataFrame, feature: Feature | None = None) -> DataFrame:
-    """(seq, keys, bits, extra): key, shape/shared bits and feature of each line of each page."""
-    return page_order(docs).mapInArrow(_differ(feature), "seq long, keys array<long>, bits array<tinyint>, extra array<long>")
+def difference_pages(docs: DataFrame, *features: Feature) -> DataFrame:
+    """(seq, keys, bits, extra0, ...): key, shape/shared bits and features of each line of each page."""
+    extras = "".join(f", extra{i} array<long>" for i in range(len(features)))
+    return page_order(docs).mapInArrow(_differ(features), f"seq long, keys array<long>, bits array<tinyint>{extras}")
 
 
 def furniture_templates(lines: DataFrame) -> DataFrame:
@@ -195,44 +195,49 @@ def furniture_templates(lines: DataFrame) -> DataFrame:
     )
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for rows in batch.column("rows").to_pylist():
-            rows.sort(key=lambda r: r["line_no"])
-            gone, run = [], False
-            for i, r in enumerate(rows):
-                bits, kind = r["bits"], r["kind"]
-                if kind or (bits & CAPS and bits & SHARED and not bits & BYLINE):
-                    gone.append(True)
-                    run = kind == 2
-                    continue
-                run = run and bool(bits & TITLE) and not bits & (BYLINE | OWN) and not (i + 1 < len(rows) and rows[i + 1]["bits"] & BYLINE)
-                gone.append(run)
-            for c, v in zip(cols, ([r["line_no"] for r in rows], gone, [r["key"] for r in rows], [r["bits"] for r in rows], [r["extra"] for r in rows])):
-                c.append(v)
-        kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int8(), pa.int64())
-        arrays = [batch.column("seq"), *(pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["seq", "line_no", "gone", "keys", "bits", "extra"])
+def _mark(extras: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["line_no", "gone", "keys", "bits", *extras]
+    kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int8(), *(pa.int64() for _ in extras)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in names]
+            for rows in batch.column("rows").to_pylist():
+                rows.sort(key=lambda r: r["line_no"])
+                run = False
+                for i, r in enumerate(rows):
+                    bits, kind = r["bits"], r["kind"]
+                    if kind or (bits & CAPS and bits & SHARED and not bits & BYLINE):
+                        r["gone"], run = True, kind == 2
+                        continue
+                    run = run and bool(bits & TITLE) and not bits & (BYLINE | OWN) and not (i + 1 < len(rows) and rows[i + 1]["bits"] & BYLINE)
+                    r["gone"] = run
+                for c, name in zip(cols, names):
+                    c.append([r[name] for r in rows])
+            arrays = [batch.column("seq"), *(pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["seq", *names])
+
+    return mark
 
 
 def judge_lines(lines: DataFrame) -> DataFrame:
-    """(seq, line_no, gone, keys, bits, extra): the non-blank lines of each page in order; ``gone`` marks furniture.
+    """(seq, line_no, gone, keys, bits, extra0, ...): the non-blank lines of each page in order; ``gone`` marks furniture.
 
     ``lines`` is read twice: pass a materialised result of :func:`difference_pages`.
     """
-    each = lines.select("seq", F.posexplode(F.arrays_zip("keys", "bits", "extra")).alias("pos", "x")).where("x.keys != 0")
-    each = each.select("seq", (F.col("pos") + 1).alias("line_no"), F.col("x.keys").alias("key"), F.col("x.bits").alias("bits"), F.col("x.extra").alias("extra"))
-    kinds = furniture_templates(lines).select("key", F.when(F.col("heading"), 2).otherwise(1).alias("kind"))
-    row = F.struct("line_no", "key", "bits", "extra", F.coalesce("kind", F.lit(0)).alias("kind"))
-    marked = each.join(kinds, "key", "left").select("seq", row.alias("r"))
-    schema = "seq long, line_no array<int>, gone array<boolean>, keys array<long>, bits array<tinyint>, extra array<long>"
-    return marked.groupBy("seq").agg(F.collect_list("r").alias("rows")).mapInArrow(_mark, schema)
+    extras = [c for c in lines.columns if c.startswith("extra")]
+    each = lines.select("seq", F.posexplode(F.arrays_zip("keys", "bits", *extras)).alias("pos", "x")).where("x.keys != 0")
+    each = each.select("seq", (F.col("pos") + 1).alias("line_no"), "x.*")
+    kinds = furniture_templates(lines).select(F.col("key").alias("keys"), F.when(F.col("heading"), 2).otherwise(1).alias("kind"))
+    row = F.struct("line_no", "keys", "bits", *extras, F.coalesce("kind", F.lit(0)).alias("kind"))
+    marked = each.join(kinds, "keys", "left").select("seq", row.alias("r"))
+    schema = "seq long, line_no array<int>, gone array<boolean>, keys array<long>, bits array<tinyint>" + "".join(f", {c} array<long>" for c in extras)
+    return marked.groupBy("seq").agg(F.collect_list("r").alias("rows")).mapInArrow(_mark(extras), schema)
 
 
-def judged_pages(docs: DataFrame, feature: Feature | None = None) -> DataFrame:
+def judged_pages(docs: DataFrame, *features: Feature) -> DataFrame:
     """:func:`difference_pages` and :func:`judge_lines` in one."""
-    return judge_lines(materialize(difference_pages(docs, feature), "lines"))
+    return judge_lines(materialize(difference_pages(docs, *features), "lines"))
 
 
 def furniture(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import boilerplate, repeated_lines, residue, stuffing, toxic
+from webloom.llm import boilerplate, language, repeated_lines, residue, stuffing, toxic
 from webloom.session import table
 
 
@@ -33,6 +33,18 @@ def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.clean_pages(table(spark, d, "docs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "docs")
+    judged = language.judged_languages(docs, residue.residue, stuffing.stuffing)
+    judged = stuffing.judge(residue.judge(judged, "extra1"), "extra2")
+    kept = judged.where(~F.col("slotted") & ~(F.col("has_own") & F.col("all_message")) & ~F.col("is_spam"))
+    return language.relabel(docs, language.page_languages(kept, "extra0"))
+
+
+def p4_passages(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_passages(table(spark, d, "docs"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "docs"))
 
@@ -55,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_host_rates": p1_host_rates,
     "p3_found": p3_found,
     "p3_main_text": p3_main_text,
+    "p4_found": p4_found,
+    "p4_passages": p4_passages,
     "p5_found": p5_found,
     "p5_clean": p5_clean,
     "p6_found": p6_found,

@@ -24,7 +24,9 @@ without any text are no cases; repeated rows give repeated answers.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,37 +115,34 @@ def residue(title: str, lines: list[str], bits: list[int]) -> list[int]:
     return out
 
 
+def judge(pages: DataFrame, extra: str = "extra0") -> DataFrame:
+    """(..., slotted, has_own, all_message, size, skeleton) from judged pages whose column ``extra`` holds :func:`residue`."""
+    own = F.filter(F.arrays_zip("gone", "keys", "bits", extra), lambda x: ~x["gone"] & (x["bits"].bitwiseAND(BYLINE | OWN) == 0))
+    judged = pages.withColumn("slotted", F.exists(extra, lambda e: e.bitwiseAND(SLOTTED) != 0)).withColumn("_own", own)
+    return judged.select(
+        "*",
+        (F.size("_own") > 0).alias("has_own"),
+        F.forall("_own", lambda x: x[extra].bitwiseAND(MESSAGE | FILLER) != 0).alias("all_message"),
+        F.aggregate("_own", F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x[extra], 8)).alias("size"),
+        F.xxhash64(F.transform("_own", lambda x: x["keys"])).alias("skeleton"),
+    ).drop("_own")
+
+
 def find_residue(docs: DataFrame) -> DataFrame:
     """(seq, kind): pages with an open slot, or with nothing but messages or filler."""
-    lines = materialize(difference_pages(docs, residue), "residue")
-    own = F.filter(F.arrays_zip("gone", "keys", "bits", "extra"), lambda x: ~x["gone"] & (x["bits"].bitwiseAND(BYLINE | OWN) == 0))
-    flag = lambda x, f: x["extra"].bitwiseAND(f) != 0
-    pages = judge_lines(lines).select(
-        "seq",
-        F.exists("extra", lambda e: e.bitwiseAND(SLOTTED) != 0).alias("slotted"),
-        own.alias("own"),
-    ).select(
-        "seq",
-        "slotted",
-        (F.size("own") > 0).alias("has_own"),
-        F.forall("own", lambda x: flag(x, MESSAGE | FILLER)).alias("all_message"),
-        F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x["extra"], 8)).alias("size"),
-        F.xxhash64(F.transform("own", lambda x: x["keys"])).alias("skeleton"),
-    )
-    pages = materialize(pages, "residue-pages")
+    judged = judge(judge_lines(materialize(difference_pages(docs, residue), "residue")))
+    pages = materialize(judged.select("seq", "slotted", "has_own", "all_message", "size", "skeleton"), "residue-pages")
     host = F.rtrim(F.lower(F.coalesce("host", F.lit(""))), F.lit("."))
     short = pages.where(F.col("has_own") & (F.col("size") <= MAX_SHORT) & ~F.col("all_message") & ~F.col("slotted")).select("seq", "skeleton")
     on_hosts = short.join(docs.select("seq", host.alias("host")), "seq").select("skeleton", "host").distinct().groupBy("skeleton").count()
     repeated = short.join(on_hosts.where(F.col("count") >= MIN_HOSTS), "skeleton").select("seq", F.lit("repeated page").alias("kind"))
     kind = F.when(F.col("slotted"), "open slot").when(F.col("has_own") & F.col("all_message"), "message or filler")
-    slots = docs.where(F.length(F.trim(F.coalesce("body", F.lit("")))) == 0).select("seq", "title")
-    title_only = slots.where(F.col("title").rlike(r"[{\[%<@_#&]")).mapInArrow(_title_only, "seq long, kind string")
+    untexted = docs.where(F.length(F.trim(F.coalesce("body", F.lit("")))) == 0).select("seq", "title")
+    title_only = untexted.where(F.col("title").rlike(r"[{\[%<@_#&]")).mapInArrow(_title_only, "seq long, kind string")
     return pages.select("seq", kind.alias("kind")).where("kind is not null").unionByName(repeated).unionByName(title_only)
 
 
-def _title_only(batches):
-    import pyarrow as pa
-
+def _title_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [s for s, t in zip(batch.column("seq").to_pylist(), batch.column("title").to_pylist()) if t and has_open_slot(t)]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(["open slot"] * len(rows), pa.string())], names=["seq", "kind"])

@@ -136,11 +136,14 @@ def stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
     return out
 
 
+def judge(pages: DataFrame, extra: str = "extra0") -> DataFrame:
+    """(..., stuffed, honest, is_spam) from judged pages whose column ``extra`` holds :func:`stuffing`."""
+    own = F.filter(F.arrays_zip("gone", extra), lambda x: ~x["gone"])
+    total = lambda f: F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + f(x[extra]))
+    sums = pages.withColumn("stuffed", total(lambda v: F.shiftright(v, 20))).withColumn("honest", total(lambda v: v.bitwiseAND((1 << 20) - 1)))
+    return sums.withColumn("is_spam", (F.col("stuffed") > F.col("honest")) & (F.col("stuffed") >= MIN_STUFFED))
+
+
 def score_pages(docs: DataFrame) -> DataFrame:
     """(seq, stuffed, honest, is_spam) of every page with text, in characters of its own lines."""
-    own = F.filter(F.arrays_zip("gone", "extra"), lambda x: ~x["gone"])
-    total = lambda f: F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + f(x["extra"]))
-    scored = judged_pages(docs, stuffing).select(
-        "seq", total(lambda v: F.shiftright(v, 20)).alias("stuffed"), total(lambda v: v.bitwiseAND((1 << 20) - 1)).alias("honest")
-    )
-    return scored.withColumn("is_spam", (F.col("stuffed") > F.col("honest")) & (F.col("stuffed") >= MIN_STUFFED))
+    return judge(judged_pages(docs, stuffing)).select("seq", "stuffed", "honest", "is_spam")
