@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import boilerplate, language, repeated_lines, residue, stuffing, toxic
+from webloom.llm import boilerplate, language, mixing, packing, repeated_lines, residue, sentences, stuffing, toxic
+from webloom.llm.tokens import with_tokens
 from webloom.session import table
 
 
@@ -61,6 +62,30 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.score_pages(table(spark, d, "docs")).where("is_spam").select("seq")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(with_tokens(table(spark, d, "documents"), ["doc_id"]), table(spark, d, "pack_limits"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(p8_containers(spark, d), table(spark, d, "pack_limits"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(with_tokens(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "end_pos")
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
@@ -73,6 +98,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_sentences": p10_sentences,
 }
 
 #: Lines equal after lower-casing, trimming, reducing white space and digit runs.

@@ -24,6 +24,7 @@ repeated answers; null titles count as empty.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,40 @@ _NEUTRAL = re.compile(r"^(?:[0-9]+(?:[.,/][0-9]+)? ?\w{1,3}\s|\[[0-9]+\]|[0-9]+[
 
 
 def repeated_cover(tokens: list[str]) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """Per token 1 if a repeated substring covers it; the repeated substrings as (times, length, last position)."""
+    """Per token 1 if a repeated substring covers it; the repeated substrings as (times, length, last position).
+
+    A substring of ``MIN_TIMES`` occurrences holds no token of fewer, so the
+    automaton is built over the runs of frequent tokens, kept apart by marks.
+    """
+    times = Counter(tokens)
+    kept: list[int] = []
+    place: list[int] = []
+    ids: dict[str, int] = {}
+    i, total = 0, len(tokens)
+    while i < total:
+        if times[tokens[i]] < MIN_TIMES:
+            i += 1
+            continue
+        j = i + 1
+        while j < total and times[tokens[j]] >= MIN_TIMES:
+            j += 1
+        if j - i > 1:
+            kept.extend(ids.setdefault(t, len(ids)) for t in tokens[i:j])
+            kept.append(-1 - i)
+            place.extend(range(i, j + 1))
+        i = j
+    cover = [0] * total
+    if not kept:
+        return cover, []
+    flags, repeats = _automaton(kept)
+    for at, c in zip(place, flags):
+        if c:
+            cover[at] = 1
+    return cover, [(k, ln, place[e]) for k, ln, e in repeats]
+
+
+def _automaton(tokens: list[int]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Cover flags and repeated substrings of the marked token sequence."""
     n = len(tokens)
     nxt: list[dict] = [{}]
     link, length, end, count = [-1], [0], [-1], [0]
