@@ -2,60 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from webloom.plans import frontiers, rollups, searches, streams, urls  # noqa: F401  (they register themselves)
+from webloom.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from webloom.operators.tree import host_totals, hot_hosts
-from webloom.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-HOST_SQL = "rtrim(lower(trim(coalesce(host,''))), '.')"
-
-
-@query(
-    "top_hosts",
-    f"""WITH d AS (SELECT DISTINCT seq, sec, host, ok, bytes FROM fetch_log)
-SELECT {HOST_SQL} AS host, count(*)::BIGINT AS pages, sum(bytes)::BIGINT AS bytes FROM d WHERE ok
-GROUP BY 1 ORDER BY pages DESC, host LIMIT 25""",
-)
-def top_hosts(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "fetch_log").select("seq", "sec", "host", "ok", "bytes").distinct().where("ok")
-    host = F.rtrim(F.lower(F.trim(F.coalesce("host", F.lit("")))), F.lit("."))
-    return log.groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.sum("bytes").alias("bytes")).orderBy(F.desc("pages"), "host").limit(25)
-
-
-@query(
-    "p2_found",
-    f"""WITH d AS (SELECT DISTINCT batch, {HOST_SQL} AS host FROM hosts),
-n AS (SELECT host, count(*) AS n FROM d GROUP BY 1), t AS (SELECT sum(n) AS total FROM n)
-SELECT host FROM n, t WHERE n >= 0.02 * total""",
-)
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return hot_hosts(table(spark, d, "hosts")).select("host")
-
-
-@query(
-    "p2_host_totals",
-    f"""WITH d AS (SELECT batch, {HOST_SQL} AS host, max(pages) AS pages, max(errors) AS errors, max(bytes) AS bytes,
-min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM hosts GROUP BY 1, 2)
-SELECT host, count(*)::BIGINT AS batches, sum(pages)::BIGINT AS pages, sum(errors)::BIGINT AS errors, sum(bytes)::BIGINT AS bytes,
-min(first_seen)::BIGINT AS first_seen, max(last_seen)::BIGINT AS last_seen FROM d GROUP BY 1""",
-)
-def p2_host_totals(spark: SparkSession, d: str) -> DataFrame:
-    return host_totals(table(spark, d, "hosts"))
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
     } | extra
