@@ -71,6 +71,7 @@ SEEDS = {
     "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ คนทุกคนมีสิทธิในการดำรงชีวิต เสรีภาพ และความมั่นคงแห่งตัวตน",
 }
 
+_CACHE_SENTENCES = 30_000
 _SENTENCE = re.compile(r"(?<=[.!?…।؟])[\"'”’»)\]]*\s+(?=\S)|(?<=[。！？])(?![」』”）])|(?<=[。！？][」』”）])(?![との])|(?<=[฀-๿])\s+(?=[฀-๿])|\n")
 _THAI = re.compile(r"[฀-๿]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -139,7 +140,10 @@ class Trees:
                 want = key[left_k] & np.uint64((1 << 8 * (k + 1)) - 1)
                 at = np.minimum(np.searchsorted(self.grams[k], want), len(self.grams[k]) - 1)
                 hit = self.grams[k][at] == want
-                bits[left_k[hit]] += self.costs[k][at[hit]]
+                if k == ORDER:
+                    bits[left_k[hit]] = self.costs[k][at[hit]]
+                else:
+                    bits[left_k[hit]] += self.costs[k][at[hit]]
                 missed = left_k[~hit]
                 if len(missed):
                     ctx = want[~hit] >> np.uint64(8)
@@ -180,13 +184,23 @@ def confidence(bits: np.ndarray) -> np.ndarray:
 def language_feature(trees: Broadcast) -> Feature:
     """Per line: whole sentences of each language (5 bits each), the line's language (4 bits) above them."""
 
+    known: dict[str, np.ndarray] = {}
+
     def feature(title: str, lines: list[str], bits: list[int]) -> list[int]:
         units = [(i, s) for i, line in enumerate(lines) for s in sentences(line) if _LETTER.search(s)]
         out = [0] * len(lines)
         if not units:
             return out
         lengths = np.array([len(s.encode()) for _, s in units])
-        langs = decide(trees.value.code_lengths([s for _, s in units]), lengths)
+        rows: list[np.ndarray | None] = [known.get(s) for _, s in units]
+        if new := [n for n, r in enumerate(rows) if r is None]:
+            if len(known) > _CACHE_SENTENCES:
+                known.clear()
+            for n, r in zip(new, trees.value.code_lengths([units[n][1] for n in new])):
+                rows[n] = r
+                if lengths[n] <= 100:
+                    known[units[n][1]] = r
+        langs = decide(np.array(rows), lengths)
         longest: dict[int, int] = {}
         for (i, s), lang in zip(units, langs.tolist()):
             if is_whole(s) and not (bits[i] & BYLINE) and (out[i] >> 5 * lang) & 31 < 31:

@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import accumulate
+from operator import mul
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,8 @@ PHRASE_RATE = 0.4
 MIN_COVER = 0.6
 MIN_STUFFED = 40
 
-_TOKEN = re.compile(r"[^\W\d_぀-ヿ㐀-鿿฀-๿]+|[0-9]+|[぀-ヿ㐀-鿿]|[฀-๿]{1,4}|[#|]")
+_DIGITS = re.compile("[0-9]+")
+_TOKEN = re.compile(r"\x00|[^\W\d_぀-ヿ㐀-鿿฀-๿]+|[0-9]+|[぀-ヿ㐀-鿿]|[฀-๿]{1,4}|[#|]")
 _BREAK = re.compile(r"(?<=[.!?…。！？।؟])[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
 _LINKS = re.compile(r"https?://|www\.|\.(?:com|net|org|example)\b|(?:^|[\s,;])#\w|\bSKU\b|[|;•]\s|_\w+_")
 _THAI = re.compile(r"[\u0e00-\u0e7f]{12}")
@@ -55,15 +58,15 @@ def repeated_cover(tokens: list[str]) -> tuple[list[int], list[tuple[int, int, i
     place: list[int] = []
     ids: dict[str, int] = {}
     i, total = 0, len(tokens)
+    often = [times[t] >= MIN_TIMES for t in tokens]
+    often.append(False)
     while i < total:
-        if times[tokens[i]] < MIN_TIMES:
+        if not often[i]:
             i += 1
             continue
-        j = i + 1
-        while j < total and times[tokens[j]] >= MIN_TIMES:
-            j += 1
+        j = often.index(False, i)
         if j - i > 1:
-            kept.extend(ids.setdefault(t, len(ids)) for t in tokens[i:j])
+            kept.extend([ids.setdefault(t, len(ids)) for t in tokens[i:j]])
             kept.append(-1 - i)
             place.extend(range(i, j + 1))
         i = j
@@ -134,36 +137,45 @@ def stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
     for i, line in enumerate(lines):
         if bits[i] & (BYLINE | OWN):
             continue
-        segments.extend((i, s) for s in (_BREAK.split(line) if len(line) > 60 else (line,)) if s and s.strip())
+        if len(line) > 60:
+            segments.extend((i, s) for s in _BREAK.split(line) if s and not s.isspace())
+        elif line and not line.isspace():
+            segments.append((i, line))
     tokens: list[str] = []
-    bounds, widths = [], []
-    for _, s in segments:
-        found = _TOKEN.findall(s.lower())
-        start = len(tokens)
-        tokens.extend(found)
-        bounds.append((start, len(tokens)))
-    widths = [len(t) for t in tokens]
-    cover, repeats = repeated_cover(["0" if t.isdigit() else t for t in tokens])
+    bounds = [0]
+    for t in _TOKEN.findall(_DIGITS.sub("0", "\x00".join([s for _, s in segments]).lower())):
+        if t == "\x00":
+            bounds.append(len(tokens))
+        else:
+            tokens.append(t)
+    bounds.append(len(tokens))
+    widths = list(map(len, tokens))
+    cover, repeats = repeated_cover(tokens)
+    upto = [0, *accumulate(widths)]
+    covered_upto = [0, *accumulate(map(mul, widths, cover))]
     need = max(MIN_TIMES + 1, PHRASE_RATE * len(segments))
-    phrase = [0] * len(tokens)
-    best = max(((times * sum(widths[e - ln + 1 : e + 1]), ln, e) for times, ln, e in repeats if times >= need), default=None)
+    best = max(((times * (upto[e + 1] - upto[e - ln + 1]), ln, e) for times, ln, e in repeats if times >= need), default=None)
+    phrase_upto = None
     if best:
         words = tokens[best[2] - best[1] + 1 : best[2] + 1]
-        first, k = words[0], len(words)
-        for i in range(len(tokens) - k + 1):
-            if tokens[i] == first and tokens[i : i + k] == words:
+        first, k, phrase = words[0], len(words), [0] * len(tokens)
+        for i, t in enumerate(tokens):
+            if t == first and tokens[i : i + k] == words:
                 phrase[i : i + k] = [1] * k
+        phrase_upto = [0, *accumulate(map(mul, widths, phrase))]
     out = [0] * len(lines)
-    for (i, s), (a, b) in zip(segments, bounds):
-        size = sum(widths[a:b])
+    for n, (i, s) in enumerate(segments):
+        a, b = bounds[n], bounds[n + 1]
+        size = upto[b] - upto[a]
         if not size:
             continue
-        covered = sum(w for w, c in zip(widths[a:b], cover[a:b]) if c) / size
-        on_phrase = sum(w for w, c in zip(widths[a:b], phrase[a:b]) if c) / size
+        covered = (covered_upto[b] - covered_upto[a]) / size
+        on_phrase = (phrase_upto[b] - phrase_upto[a]) / size if phrase_upto else 0.0
         tail = s.rstrip().rstrip(CLOSERS)
-        marked = bool(tail) and (tail[-1] in END_MARKS or _THAI.search(s) is not None)  # Thai has no end marks
-        clause = marked and b - a >= 3 and not (_LINKS.search(s) and covered > 0.3)
-        if on_phrase >= 0.25 or (not clause and covered >= MIN_COVER and not _NEUTRAL.match(s)) or (_LINKS.search(s) and not clause):
+        clause = bool(tail) and b - a >= 3 and (tail[-1] in END_MARKS or _THAI.search(s) is not None)  # Thai has no end marks
+        links = (not clause or covered > 0.3) and _LINKS.search(s) is not None
+        clause = clause and not links
+        if on_phrase >= 0.25 or (not clause and (links or (covered >= MIN_COVER and not _NEUTRAL.match(s)))):
             out[i] += min(size, (1 << 20) - 1) << 20
         elif clause:
             out[i] += size
