@@ -107,9 +107,10 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-#: Optional per-line feature of an operator built on page differencing: from
-#: the title, the lines and their shape bits of one page to one integer a line.
-Feature = Callable[[str, list[str], list[int]], list[int]]
+#: Optional per-line feature of an operator built on page differencing: from the
+#: pages (title, lines, shape bits) of a batch to one integer for each line.
+Page = tuple[str, list[str], list[int]]
+Feature = Callable[[list[Page]], list[list[int]]]
 
 
 def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -118,7 +119,7 @@ def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]
         known: dict[str, tuple[int, int]] = {}
         as_usual: dict[str, int] = {}  # a line set in capitals takes the key of the same line set as usual
         for batch in batches:
-            keys_out, bits_out, extra_out = [], [], [[] for _ in features]
+            keys_out, bits_out, pages = [], [], []
             for url, title, body in zip(*(batch.column(c).to_pylist() for c in ("url", "title", "body"))):
                 keys, bits, title, lines = [], [], squeeze(title or ""), body.split("\n")
                 for line in lines:
@@ -135,8 +136,8 @@ def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]
                                 as_usual[_DIGITS.sub("0", s.lower())] = kb[0]
                     keys.append(kb[0])
                     bits.append(kb[1] | OWN if kb[1] & TITLE and title and title.startswith(squeeze(line)) else kb[1])
-                for out, feature in zip(extra_out, features):
-                    out.append(feature(title, lines, bits))
+                if features:
+                    pages.append((title, lines, bits))
                 filled = len(keys) - keys.count(0)
                 for other, theirs, n in recent:
                     if other == url:
@@ -158,7 +159,7 @@ def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]
                 keys_out.append(keys)
                 bits_out.append(bits)
             arrays = [batch.column("seq"), pa.array(keys_out, pa.list_(pa.int64())), pa.array(bits_out, pa.list_(pa.int8()))]
-            arrays += [pa.array(x, pa.list_(pa.int64())) for x in extra_out]
+            arrays += [pa.array(feature(pages), pa.list_(pa.int64())) for feature in features]
             yield pa.RecordBatch.from_arrays(arrays, names=["seq", "keys", "bits", *(f"extra{i}" for i in range(len(features)))])
 
     return difference

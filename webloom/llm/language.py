@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webloom.llm.boilerplate import BYLINE, Feature, difference_pages, judge_lines
-from webloom.llm.lines import CLOSERS, END_MARKS
+from webloom.llm.boilerplate import BYLINE, Feature, Page, difference_pages, judge_lines
+from webloom.llm.lines import CLOSERS, END_MARKS, LONG_LINE
 from webloom.session import materialize
 
 LANGS = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja", "ar", "hi", "th")
@@ -72,11 +72,16 @@ SEEDS = {
 }
 
 _CACHE_SENTENCES = 30_000
+#: Bytes scored in one go.
+_BLOCK_BYTES = 200_000
 _SENTENCE = re.compile(r"(?<=[.!?…।؟])[\"'”’»)\]]*\s+(?=\S)|(?<=[。！？])(?![」』”）])|(?<=[。！？][」』”）])(?![との])|(?<=[฀-๿])\s+(?=[฀-๿])|\n")
 _THAI = re.compile(r"[฀-๿]")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _pack(data: np.ndarray, k: int) -> np.ndarray:
     """Keys of the (k+1)-grams ending at each byte from position k on: (k + 1) bytes in one integer."""
     out = np.zeros(len(data) - k, dtype=np.uint64)
@@ -93,6 +98,10 @@ class Trees:
     costs: list[np.ndarray]
     contexts: list[np.ndarray]
     escapes: list[np.ndarray]
+    _direct: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_direct": {}}
 
     @staticmethod
     def fit(texts: dict[str, list[str]]) -> Trees:
@@ -126,36 +135,74 @@ class Trees:
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of each text (rows) in each language (columns)."""
         raw = [x.encode() for x in texts]
+        out, at = [np.zeros((0, len(LANGS)))], 0
+        while at < len(raw):
+            end, size = at, 0
+            while end < len(raw) and (end == at or size + len(raw[end]) < _BLOCK_BYTES):
+                size += len(raw[end])
+                end += 1
+            out.append(self._block(raw[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def _block(self, raw: list[bytes]) -> np.ndarray:
+        """Each text is coded after a line break, its end with another; no context reaches into the text before."""
         data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", dtype=np.uint8).astype(np.uint64)
         n = len(data)
-        bits = np.zeros((n, len(LANGS)), dtype=np.float32)
+        sizes = np.array([len(x) + 1 for x in raw])
+        owner = np.repeat(np.arange(len(raw)), sizes)  # of the bytes after the first
+        depth = np.concatenate([[0], np.arange(n - 1) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1])
+        total = np.zeros((len(raw), len(LANGS)))
         key = np.zeros(n, dtype=np.uint64)  # of the ORDER + 1 bytes ending here
         for j in range(ORDER + 1):
             key[j:] |= data[: n - j] << np.uint64(8 * j)
-        left = np.arange(n)
+
+        def add(at: np.ndarray, rows: np.ndarray) -> None:
+            """Sum of rows by the text that owns each position; positions ascend."""
+            who = owner[at - 1]
+            first = np.concatenate([[0], np.flatnonzero(who[1:] != who[:-1]) + 1])
+            total[who[first]] += np.add.reduceat(rows, first, axis=0)
+
+        waiting = np.ones(n, dtype=bool)
+        waiting[0] = False
         for k in range(ORDER, -1, -1):
-            left_k = left if k == 0 else left[left >= k]
-            short = left[left < k] if k else left[:0]
-            if len(left_k):
-                want = key[left_k] & np.uint64((1 << 8 * (k + 1)) - 1)
-                at = np.minimum(np.searchsorted(self.grams[k], want), len(self.grams[k]) - 1)
-                hit = self.grams[k][at] == want
-                if k == ORDER:
-                    bits[left_k[hit]] = self.costs[k][at[hit]]
-                else:
-                    bits[left_k[hit]] += self.costs[k][at[hit]]
-                missed = left_k[~hit]
-                if len(missed):
-                    ctx = want[~hit] >> np.uint64(8)
-                    at = np.minimum(np.searchsorted(self.contexts[k], ctx), len(self.contexts[k]) - 1)
-                    known = self.contexts[k][at] == ctx
-                    bits[missed[known]] += self.escapes[k][at[known]]
-            else:
-                missed = left_k
-            left = np.concatenate([short, missed])
-        bits[left] += 8.0
-        starts = np.cumsum([1, *(len(x) + 1 for x in raw[:-1])])
-        return np.add.reduceat(bits, starts, axis=0)
+            here = np.flatnonzero(waiting & (depth >= k) if k else waiting)
+            if not len(here):
+                continue
+            want = key[here] & np.uint64((1 << 8 * (k + 1)) - 1)
+            at, hit = self._find(self.grams, k, want)
+            if hit.any():
+                found = here[hit]
+                waiting[found] = False
+                add(found, self.costs[k].take(at[hit], axis=0))
+            missed = here[~hit]
+            if len(missed):
+                at, known = self._find(self.contexts, k, want[~hit] >> np.uint64(8))
+                if known.any():
+                    add(missed[known], self.escapes[k].take(at[known], axis=0))
+        rest = np.flatnonzero(waiting)
+        if len(rest):
+            add(rest, np.full((len(rest), len(LANGS)), 8.0))
+        return total
+
+    def _find(self, tables: list[np.ndarray], k: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each wanted key in a sorted table and whether it is there, by a hashed direct table."""
+        name = ("g" if tables is self.grams else "c", k)
+        if name not in self._direct:
+            keys, slots = tables[k], 1 << max(10, int(len(tables[k]) * 4).bit_length())
+            place = np.full(slots, -1, dtype=np.int32)
+            where = (keys * _MIX) >> np.uint64(64 - (slots.bit_length() - 1))
+            place[where[::-1].astype(np.int64)] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
+            self._direct[name] = (place, np.uint64(64 - (slots.bit_length() - 1)))
+        place, shift = self._direct[name]
+        keys = tables[k]
+        at = place[((want * _MIX) >> shift).astype(np.int64)]
+        hit = (at >= 0) & (keys[at] == want)
+        unsure = np.flatnonzero(~hit & (at >= 0))
+        if len(unsure):  # another key has the slot
+            found = np.minimum(np.searchsorted(keys, want[unsure]), len(keys) - 1)
+            at[unsure], hit[unsure] = found, keys[found] == want[unsure]
+        return at, hit
 
 
 def sentences(text: str) -> list[str]:
@@ -183,36 +230,48 @@ def confidence(bits: np.ndarray) -> np.ndarray:
 
 def language_feature(trees: Broadcast) -> Feature:
     """Per line: whole sentences of each language (5 bits each), the line's language (4 bits) above them."""
-
     known: dict[str, np.ndarray] = {}
 
-    def feature(title: str, lines: list[str], bits: list[int]) -> list[int]:
-        units = [(i, s) for i, line in enumerate(lines) for s in sentences(line) if _LETTER.search(s)]
-        out = [0] * len(lines)
-        if not units:
-            return out
-        lengths = np.array([len(s.encode()) for _, s in units])
-        rows: list[np.ndarray | None] = [known.get(s) for _, s in units]
-        if new := [n for n, r in enumerate(rows) if r is None]:
-            if len(known) > _CACHE_SENTENCES:
-                known.clear()
-            for n, r in zip(new, trees.value.code_lengths([units[n][1] for n in new])):
-                rows[n] = r
-                if lengths[n] <= 100:
-                    known[units[n][1]] = r
-        langs = decide(np.array(rows), lengths)
-        longest: dict[int, int] = {}
-        for (i, s), lang in zip(units, langs.tolist()):
-            if is_whole(s) and not (bits[i] & BYLINE) and (out[i] >> 5 * lang) & 31 < 31:
-                out[i] += 1 << 5 * lang
-            if len(s) > longest.get(i, 0):
-                longest[i] = len(s)
-                out[i] = out[i] & ((1 << 55) - 1) | (lang + 1) << 55
+    def feature(pages: list[Page]) -> list[list[int]]:
+        short: dict[str, list[str]] = {}
+
+        def split(line: str) -> list[str]:
+            if len(line) > LONG_LINE:
+                return [s for s in sentences(line) if _LETTER.search(s)]
+            if (found := short.get(line)) is None:
+                found = short[line] = [s for s in sentences(line) if _LETTER.search(s)]
+            return found
+
+        units = [[(i, s) for i, line in enumerate(lines) for s in split(line)] for _, lines, _ in pages]
+        if len(known) > _CACHE_SENTENCES:
+            known.clear()
+        new = list({s: None for page in units for _, s in page if s not in known})
+        for s, row in zip(new, trees.value.code_lengths(new)):
+            known[s] = row
+        out = [_count(lines, bits, page, known) for (_, lines, bits), page in zip(pages, units)]
+        for s in new:
+            if len(s) > 100:
+                del known[s]
         return out
 
     return feature
 
 
+def _count(lines: list[str], bits: list[int], units: list[tuple[int, str]], known: dict[str, np.ndarray]) -> list[int]:
+    out = [0] * len(lines)
+    if not units:
+        return out
+    langs = decide(np.array([known[s] for _, s in units]), np.array([len(s.encode()) for _, s in units]))
+    longest: dict[int, int] = {}
+    for (i, s), lang in zip(units, langs.tolist()):
+        if not bits[i] & BYLINE and is_whole(s) and (out[i] >> 5 * lang) & 31 < 31:
+            out[i] += 1 << 5 * lang
+        if len(s) > longest.get(i, 0):
+            longest[i] = len(s)
+            out[i] = out[i] & ((1 << 55) - 1) | (lang + 1) << 55
+    return out
+
+
 def label_code(lang: Column) -> Column:
     """First subtag of a label; '' unless it is two or three letters."""
     return F.regexp_extract(F.lower(F.trim(F.coalesce(lang, F.lit("")))), r"^([a-z]{2,3})(?:[-_].*)?$", 1)

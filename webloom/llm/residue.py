@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.boilerplate import BYLINE, OWN, difference_pages, judge_lines
+from webloom.llm.boilerplate import BYLINE, OWN, Page, difference_pages, judge_lines
 from webloom.llm.lines import LONG_LINE, squeeze
 from webloom.session import materialize
 
@@ -103,7 +103,7 @@ def line_residue(line: str) -> int:
 _known: dict[str, int] = {}
 
 
-def residue(title: str, lines: list[str], bits: list[int]) -> list[int]:
+def page_residue(title: str, lines: list[str], bits: list[int]) -> list[int]:
     """Per line: residue flags, and from bit 8 the line's length up to a limit."""
     out = []
     for x in lines:
@@ -121,6 +121,10 @@ def residue(title: str, lines: list[str], bits: list[int]) -> list[int]:
     return out
 
 
+def residue(pages: list[Page]) -> list[list[int]]:
+    return [page_residue(*p) for p in pages]
+
+
 def judge(pages: DataFrame, extra: str = "extra0") -> DataFrame:
     """(..., slotted, has_own, all_message, size, skeleton) from judged pages whose column ``extra`` holds :func:`residue`."""
     own = F.filter(F.arrays_zip("gone", "keys", "bits", extra), lambda x: ~x["gone"] & (x["bits"].bitwiseAND(BYLINE | OWN) == 0))

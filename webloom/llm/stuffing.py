@@ -31,7 +31,7 @@ from operator import mul
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.boilerplate import BYLINE, OWN, judged_pages
+from webloom.llm.boilerplate import BYLINE, OWN, Page, judged_pages
 from webloom.llm.lines import CLOSERS, END_MARKS
 
 MIN_TIMES = 3
@@ -131,7 +131,7 @@ def _automaton(tokens: list[int]) -> tuple[list[int], list[tuple[int, int, int]]
     return cover, [(count[v], length[v], end[v]) for v in order if count[v] >= MIN_TIMES and length[v] >= 2]
 
 
-def stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
+def page_stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
     """Per line: stuffed characters * 2^20 + honest characters."""
     segments: list[tuple[int, str]] = []
     for i, line in enumerate(lines):
@@ -182,6 +182,10 @@ def stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
     return out
 
 
+def stuffing(pages: list[Page]) -> list[list[int]]:
+    return [page_stuffing(*p) for p in pages]
+
+
 def judge(pages: DataFrame, extra: str = "extra0") -> DataFrame:
     """(..., stuffed, honest, is_spam) from judged pages whose column ``extra`` holds :func:`stuffing`."""
     own = F.filter(F.arrays_zip("gone", extra), lambda x: ~x["gone"])
