@@ -32,7 +32,7 @@ hit AS (SELECT seq, sum(score) AS score FROM s GROUP BY seq HAVING count(DISTINC
 f AS (SELECT d.seq, d.url, d.title, d.description, d.depth, d.fetched_at, d.body, score FROM hit JOIN docs d USING (seq) WHERE {where})"""
 
 
-_QUALITY = """(1 + 0.18 / (1 + depth)) * (1 + 0.10 / (1 + greatest(0, length(url) - length(replace(url,'/','')) - 2))) * CASE WHEN contains(url,'?') THEN 0.94 ELSE 1 END
+_QUALITY = """(1 + 0.18 / (1 + depth))::DOUBLE * (1 + 0.10 / (1 + greatest(0, length(url) - length(replace(url,'/','')) - 2))) * CASE WHEN contains(url,'?') THEN 0.94 ELSE 1 END
 * CASE WHEN coalesce(title,'') = '' THEN 0.75 ELSE 1 END * CASE WHEN coalesce(description,'') = '' THEN 0.95 ELSE 1 END"""
 
 
@@ -126,10 +126,10 @@ def search_highlight(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("title is not null").select("seq", text.highlight(F.col("title"), ["harbour", "council"]).alias("html"))
 
 
-@query("quality_multiplier", f"SELECT seq, round({_QUALITY}, 4) AS quality FROM docs")
+@query("quality_multiplier", f"SELECT seq, floor(({_QUALITY})::DOUBLE * 10000 + 0.25)::BIGINT AS quality_e4 FROM docs")
 def quality_multiplier(spark: SparkSession, d: str) -> DataFrame:
     q = search.quality(F.col("depth"), F.col("url"), F.col("title"), F.col("description"))
-    return _docs(spark, d).select("seq", F.round(q, 4).alias("quality"))
+    return _docs(spark, d).select("seq", F.floor(q * 10000 + 0.25).alias("quality_e4"))
 
 
 @query("index_stats", "SELECT count(*)::BIGINT AS documents, count(*) FILTER (WHERE seq <= 500)::BIGINT AS indexed, count(*) FILTER (WHERE seq > 500)::BIGINT AS pending FROM docs")
