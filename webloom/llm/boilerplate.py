@@ -42,10 +42,12 @@ MIN_SHARED = 2
 MIN_RATE = 0.05
 #: Share of a heading's occurrences followed by two or more title-like lines.
 MIN_LISTED = 0.4
-#: Above this share of common lines two pages are copies and prove nothing.
+#: Above this share of common lines, no line of prose being different, two pages are copies and prove nothing.
 COPY_SHARE = 0.8
+#: A line of at least this many characters is prose.
+PROSE_CHARS = 60
 
-TITLE, CAPS, BYLINE, SHARED, LISTED, OWN = 1, 2, 4, 8, 16, 32
+TITLE, CAPS, BYLINE, SHARED, LISTED, OWN, PROSE = 1, 2, 4, 8, 16, 32, 64
 
 #: How bylines open, close or look (fixed values).
 _BYLINE = re.compile(
@@ -64,8 +66,8 @@ def classify_line(s: str) -> tuple[int, int]:
     if not s:
         return 0, 0
     if len(s) > LONG_LINE:
-        return key64(s), 0
-    t, bits = template(s), 0
+        return key64(s), PROSE
+    t, bits = template(s), PROSE if len(s) >= PROSE_CHARS else 0
     if len(s) > 3 and s.isupper():
         bits |= CAPS
     tail = s.rstrip(CLOSERS)
@@ -79,13 +81,15 @@ def classify_line(s: str) -> tuple[int, int]:
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
     """Positions in ``a`` of a longest common subsequence with ``b`` (0 never matches)."""
-    in_b = set(b)
-    ia = [i for i, x in enumerate(a) if x and x in in_b]
-    if not ia:
-        return ia
+    return _common(a, b, (set(a) & set(b)) - {0})
+
+
+def _common(a: list[int], b: list[int], both: set[int]) -> list[int]:
+    if not both:
+        return []
+    ia = [i for i, x in enumerate(a) if x in both]
     xa = [a[i] for i in ia]
-    in_a = set(xa)
-    xb = [x for x in b if x in in_a]
+    xb = [x for x in b if x in both]
     if xa == xb:
         return ia
     n, m = len(xa), len(xb)
@@ -115,7 +119,7 @@ Feature = Callable[[list[Page]], list[list[int]]]
 
 def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: list[tuple[str, list[int], int]] = []
+        recent: list[tuple[str, list[int], int, set[int], set[int]]] = []
         known: dict[str, tuple[int, int]] = {}
         as_usual: dict[str, int] = {}  # a line set in capitals takes the key of the same line set as usual
         for batch in batches:
@@ -139,11 +143,14 @@ def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]
                 if features:
                     pages.append((title, lines, bits))
                 filled = len(keys) - keys.count(0)
-                for other, theirs, n in recent:
-                    if other == url:
+                mine = set(keys)
+                mine.discard(0)
+                prose = {k for k, b in zip(keys, bits) if b & PROSE}
+                for other, theirs, n, known_theirs, their_prose in recent:
+                    if other == url or not (both := mine & known_theirs):
                         continue
-                    same = common_lines(keys, theirs)
-                    if filled > 2 and len(same) >= COPY_SHARE * max(filled, n):
+                    same = _common(keys, theirs, both)
+                    if len(same) == filled == n or (filled > 2 and len(same) >= COPY_SHARE * max(filled, n) and prose <= both and their_prose <= both):
                         continue
                     for i in same:
                         bits[i] |= SHARED
@@ -155,7 +162,7 @@ def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]
                         nxt = after[pos : pos + 2]
                         if len(nxt) == 2 and all(b & TITLE and not b & (SHARED | BYLINE | OWN) for b in nxt):
                             bits[i] |= LISTED
-                recent = [r for r in recent if r[0] != url][-NEIGHBOURS + 1 :] + [(url, keys, filled)]
+                recent = [r for r in recent if r[0] != url][-NEIGHBOURS + 1 :] + [(url, keys, filled, mine, prose)]
                 keys_out.append(keys)
                 bits_out.append(bits)
             arrays = [batch.column("seq"), pa.array(keys_out, pa.list_(pa.int64())), pa.array(bits_out, pa.list_(pa.int8()))]

@@ -154,7 +154,7 @@ class Trees:
         depth = np.concatenate([[0], np.arange(n - 1) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1])
         total = np.zeros((len(raw), len(LANGS)))
         key = np.zeros(n, dtype=np.uint64)  # of the ORDER + 1 bytes ending here
-        for j in range(ORDER + 1):
+        for j in range(min(ORDER + 1, n)):
             key[j:] |= data[: n - j] << np.uint64(8 * j)
 
         def add(at: np.ndarray, rows: np.ndarray) -> None:

@@ -54,7 +54,7 @@ def chunk_ends(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(lines) + b"\n", dtype=np.uint8)
     gear = _GEAR[data]
     rolled = np.zeros(len(data), dtype=np.uint64)
-    for k in range(WINDOW):  # gear hash of the last WINDOW bytes
+    for k in range(min(WINDOW, len(data))):  # gear hash of the last WINDOW bytes
         rolled[k:] += gear[: len(gear) - k] << np.uint64(k)
     breaks = np.flatnonzero(data == 10)
     line_of = np.zeros(len(data), dtype=np.int64)

@@ -50,25 +50,24 @@ _NEUTRAL = re.compile(r"^(?:[0-9]+(?:[.,/][0-9]+)? ?\w{1,3}\s|\[[0-9]+\]|[0-9]+[
 def repeated_cover(tokens: list[str]) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Per token 1 if a repeated substring covers it; the repeated substrings as (times, length, last position).
 
-    A substring of ``MIN_TIMES`` occurrences holds no token of fewer, so the
-    automaton is built over the runs of frequent tokens, kept apart by marks.
+    A substring of ``MIN_TIMES`` occurrences holds no pair of tokens of fewer, so
+    the automaton is built over the runs of frequent pairs, kept apart by marks.
     """
-    times = Counter(tokens)
+    pairs = list(zip(tokens, tokens[1:]))
+    times = Counter(pairs)
     kept: list[int] = []
     place: list[int] = []
     ids: dict[str, int] = {}
     i, total = 0, len(tokens)
-    often = [times[t] >= MIN_TIMES for t in tokens]
+    often = [times[p] >= MIN_TIMES for p in pairs]
     often.append(False)
-    while i < total:
-        if not often[i]:
-            i += 1
-            continue
-        j = often.index(False, i)
-        if j - i > 1:
-            kept.extend([ids.setdefault(t, len(ids)) for t in tokens[i:j]])
-            kept.append(-1 - i)
-            place.extend(range(i, j + 1))
+    runs = sum(1 for x, y in zip([False, *often], often) if y and not x)
+    for _ in range(runs):
+        i = often.index(True, i)
+        j = often.index(False, i) + 1
+        kept.extend([ids.setdefault(t, len(ids)) for t in tokens[i:j]])
+        kept.append(-1 - i)
+        place.extend(range(i, j + 1))
         i = j
     cover = [0] * total
     if not kept:

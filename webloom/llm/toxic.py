@@ -142,8 +142,8 @@ class Model:
 
     words: dict[str, float] = field(default_factory=dict)
     pairs: dict[tuple[str, str], float] = field(default_factory=dict)
-    lam: float = 0.5
-    k: float = 0.1
+    lam: float = 1.5
+    k: float = 0.05
     alpha: float = ALPHA
 
     def weights(self, toks: list[str]) -> list[float]:
