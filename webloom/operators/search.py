@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,7 @@ class Literal:
     field: str | None = None
     must: bool = True
     negated: bool = False
+    raw: str = ""  # as typed: a host matches only as a whole
 
 
 _QUERY = re.compile(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|([^\s"()]+))|[()]')
@@ -65,7 +66,7 @@ def parse_query(text: str, conjunctive: bool = True) -> list[Literal]:
         if word in ("AND", "OR", "NOT"):
             negate = word == "NOT"
             if word == "OR" and out:
-                out[-1] = Literal(out[-1].terms, out[-1].field, False, out[-1].negated)
+                out[-1] = replace(out[-1], must=False)
                 either = True
             continue
         terms = tuple(re.findall(r"[^\W_]+", (phrase or word or "").lower()))
@@ -74,7 +75,7 @@ def parse_query(text: str, conjunctive: bool = True) -> list[Literal]:
         if field and field not in BOOSTS:
             terms, field = (field.lower(), *terms), None
         must = (conjunctive and not either) or sign == "+"
-        out.append(Literal(terms, field, must, negate or sign == "-"))
+        out.append(Literal(terms, field, must, negate or sign == "-", (phrase or word or "").lower()))
         negate = either = False
     return out
 
@@ -89,6 +90,8 @@ def _literal_scores(words: DataFrame, stats: DataFrame, i: int, lit: Literal, bo
         phrase = " ".join(lit.terms)
         joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
         tf = F.size(F.split(F.regexp_replace(joined, " ", "  "), re.escape(" " + phrase.replace(" ", "  ") + " "))) - 1
+    whole_host = F.array_contains("words", lit.raw).cast("int")
+    tf = F.when(F.col("field") == "host", whole_host).otherwise(tf)
     hits = in_field.select("seq", "field", F.size("words").alias("dl"), tf.alias("tf")).where("tf > 0")
     df = hits.groupBy("field").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
