@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webloom.llm.boilerplate import BYLINE, Feature, Page, difference_pages, judge_lines
+from webloom.llm.boilerplate import BYLINE, SHARED, Feature, Page, difference_pages, judge_lines
 from webloom.llm.lines import CLOSERS, END_MARKS, LONG_LINE
 from webloom.session import materialize
 
@@ -242,7 +242,8 @@ def language_feature(trees: Broadcast) -> Feature:
                 found = short[line] = [s for s in sentences(line) if _LETTER.search(s)]
             return found
 
-        units = [[(i, s) for i, line in enumerate(lines) for s in split(line)] for _, lines, _ in pages]
+        # lines that a near page shows too are not the page's own
+        units = [[(i, s) for i, line in enumerate(lines) if not bits[i] & SHARED for s in split(line)] for _, lines, bits in pages]
         if len(known) > _CACHE_SENTENCES:
             known.clear()
         new = list({s: None for page in units for _, s in page if s not in known})

@@ -31,7 +31,7 @@ from operator import mul
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.boilerplate import BYLINE, OWN, Page, judged_pages
+from webloom.llm.boilerplate import BYLINE, OWN, SHARED, Page, judged_pages
 from webloom.llm.lines import CLOSERS, END_MARKS
 
 MIN_TIMES = 3
@@ -41,6 +41,7 @@ MIN_STUFFED = 40
 
 _DIGITS = re.compile("[0-9]+")
 _TOKEN = re.compile(r"\x00|[^\W\d_぀-ヿ㐀-鿿฀-๿]+|[0-9]+|[぀-ヿ㐀-鿿]|[฀-๿]{1,4}|[#|]")
+_ASCII_TOKEN = re.compile(r"\x00|[a-z]+|0|[#|]")
 _BREAK = re.compile(r"(?<=[.!?…。！？।؟])[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
 _LINKS = re.compile(r"https?://|www\.|\.(?:com|net|org|example)\b|(?:^|[\s,;])#\w|\bSKU\b|[|;•]\s|_\w+_")
 _THAI = re.compile(r"[\u0e00-\u0e7f]{12}")
@@ -134,7 +135,7 @@ def page_stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
     """Per line: stuffed characters * 2^20 + honest characters."""
     segments: list[tuple[int, str]] = []
     for i, line in enumerate(lines):
-        if bits[i] & (BYLINE | OWN):
+        if bits[i] & (BYLINE | OWN | SHARED):  # what a near page shows too is not the page's own
             continue
         if len(line) > 60:
             segments.extend((i, s) for s in _BREAK.split(line) if s and not s.isspace())
@@ -142,7 +143,8 @@ def page_stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
             segments.append((i, line))
     tokens: list[str] = []
     bounds = [0]
-    for t in _TOKEN.findall(_DIGITS.sub("0", "\x00".join([s for _, s in segments]).lower())):
+    text = _DIGITS.sub("0", "\x00".join([s for _, s in segments]).lower())
+    for t in (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text):
         if t == "\x00":
             bounds.append(len(tokens))
         else:
