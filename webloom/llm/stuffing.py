@@ -35,7 +35,7 @@ from webloom.llm.boilerplate import BYLINE, OWN, SHARED, Page, judged_pages
 from webloom.llm.lines import CLOSERS, END_MARKS
 
 MIN_TIMES = 3
-PHRASE_RATE = 0.4
+PHRASE_RATE = 0.6
 MIN_COVER = 0.6
 MIN_STUFFED = 40
 
@@ -154,7 +154,7 @@ def page_stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
     cover, repeats = repeated_cover(tokens)
     upto = [0, *accumulate(widths)]
     covered_upto = [0, *accumulate(map(mul, widths, cover))]
-    need = max(MIN_TIMES + 1, PHRASE_RATE * len(segments))
+    need = max(MIN_TIMES + 2, PHRASE_RATE * len(segments))
     best = max(((times * (upto[e + 1] - upto[e - ln + 1]), ln, e) for times, ln, e in repeats if times >= need), default=None)
     phrase_upto = None
     if best:
