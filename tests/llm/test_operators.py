@@ -57,7 +57,7 @@ def test_odd_input(spark, operator):
     run = {
         "furniture": boilerplate.furniture, "clean": boilerplate.clean_pages, "residue": residue.find_residue, "stuffing": stuffing.score_pages,
         "repeated": repeated_lines.repeated_lines, "cut": repeated_lines.cut_repeated, "passages": language.label_passages,
-        "languages": lambda d: language.page_languages(language.judged_languages(d), "extra0"), "toxic": lambda d: toxic.score_pages(d, labels(spark)),
+        "languages": language.page_languages, "toxic": lambda d: toxic.score_pages(d, labels(spark)),
     }[operator]
     full, empty = run(odd_docs(spark)), run(docs(spark, []))
     assert full.count() >= 0 and empty.count() == 0 and full.columns == empty.columns
@@ -98,7 +98,7 @@ def test_language(spark):
     en = "The council rejected the plan for the new road. The museum opened its doors to everybody today."
     rows = [dict(body=en, lang="en-GB"), dict(body=en, lang="de"), dict(body=en, lang=" "), dict(body=en + "\n" + de, lang="en"), dict(body="人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心。", lang="zz"), dict(body=None, lang="fr")]
     df = docs(spark, rows)
-    got = {(r["seq"], r["lang"]) for r in language.relabel(df, language.page_languages(language.judged_languages(df), "extra0")).collect()}
+    got = {(r["seq"], r["lang"]) for r in language.relabel(df, language.page_languages(df)).collect()}
     assert got == {(1, "en"), (2, "en"), (3, "en"), (3, "de"), (4, "zh")}
     runs = [(r["lang"], r["n_sentences"]) for r in language.label_passages(df).where("seq = 3").orderBy("passage").collect()]
     assert runs == [("en", 2), ("de", 2)]

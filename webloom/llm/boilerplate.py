@@ -29,10 +29,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from webloom.llm.lines import CLOSERS, END_MARKS, LONG_LINE, key64, squeeze, template
 from webloom.session import materialize
@@ -203,15 +206,19 @@ def furniture_templates(lines: DataFrame) -> DataFrame:
     )
 
 
-def _mark(extras: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Conclusion of an operator on one page: from its rows (line_no, keys, bits, extra0, ..., gone) in
+#: order to the values of its columns, or None if the page is not wanted.
+Conclusion = Callable[[list[dict]], tuple | None]
+
+
+def _mark(extras: list[str], conclude: Conclusion | None, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["line_no", "gone", "keys", "bits", *extras]
-    kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int8(), *(pa.int64() for _ in extras)]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for rows in batch.column("rows").to_pylist():
-                rows.sort(key=lambda r: r["line_no"])
+            cols: list[list] = [[] for _ in schema]
+            for seq, rows in zip(batch.column("seq").to_pylist(), batch.column("rows").to_pylist()):
+                rows.sort(key=itemgetter("line_no"))
                 run = False
                 for i, r in enumerate(rows):
                     bits, kind = r["bits"], r["kind"]
@@ -220,17 +227,19 @@ def _mark(extras: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                         continue
                     run = run and bool(bits & TITLE) and not bits & (BYLINE | OWN) and not (i + 1 < len(rows) and rows[i + 1]["bits"] & BYLINE)
                     r["gone"] = run
-                for c, name in zip(cols, names):
-                    c.append([r[name] for r in rows])
-            arrays = [batch.column("seq"), *(pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["seq", *names])
+                values = conclude(rows) if conclude else [[r[name] for r in rows] for name in names]
+                if values is not None:
+                    for c, v in zip(cols, (seq, *values)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return mark
 
 
-def judge_lines(lines: DataFrame) -> DataFrame:
+def judge_lines(lines: DataFrame, conclude: Conclusion | None = None, columns: str = "") -> DataFrame:
     """(seq, line_no, gone, keys, bits, extra0, ...): the non-blank lines of each page in order; ``gone`` marks furniture.
 
+    With ``conclude`` the columns (DDL) it makes of each page instead.
     ``lines`` is read twice: pass a materialised result of :func:`difference_pages`.
     """
     extras = [c for c in lines.columns if c.startswith("extra")]
@@ -239,8 +248,9 @@ def judge_lines(lines: DataFrame) -> DataFrame:
     kinds = furniture_templates(lines).select(F.col("key").alias("keys"), F.when(F.col("heading"), 2).otherwise(1).alias("kind"))
     row = F.struct("line_no", "keys", "bits", *extras, F.coalesce("kind", F.lit(0)).alias("kind"))
     marked = each.join(kinds, "keys", "left").select("seq", row.alias("r"))
-    schema = "seq long, line_no array<int>, gone array<boolean>, keys array<long>, bits array<tinyint>" + "".join(f", {c} array<long>" for c in extras)
-    return marked.groupBy("seq").agg(F.collect_list("r").alias("rows")).mapInArrow(_mark(extras), schema)
+    plain = "line_no array<int>, gone array<boolean>, keys array<long>, bits array<tinyint>" + "".join(f", {c} array<long>" for c in extras)
+    schema = T.StructType.fromDDL("seq long, " + (columns if conclude else plain))
+    return marked.groupBy("seq").agg(F.collect_list("r").alias("rows")).mapInArrow(_mark(extras, conclude, to_arrow_schema(schema)), schema)
 
 
 def judged_pages(docs: DataFrame, *features: Feature) -> DataFrame:

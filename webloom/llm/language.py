@@ -30,7 +30,7 @@ give repeated answers.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -329,35 +329,50 @@ def fit_texts(pages: list[tuple[str, list[str]]]) -> Trees:
     return trees(owner, everyone)
 
 
-def page_languages(pages: DataFrame, extra: str) -> DataFrame:
-    """(seq, langs, mixed) from judged pages whose column ``extra`` holds :func:`language_feature`.
+def languages_of(rows: list[dict]) -> tuple[list[str], bool]:
+    """Languages of a page's own lines (``extra0`` holds :func:`language_feature`), and whether there are several.
 
-    ``langs`` are the page's languages: two or more if it is mixed, else at most one.
+    Two or more whole sentences each make a mixed page; in a body of one line,
+    where furniture cannot be told apart, each also needs MIN_SHARE of them.
+    Without a whole sentence the commonest language of the lines holds.
+    """
+    counts, lines = [0] * len(LANGS), [0] * len(LANGS)
+    for r in rows:
+        if r["gone"]:
+            continue
+        v = r["extra0"]
+        if v >> 55:
+            lines[(v >> 55) - 1] += 1
+        v &= (1 << 55) - 1
+        i = 0
+        while v:
+            counts[i] += v & 31
+            v >>= 5
+            i += 1
+    total = sum(counts)
+    need = max(2.0, MIN_SHARE * total if len(rows) == 1 else 0.0)
+    several = [x for x, n in zip(LANGS, counts) if n >= need]
+    if len(several) > 1:
+        return several, True
+    ranked = counts if total else lines
+    top = max(ranked)
+    return [LANGS[ranked.index(top)]] if top else [], False
+
+
+def page_languages(docs: DataFrame, leave_out: Callable[[list[dict]], bool] | None = None, *features: Feature) -> DataFrame:
+    """(seq, langs, mixed, gone) of every page with text: its languages and the numbers of its furniture lines.
+
+    ``features`` add columns ``extra1``, ... that ``leave_out`` may judge a page by.
     """
-    own = F.filter(F.arrays_zip("gone", extra), lambda x: ~x["gone"])
-
-    def whole(i: int) -> Column:
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x[extra], 5 * i).bitwiseAND(31))
-
-    def longest(i: int) -> Column:
-        return F.size(F.filter(own, lambda x: F.shiftright(x[extra], 55) == i + 1)).cast("long")
-
-    counts, line_lang = [whole(i) for i in range(len(LANGS))], [longest(i) for i in range(len(LANGS))]
-    tall = pages.select("seq", (F.size("gone") == 1).alias("one_line"), F.array(*counts).alias("n"), F.array(*line_lang).alias("m"))
-    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
-    need = F.greatest(F.lit(2.0), F.when(F.col("one_line"), total * MIN_SHARE).otherwise(0.0))
-    names = F.array(*(F.lit(x) for x in LANGS))
-    several = F.transform(F.filter(F.arrays_zip(names.alias("lang"), "n"), lambda x: x["n"] >= need), lambda x: x["lang"])
-    ranked = F.when(total > 0, F.col("n")).otherwise(F.col("m"))
-    top = F.array_max(ranked)
-    one = F.when(top > 0, F.array(F.get(names, (F.array_position(ranked, top) - 1).cast("int")))).otherwise(F.array().cast("array<string>"))
-    return tall.withColumn("_several", several).select("seq", F.when(F.size("_several") > 1, F.col("_several")).otherwise(one).alias("langs"), (F.size("_several") > 1).alias("mixed"))
 
+    def conclude(rows: list[dict]) -> tuple | None:
+        if leave_out and leave_out(rows):
+            return None
+        return *languages_of(rows), [r["line_no"] for r in rows if r["gone"]]
 
-def judged_languages(docs: DataFrame, *features: Feature) -> DataFrame:
-    """Judged pages with :func:`language_feature` in ``extra0`` and the given features after it."""
     trees = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    return judge_lines(materialize(difference_pages(docs, language_feature(trees), *features), "languages"))
+    lines = materialize(difference_pages(docs, language_feature(trees), *features), "languages")
+    return judge_lines(lines, conclude, "langs array<string>, mixed boolean, gone array<int>")
 
 
 def relabel(docs: DataFrame, langs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import boilerplate, language, mixing, packing, repeated_lines, residue, sentences, stuffing, toxic
 from webloom.llm.tokens import with_tokens
-from webloom.session import table
+from webloom.session import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,11 +35,13 @@ def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Residue pages are left out while languages are read; spam is looked for among the pages that would be named."""
     docs = table(spark, d, "docs")
-    judged = language.judged_languages(docs, residue.residue, stuffing.stuffing)
-    judged = stuffing.judge(residue.judge(judged, "extra1"), "extra2")
-    kept = judged.where(~F.col("slotted") & ~(F.col("has_own") & F.col("all_message")) & ~F.col("is_spam"))
-    return language.relabel(docs, language.page_languages(kept, "extra0"))
+    pages = language.page_languages(docs, lambda rows: residue.is_residue(rows, "extra1"), residue.residue)
+    pages = materialize(pages, "page-languages")
+    named = materialize(language.relabel(docs, pages), "relabelled")
+    spam = stuffing.spam_among(docs, pages.join(named.select("seq"), "seq", "left_semi"))
+    return named.join(spam, "seq", "left_anti")
 
 
 def p4_passages(spark: SparkSession, d: str) -> DataFrame:

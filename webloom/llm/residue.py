@@ -138,6 +138,12 @@ def judge(pages: DataFrame, extra: str = "extra0") -> DataFrame:
     ).drop("_own")
 
 
+def is_residue(rows: list[dict], extra: str) -> bool:
+    """The same finding on one page's rows: an open slot, or nothing but messages and filler."""
+    own = [r[extra] for r in rows if not r["gone"] and not r["bits"] & (BYLINE | OWN)]
+    return any(r[extra] & SLOTTED for r in rows) or (bool(own) and all(x & (MESSAGE | FILLER) for x in own))
+
+
 def find_residue(docs: DataFrame) -> DataFrame:
     """(seq, kind): pages with an open slot, or with nothing but messages or filler."""
     judged = judge(judge_lines(materialize(difference_pages(docs, residue), "residue")))

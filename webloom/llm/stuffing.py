@@ -25,14 +25,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from itertools import accumulate
 from operator import mul
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.boilerplate import BYLINE, OWN, SHARED, Page, judged_pages
-from webloom.llm.lines import CLOSERS, END_MARKS
+from webloom.llm.boilerplate import BYLINE, OWN, SHARED, Page, classify_line, judged_pages
+from webloom.llm.lines import CLOSERS, END_MARKS, squeeze
 
 MIN_TIMES = 3
 PHRASE_RATE = 0.6
@@ -198,3 +200,23 @@ def judge(pages: DataFrame, extra: str = "extra0") -> DataFrame:
 def score_pages(docs: DataFrame) -> DataFrame:
     """(seq, stuffed, honest, is_spam) of every page with text, in characters of its own lines."""
     return judge(judged_pages(docs, stuffing)).select("seq", "stuffed", "honest", "is_spam")
+
+
+def _spam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for seq, title, body, gone in zip(*(batch.column(c).to_pylist() for c in ("_seq", "title", "body", "gone"))):
+            lines, out = body.split("\n"), set(gone)
+            bits = [SHARED if n in out else classify_line(squeeze(x))[1] for n, x in enumerate(lines, 1)]
+            sums = page_stuffing(title or "", lines, bits)
+            stuffed, honest = sum(x >> 20 for x in sums), sum(x & ((1 << 20) - 1) for x in sums)
+            if stuffed > honest and stuffed >= MIN_STUFFED:
+                found.append(seq)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["seq"])
+
+
+def spam_among(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(seq) of the spam among the given pages (seq, gone), whose furniture lines are known."""
+    some = pages.select(F.col("seq").alias("_seq"), "gone").dropDuplicates(["_seq"])
+    bodies = docs.where("body is not null").select("seq", "title", "body")
+    return bodies.join(some, F.col("seq") == F.col("_seq")).select("_seq", "title", "body", "gone").mapInArrow(_spam, "seq long")
