@@ -74,7 +74,8 @@ SEEDS = {
 _CACHE_SENTENCES = 30_000
 #: Bytes scored in one go.
 _BLOCK_BYTES = 200_000
-_SENTENCE = re.compile(r"(?<=[.!?…।؟])[\"'”’»)\]]*\s+(?=\S)|(?<=[。！？])(?![」』”）])|(?<=[。！？][」』”）])(?![との])|(?<=[฀-๿])\s+(?=[฀-๿])|\n")
+_END = re.compile(r"[.!?…।؟。！？][\"'”’»)\]」』）]*(\s+)?")
+_THAI_BLANK = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _THAI = re.compile(r"[฀-๿]")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -206,13 +207,25 @@ class Trees:
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
-
-
-def is_whole(s: str) -> bool:
+    """Pieces that end with an end mark before a blank (none is needed in Chinese and Japanese), or at a Thai blank."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        at = 0
+        for m in _END.finditer(line):
+            end = m.end()
+            if m[1] or (m[0][0] in "。！？" and line[end : end + 1] not in "との"):
+                out.append(line[at:end].strip())
+                at = end
+        out.append(line[at:].strip())
+    if _THAI.search(text):
+        out = [x for s in out for x in _THAI_BLANK.split(s)]
+    return [s for s in out if s]
+
+
+def is_whole(s: str, size: int | None = None) -> bool:
     """A whole sentence: long enough, closed by an end mark (or in Thai, which has none)."""
     tail = s.rstrip(CLOSERS)
-    return bool(tail) and len(s.encode()) >= MIN_BYTES and (tail[-1] in END_MARKS or _THAI.search(s) is not None) and _LETTER.search(s) is not None
+    return bool(tail) and (len(s.encode()) if size is None else size) >= MIN_BYTES and (tail[-1] in END_MARKS or _THAI.search(s) is not None) and _LETTER.search(s) is not None
 
 
 def decide(bits: np.ndarray, sizes: np.ndarray, rate: float = MARGIN_RATE) -> np.ndarray:
@@ -230,7 +243,7 @@ def confidence(bits: np.ndarray) -> np.ndarray:
 
 def language_feature(trees: Broadcast) -> Feature:
     """Per line: whole sentences of each language (5 bits each), the line's language (4 bits) above them."""
-    known: dict[str, np.ndarray] = {}
+    known: dict[str, tuple[np.ndarray, int, bool]] = {}  # code lengths, bytes, whole sentence
 
     def feature(pages: list[Page]) -> list[list[int]]:
         short: dict[str, list[str]] = {}
@@ -248,8 +261,9 @@ def language_feature(trees: Broadcast) -> Feature:
             known.clear()
         new = list({s: None for page in units for _, s in page if s not in known})
         for s, row in zip(new, trees.value.code_lengths(new)):
-            known[s] = row
-        out = [_count(lines, bits, page, known) for (_, lines, bits), page in zip(pages, units)]
+            size = len(s.encode())
+            known[s] = (row, size, is_whole(s, size))
+        out = [_count(lines, bits, [(i, s, *known[s]) for i, s in page]) for (_, lines, bits), page in zip(pages, units)]
         for s in new:
             if len(s) > 100:
                 del known[s]
@@ -258,17 +272,19 @@ def language_feature(trees: Broadcast) -> Feature:
     return feature
 
 
-def _count(lines: list[str], bits: list[int], units: list[tuple[int, str]], known: dict[str, np.ndarray]) -> list[int]:
+def _count(lines: list[str], bits: list[int], units: list[tuple[int, str, np.ndarray, int, bool]]) -> list[int]:
     out = [0] * len(lines)
     if not units:
         return out
-    langs = decide(np.array([known[s] for _, s in units]), np.array([len(s.encode()) for _, s in units]))
-    longest: dict[int, int] = {}
-    for (i, s), lang in zip(units, langs.tolist()):
-        if not bits[i] & BYLINE and is_whole(s) and (out[i] >> 5 * lang) & 31 < 31:
+    langs = decide(np.array([u[2] for u in units]), np.array([u[3] for u in units]))
+    line, longest = -1, 0
+    for (i, _, _, size, whole), lang in zip(units, langs.tolist()):
+        if i != line:
+            line, longest = i, 0
+        if whole and not bits[i] & BYLINE and (out[i] >> 5 * lang) & 31 < 31:
             out[i] += 1 << 5 * lang
-        if len(s) > longest.get(i, 0):
-            longest[i] = len(s)
+        if size > longest:
+            longest = size
             out[i] = out[i] & ((1 << 55) - 1) | (lang + 1) << 55
     return out
 
