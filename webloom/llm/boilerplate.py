@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -206,28 +205,29 @@ def furniture_templates(lines: DataFrame) -> DataFrame:
     )
 
 
-#: Conclusion of an operator on one page: from its rows (line_no, keys, bits, extra0, ..., gone) in
-#: order to the values of its columns, or None if the page is not wanted.
-Conclusion = Callable[[list[dict]], tuple | None]
+#: Conclusion of an operator on one page: from the columns of its lines (line_no, keys, bits, extra0, ..., gone),
+#: in order, to the values of its own columns, or None if the page is not wanted.
+Conclusion = Callable[[dict[str, list]], tuple | None]
 
 
 def _mark(extras: list[str], conclude: Conclusion | None, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["line_no", "gone", "keys", "bits", *extras]
+    read = ["line_no", "keys", "bits", *extras, "kind"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = batch.column("rows")
+            offsets, flat = rows.offsets.to_pylist(), rows.values
+            all_ = {name: flat.field(name).to_pylist() for name in read}
             cols: list[list] = [[] for _ in schema]
-            for seq, rows in zip(batch.column("seq").to_pylist(), batch.column("rows").to_pylist()):
-                rows.sort(key=itemgetter("line_no"))
-                run = False
-                for i, r in enumerate(rows):
-                    bits, kind = r["bits"], r["kind"]
-                    if kind or (bits & CAPS and bits & SHARED and not bits & BYLINE):
-                        r["gone"], run = True, kind == 2
-                        continue
-                    run = run and bool(bits & TITLE) and not bits & (BYLINE | OWN) and not (i + 1 < len(rows) and rows[i + 1]["bits"] & BYLINE)
-                    r["gone"] = run
-                values = conclude(rows) if conclude else [[r[name] for r in rows] for name in names]
+            for seq, a, b in zip(batch.column("seq").to_pylist(), offsets, offsets[1:]):
+                page = {name: all_[name][a:b] for name in read}
+                numbers = page["line_no"]
+                if any(x > y for x, y in zip(numbers, numbers[1:])):
+                    order = sorted(range(b - a), key=numbers.__getitem__)
+                    page = {name: [v[i] for i in order] for name, v in page.items()}
+                page["gone"] = _gone(page["bits"], page["kind"])
+                values = conclude(page) if conclude else [page[name] for name in names]
                 if values is not None:
                     for c, v in zip(cols, (seq, *values)):
                         c.append(v)
@@ -236,6 +236,19 @@ def _mark(extras: list[str], conclude: Conclusion | None, schema: pa.Schema) ->
     return mark
 
 
+def _gone(bits: list[int], kinds: list[int]) -> list[bool]:
+    """Furniture flags of a page's lines: furniture templates (kind 1, headings of link lists 2) and the titles listed under a heading."""
+    gone, run, last = [], False, len(bits) - 1
+    for i, (b, kind) in enumerate(zip(bits, kinds)):
+        if kind or (b & CAPS and b & SHARED and not b & BYLINE):
+            gone.append(True)
+            run = kind == 2
+            continue
+        run = run and bool(b & TITLE) and not b & (BYLINE | OWN) and not (i < last and bits[i + 1] & BYLINE)
+        gone.append(run)
+    return gone
+
+
 def judge_lines(lines: DataFrame, conclude: Conclusion | None = None, columns: str = "") -> DataFrame:
     """(seq, line_no, gone, keys, bits, extra0, ...): the non-blank lines of each page in order; ``gone`` marks furniture.
 

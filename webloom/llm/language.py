@@ -345,7 +345,7 @@ def fit_texts(pages: list[tuple[str, list[str]]]) -> Trees:
     return trees(owner, everyone)
 
 
-def languages_of(rows: list[dict]) -> tuple[list[str], bool]:
+def languages_of(page: dict[str, list]) -> tuple[list[str], bool]:
     """Languages of a page's own lines (``extra0`` holds :func:`language_feature`), and whether there are several.
 
     Two or more whole sentences each make a mixed page; in a body of one line,
@@ -353,10 +353,9 @@ def languages_of(rows: list[dict]) -> tuple[list[str], bool]:
     Without a whole sentence the commonest language of the lines holds.
     """
     counts, lines = [0] * len(LANGS), [0] * len(LANGS)
-    for r in rows:
-        if r["gone"]:
+    for gone, v in zip(page["gone"], page["extra0"]):
+        if gone:
             continue
-        v = r["extra0"]
         if v >> 55:
             lines[(v >> 55) - 1] += 1
         v &= (1 << 55) - 1
@@ -366,7 +365,7 @@ def languages_of(rows: list[dict]) -> tuple[list[str], bool]:
             v >>= 5
             i += 1
     total = sum(counts)
-    need = max(2.0, MIN_SHARE * total if len(rows) == 1 else 0.0)
+    need = max(2.0, MIN_SHARE * total if len(page["gone"]) == 1 else 0.0)
     several = [x for x, n in zip(LANGS, counts) if n >= need]
     if len(several) > 1:
         return several, True
@@ -375,16 +374,16 @@ def languages_of(rows: list[dict]) -> tuple[list[str], bool]:
     return [LANGS[ranked.index(top)]] if top else [], False
 
 
-def page_languages(docs: DataFrame, leave_out: Callable[[list[dict]], bool] | None = None, *features: Feature) -> DataFrame:
+def page_languages(docs: DataFrame, leave_out: Callable[[dict[str, list]], bool] | None = None, *features: Feature) -> DataFrame:
     """(seq, langs, mixed, gone) of every page with text: its languages and the numbers of its furniture lines.
 
     ``features`` add columns ``extra1``, ... that ``leave_out`` may judge a page by.
     """
 
-    def conclude(rows: list[dict]) -> tuple | None:
-        if leave_out and leave_out(rows):
+    def conclude(page: dict[str, list]) -> tuple | None:
+        if leave_out and leave_out(page):
             return None
-        return *languages_of(rows), [r["line_no"] for r in rows if r["gone"]]
+        return *languages_of(page), [n for n, gone in zip(page["line_no"], page["gone"]) if gone]
 
     trees = docs.sparkSession.sparkContext.broadcast(fit(docs))
     lines = materialize(difference_pages(docs, language_feature(trees), *features), "languages")

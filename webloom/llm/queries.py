@@ -37,7 +37,7 @@ def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Residue pages are left out while languages are read; spam is looked for among the pages that would be named."""
     docs = table(spark, d, "docs")
-    pages = language.page_languages(docs, lambda rows: residue.is_residue(rows, "extra1"), residue.residue)
+    pages = language.page_languages(docs, lambda page: residue.is_residue(page, "extra1"), residue.residue)
     pages = materialize(pages, "page-languages")
     named = materialize(language.relabel(docs, pages), "relabelled")
     spam = stuffing.spam_among(docs, pages.join(named.select("seq"), "seq", "left_semi"))

@@ -138,10 +138,13 @@ def judge(pages: DataFrame, extra: str = "extra0") -> DataFrame:
     ).drop("_own")
 
 
-def is_residue(rows: list[dict], extra: str) -> bool:
-    """The same finding on one page's rows: an open slot, or nothing but messages and filler."""
-    own = [r[extra] for r in rows if not r["gone"] and not r["bits"] & (BYLINE | OWN)]
-    return any(r[extra] & SLOTTED for r in rows) or (bool(own) and all(x & (MESSAGE | FILLER) for x in own))
+def is_residue(page: dict[str, list], extra: str) -> bool:
+    """The same finding on the lines of one page: an open slot, or nothing but messages and filler."""
+    flags = page[extra]
+    if any(x & SLOTTED for x in flags):
+        return True
+    own = [x for x, gone, b in zip(flags, page["gone"], page["bits"]) if not gone and not b & (BYLINE | OWN)]
+    return bool(own) and all(x & (MESSAGE | FILLER) for x in own)
 
 
 def find_residue(docs: DataFrame) -> DataFrame:
