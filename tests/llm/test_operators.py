@@ -145,6 +145,8 @@ def test_mixing_operator(spark):
     assert got["c"]["most_repeats"] <= 3 and got["x"]["share"] == 0 and got["d"]["uses"] == 0
     assert mixture.groupBy("source", "doc_id", "repeat").count().where("count > 1").count() == 0
     assert mixing.mix(sized.limit(0), targets).count() == 0
+    large = {r["source"]: r for r in mixing.shares(mixing.mix(sized, targets, 300_000), targets).collect()}
+    assert large["c"]["share"] < 0.2 and large["c"]["most_repeats"] == 3
 
 
 def test_tokens(spark):

@@ -73,8 +73,12 @@ def schedule(spark, shares: list[tuple[str, float]], slots: int) -> DataFrame:
     return drawn.withColumn("_at", F.row_number().over(local) - 1).join(offsets, ["source", "_r"]).select("source", "slot", (F.col("_off") + F.col("_at")).alias("nth"))
 
 
-def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, doc_id, repeat, slot, n_tokens): the mixture, one row for each use of a text."""
+def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+    """(source, doc_id, repeat, slot, n_tokens): the mixture, one row for each use of a text.
+
+    With ``total_tokens`` the mixture is that large even if sources run out
+    (they fall short of their shares); without, as large as all shares allow.
+    """
     spark = sized.sparkSession
     sized = materialize(sized.where("n_tokens > 0 and source is not null").select("source", "doc_id", "n_tokens"), "mix-sizes")
     wanted = targets.where("target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("times"))
@@ -85,7 +89,8 @@ def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     plan.sort(key=lambda r: r["source"])
     scale = sum(r["share"] for r in plan)
     per_source = {r["source"]: max(1, math.ceil(r["tokens"] / BLOCK_TOKENS)) for r in plan}
-    slots = max(1, math.floor(min(r["tokens"] * r["times"] / (r["share"] / scale) for r in plan) / BLOCK_TOKENS))
+    most = total_tokens or min(r["tokens"] * r["times"] / (r["share"] / scale) for r in plan)
+    slots = max(1, math.floor(most / BLOCK_TOKENS))
     cut = blocks(sized.join(F.broadcast(wanted.select("source")), "source"), sum(r["rows"] for r in plan))
     n_blocks = spark.createDataFrame([(s, n) for s, n in per_source.items()], "source string, n_blocks long")
     times = spark.createDataFrame([(r["source"], r["times"]) for r in plan], "source string, times long")
