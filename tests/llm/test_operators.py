@@ -96,7 +96,8 @@ def test_repeated_lines_brute_force(spark):
 def test_language(spark):
     de = "Der Stadtrat verschiebt die Pläne für den Herbst. Das kleine Museum prüft das Ergebnis der Messung."
     en = "The council rejected the plan for the new road. The museum opened its doors to everybody today."
-    rows = [dict(body=en, lang="en-GB"), dict(body=en, lang="de"), dict(body=en, lang=" "), dict(body=en + "\n" + de, lang="en"), dict(body="人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心。", lang="zz"), dict(body=None, lang="fr")]
+    other = "A small bakery opened near the old harbour last week. People came from all the villages around."
+    rows = [dict(body=en, lang="en-GB"), dict(body=en, lang="de"), dict(body=en, lang=" "), dict(body=other + "\n" + de, lang="en"), dict(body="人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心。", lang="zz"), dict(body=None, lang="fr")]
     df = docs(spark, rows)
     got = {(r["seq"], r["lang"]) for r in language.relabel(df, language.page_languages(df)).collect()}
     assert got == {(1, "en"), (2, "en"), (3, "en"), (3, "de"), (4, "zh")}

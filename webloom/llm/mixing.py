@@ -2,7 +2,7 @@
 
 Method: *low-discrepancy source schedule*.  Each source's texts are shuffled
 by hash and laid end to end; every ``BLOCK_TOKENS`` tokens make a block, and a
-text belongs to the block in which it begins.  The mixture is a row of slots of
+text belongs to the block that holds its middle.  The mixture is a row of slots of
 one block each.  Slot ``i`` takes the golden-ratio point ``frac(i * phi)`` and
 with it the source whose interval of the cumulative shares holds the point;
 any stretch of slots thus has every source close to its share.  The ``r``-th
@@ -51,7 +51,7 @@ def blocks(sized: DataFrame, rows: int) -> DataFrame:
     local = W.partitionBy("source", "_b").orderBy("_h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
     begins = F.coalesce(F.sum("n_tokens").over(local), F.lit(0))
     placed = spread.withColumn("_begin", begins).join(offsets, ["source", "_b"])
-    return placed.select("source", "doc_id", "n_tokens", F.floor((F.col("_off") + F.col("_begin")) / BLOCK_TOKENS).alias("block"))
+    return placed.select("source", "doc_id", "n_tokens", F.floor((F.col("_off") + F.col("_begin") + F.col("n_tokens") / 2) / BLOCK_TOKENS).alias("block"))
 
 
 def schedule(spark, shares: list[tuple[str, float]], slots: int) -> DataFrame:
