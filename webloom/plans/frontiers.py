@@ -23,13 +23,12 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fetch_log").select("url", (F.col("depth") + 1).alias("depth"))
 
 
-def _half_seen(spark: SparkSession, d: str) -> DataFrame:
-    """Half of the seen-set, by hash, so that there is something new."""
-    return table(spark, d, "url_state").where(F.substring(F.md5("url"), 1, 1) < "8")
+def _seen(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "url_state")
 
 
 def _new(spark: SparkSession, d: str) -> DataFrame:
-    return frontier.enqueue(_candidates(spark, d), _half_seen(spark, d))
+    return frontier.enqueue(_candidates(spark, d), _seen(spark, d))
 
 
 _NEW = f"{_CAND}, {_HALF}, new AS (SELECT url, {_KEY_HOST} AS host, depth FROM cand WHERE url NOT IN (SELECT url FROM st))"
