@@ -141,21 +141,25 @@ def needed_urls(docs: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(pages: DataFrame, need: DataFrame) -> DataFrame:
-    """(host_id, chunk) of the chunks on at least ``need`` documents."""
+    """(host_id, chunk) of the chunks in at least ``need`` rows: candidates, as recrawls repeat an url."""
     one = pages.select("host_id", F.explode(F.array_distinct("chunks")).alias("chunk"))
     counted = one.groupBy("host_id", "chunk").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_URLS)
     return counted.join(need, "host_id").where(F.col("n") >= F.col("need")).select("host_id", "chunk")
 
 
+def on_needed_urls(rows: DataFrame, key: str, need: DataFrame) -> DataFrame:
+    """(host_id, key) of the texts on at least ``need`` distinct urls."""
+    counted = rows.select("host_id", key, "url_id").distinct().groupBy("host_id", key).agg(F.count("*").alias("n"))
+    return counted.join(need, "host_id").where(F.col("n") >= F.col("need")).select("host_id", key)
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(seq, line_no): every occurrence of a line repeated excessively within its host."""
     pages, need = materialize(chunk_pages(docs, False), "chunks"), needed_urls(docs)
     rows = pages.select("seq", "host_id", "url_id", F.explode(F.arrays_zip("line_no", "lines", "chunks")).alias("x"))
     rows = rows.select("seq", "host_id", "url_id", F.col("x.line_no").cast("long").alias("line_no"), F.col("x.lines").alias("line"), F.col("x.chunks").alias("chunk"))
     candidates = rows.join(repeated_chunks(pages, need), ["host_id", "chunk"], "left_semi").drop("chunk")
-    counted = candidates.select("host_id", "line", "url_id").distinct().groupBy("host_id", "line").agg(F.count("*").alias("n"))
-    repeated = counted.join(need, "host_id").where(F.col("n") >= F.col("need")).select("host_id", "line")
-    return candidates.join(repeated, ["host_id", "line"], "left_semi").select("seq", "line_no")
+    return candidates.join(on_needed_urls(candidates, "line", need), ["host_id", "line"], "left_semi").select("seq", "line_no")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,9 @@ def cut_repeated(docs: DataFrame) -> DataFrame:
     Untouched lines keep their spelling (white space reduced); a line that
     loses only some of its chunks keeps the rest in normalised spelling.
     """
-    pages = materialize(chunk_pages(docs, True), "all-chunks")
-    rows = pages.select("seq", "host_id", F.explode("chunks").alias("chunk"))
-    gone = rows.join(repeated_chunks(pages, needed_urls(docs)), ["host_id", "chunk"], "left_semi").groupBy("seq").agg(F.collect_set("chunk").alias("gone"))
+    pages, need = materialize(chunk_pages(docs, True), "all-chunks"), needed_urls(docs)
+    rows = pages.select("seq", "host_id", "url_id", F.explode("chunks").alias("chunk"))
+    candidates = rows.join(repeated_chunks(pages, need), ["host_id", "chunk"], "left_semi")
+    repeated = candidates.join(on_needed_urls(candidates, "chunk", need), ["host_id", "chunk"], "left_semi")
+    gone = repeated.groupBy("seq").agg(F.collect_set("chunk").alias("gone"))
     return docs.select("seq", "body").join(gone, "seq", "left").mapInArrow(_cut, "seq long, clean_body string, n_cut long")
