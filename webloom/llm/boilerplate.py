@@ -3,21 +3,21 @@
 Method: *nearest-URL page differencing*.  Pages are range-partitioned and
 sorted by (host, url path), so a page stands next to the pages whose paths are
 closest; each is aligned, line by line and by longest common subsequence, with
-the ``NEIGHBOURS`` nearest pages of other urls before it.  Shared lines are
-what the site prints around its content.
+the ``NEIGHBOURS`` nearest pages of other urls before it.  Shared lines, marked
+on both pages, are what the site prints around its content.
 
 Lines are compared by *template* (see :mod:`webloom.llm.lines`), so that
 "Sponsored: lamps by A" and "Sponsored: clocks by B" align.  How often a
 template is shared, out of all its occurrences, is summed over the corpus: a
-template shared at least ``MIN_SHARED`` times and in ``MIN_RATE`` of its
-occurrences is page furniture wherever it stands, also on a page whose own
+template on at least ``MIN_SHARED`` pages of such pairs, and shared with a page
+before in ``MIN_RATE`` of its occurrences, is page furniture wherever it stands, also on a page whose own
 neighbours happen not to show it.  Headings of link lists are those furniture
 templates that are mostly followed by several title-like lines; the title-like
 lines after such a heading go with it.
 
 Scale: one range shuffle of the bodies (a hot host is split by url path, never
 collected), then only 64-bit keys move.  State per task: the last
-``NEIGHBOURS`` pages' keys.
+``NEIGHBOURS`` pages' keys, and the batches that hold these pages.
 
 Defined results: null, empty and blank bodies have no lines; null hosts and
 urls are ordinary (equal) values; exact copies and recrawls (same url) are not
@@ -49,7 +49,7 @@ COPY_SHARE = 0.8
 #: A line of at least this many characters is prose.
 PROSE_CHARS = 60
 
-TITLE, CAPS, BYLINE, SHARED, LISTED, OWN, PROSE = 1, 2, 4, 8, 16, 32, 64
+TITLE, CAPS, BYLINE, SHARED, LISTED, OWN, PROSE, LATER = 1, 2, 4, 8, 16, 32, 64, 128  # LATER: shared with a page before
 
 #: How bylines open, close or look (fixed values).
 _BYLINE = re.compile(
@@ -119,13 +119,32 @@ Page = tuple[str, list[str], list[int]]
 Feature = Callable[[list[Page]], list[list[int]]]
 
 
+class _Held:
+    """A batch whose pages may still be found to share lines with pages to come."""
+
+    def __init__(self, seqs: pa.Array) -> None:
+        self.seqs, self.pages = seqs, []  # type: pa.Array, list[tuple[str, list[str], list[int], list[int]]]
+
+    def finish(self, features: tuple[Feature, ...]) -> pa.RecordBatch:
+        for _, _, keys, bits in self.pages:
+            filled = [i for i, k in enumerate(keys) if k]
+            for i, *nxt in zip(filled, filled[1:], filled[2:]):
+                if all(bits[j] & TITLE and not bits[j] & (LATER | BYLINE | OWN) for j in nxt):
+                    bits[i] |= LISTED
+        pages = [(title, lines, bits) for title, lines, _, bits in self.pages]
+        arrays = [self.seqs, pa.array([p[2] for p in self.pages], pa.list_(pa.int64())), pa.array([p[3] for p in self.pages], pa.list_(pa.int16()))]
+        arrays += [pa.array(feature(pages), pa.list_(pa.int64())) for feature in features]
+        return pa.RecordBatch.from_arrays(arrays, names=["seq", "keys", "bits", *(f"extra{i}" for i in range(len(features)))])
+
+
 def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: list[tuple[str, list[int], int, set[int], set[int]]] = []
+        recent: list[tuple[str, list[int], int, set[int], set[int], list[int], _Held]] = []
+        held: list[_Held] = []  # at most one for each recent page
         known: dict[str, tuple[int, int]] = {}
         as_usual: dict[str, int] = {}  # a line set in capitals takes the key of the same line set as usual
         for batch in batches:
-            keys_out, bits_out, pages = [], [], []
+            held.append(here := _Held(batch.column("seq")))
             for url, title, body in zip(*(batch.column(c).to_pylist() for c in ("url", "title", "body"))):
                 keys, bits, title, lines = [], [], squeeze(title or ""), body.split("\n")
                 for line in lines:
@@ -142,34 +161,31 @@ def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]
                                 as_usual[_DIGITS.sub("0", s.lower())] = kb[0]
                     keys.append(kb[0])
                     bits.append(kb[1] | OWN if kb[1] & TITLE and title and title.startswith(squeeze(line)) else kb[1])
-                if features:
-                    pages.append((title, lines, bits))
+                here.pages.append((title, lines if features else [], keys, bits))
                 filled = len(keys) - keys.count(0)
                 mine = set(keys)
                 mine.discard(0)
                 prose = {k for k, b in zip(keys, bits) if b & PROSE}
-                for other, theirs, n, known_theirs, their_prose in recent:
+                for other, theirs, n, known_theirs, their_prose, their_bits, _ in recent:
                     if other == url or not (both := mine & known_theirs):
                         continue
                     same = _common(keys, theirs, both)
                     if len(same) == filled == n or (filled > 2 and len(same) >= COPY_SHARE * max(filled, n) and prose <= both and their_prose <= both):
                         continue
-                    for i in same:
-                        bits[i] |= SHARED
-                after = [b for k, b in zip(keys, bits) if k]
-                pos = 0
-                for i, k in enumerate(keys):
-                    if k:
-                        pos += 1
-                        nxt = after[pos : pos + 2]
-                        if len(nxt) == 2 and all(b & TITLE and not b & (SHARED | BYLINE | OWN) for b in nxt):
-                            bits[i] |= LISTED
-                recent = [r for r in recent if r[0] != url][-NEIGHBOURS + 1 :] + [(url, keys, filled, mine, prose)]
-                keys_out.append(keys)
-                bits_out.append(bits)
-            arrays = [batch.column("seq"), pa.array(keys_out, pa.list_(pa.int64())), pa.array(bits_out, pa.list_(pa.int8()))]
-            arrays += [pa.array(feature(pages), pa.list_(pa.int64())) for feature in features]
-            yield pa.RecordBatch.from_arrays(arrays, names=["seq", "keys", "bits", *(f"extra{i}" for i in range(len(features)))])
+                    at = 0
+                    for i in same:  # both pages of a pair show the line
+                        bits[i] |= SHARED | LATER
+                        at = theirs.index(keys[i], at)
+                        their_bits[at] |= SHARED
+                        at += 1
+                recent = [r for r in recent if r[0] != url][-NEIGHBOURS + 1 :] + [(url, keys, filled, mine, prose, bits, here)]
+            waiting = {id(r[6]) for r in recent}
+            for h in held:
+                if id(h) not in waiting:
+                    yield h.finish(features)
+            held = [h for h in held if id(h) in waiting]
+        for h in held:
+            yield h.finish(features)
 
     return difference
 
@@ -187,7 +203,7 @@ def page_order(docs: DataFrame) -> DataFrame:
 def difference_pages(docs: DataFrame, *features: Feature) -> DataFrame:
     """(seq, keys, bits, extra0, ...): key, shape/shared bits and features of each line of each page."""
     extras = "".join(f", extra{i} array<long>" for i in range(len(features)))
-    return page_order(docs).mapInArrow(_differ(features), f"seq long, keys array<long>, bits array<tinyint>{extras}")
+    return page_order(docs).mapInArrow(_differ(features), f"seq long, keys array<long>, bits array<smallint>{extras}")
 
 
 def furniture_templates(lines: DataFrame) -> DataFrame:
@@ -198,9 +214,9 @@ def furniture_templates(lines: DataFrame) -> DataFrame:
         lines.select(one)
         .where("x.keys != 0")
         .groupBy(F.col("x.keys").alias("key"))
-        .agg(F.count("*").alias("n"), is_(SHARED).alias("n_shared"), is_(LISTED).alias("n_listed"), is_(BYLINE).alias("n_byline"))
+        .agg(F.count("*").alias("n"), is_(SHARED).alias("n_shared"), is_(LATER).alias("n_later"), is_(LISTED).alias("n_listed"), is_(BYLINE).alias("n_byline"))
     )
-    return stats.where((F.col("n_shared") >= MIN_SHARED) & (F.col("n_shared") >= MIN_RATE * F.col("n")) & (F.col("n_byline") == 0)).select(
+    return stats.where((F.col("n_shared") >= MIN_SHARED) & (F.col("n_later") >= MIN_RATE * F.col("n")) & (F.col("n_byline") == 0)).select(
         "key", ((F.col("n_listed") >= MIN_LISTED * F.col("n")) & (F.col("n_listed") >= 2)).alias("heading")
     )
 
@@ -261,7 +277,7 @@ def judge_lines(lines: DataFrame, conclude: Conclusion | None = None, columns: s
     kinds = furniture_templates(lines).select(F.col("key").alias("keys"), F.when(F.col("heading"), 2).otherwise(1).alias("kind"))
     row = F.struct("line_no", "keys", "bits", *extras, F.coalesce("kind", F.lit(0)).alias("kind"))
     marked = each.join(kinds, "keys", "left").select("seq", row.alias("r"))
-    plain = "line_no array<int>, gone array<boolean>, keys array<long>, bits array<tinyint>" + "".join(f", {c} array<long>" for c in extras)
+    plain = "line_no array<int>, gone array<boolean>, keys array<long>, bits array<smallint>" + "".join(f", {c} array<long>" for c in extras)
     schema = T.StructType.fromDDL("seq long, " + (columns if conclude else plain))
     return marked.groupBy("seq").agg(F.collect_list("r").alias("rows")).mapInArrow(_mark(extras, conclude, to_arrow_schema(schema)), schema)
 
