@@ -21,20 +21,20 @@ collected), then only 64-bit keys move.  State per task: the last
 
 Defined results: null, empty and blank bodies have no lines; null hosts and
 urls are ordinary (equal) values; exact copies and recrawls (same url) are not
-compared with each other; repeated ``seq`` values give repeated rows; an empty
+compared with each other; rows of one ``seq`` are one page; an empty
 table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from webloom.llm.lines import CLOSERS, END_MARKS, LONG_LINE, key64, squeeze, template
 from webloom.session import materialize
@@ -67,14 +67,12 @@ def classify_line(s: str) -> tuple[int, int]:
     """Key and shape bits of one squeezed line; blank lines have key 0."""
     if not s:
         return 0, 0
-    if len(s) > LONG_LINE:
-        return key64(s), PROSE
     t, bits = template(s), PROSE if len(s) >= PROSE_CHARS else 0
     if len(s) > 3 and s.isupper():
         bits |= CAPS
     tail = s.rstrip(CLOSERS)
-    wordy = s.count(" ") >= 3 or (len(s) >= 8 and not s.isascii() and s.count(" ") <= 1)
-    if wordy and s[0] not in _LIST_MARKS and tail and tail[-1] not in END_MARKS and t[-1] not in ":>" and not _DIGIT.search(s):
+    wordy = len(s) <= LONG_LINE and s.count(" ") >= 3 or (8 <= len(s) <= LONG_LINE and not s.isascii() and s.count(" ") <= 1)
+    if wordy and tail and tail[-1] not in END_MARKS and s[0] not in _LIST_MARKS and t[-1] not in ":>" and not _DIGIT.search(s):
         bits |= TITLE
     if _BYLINE.search(s) or _NAMES_ONLY.match(s.title() if bits & CAPS else s):
         bits |= BYLINE
@@ -113,81 +111,80 @@ def _common(a: list[int], b: list[int], both: set[int]) -> list[int]:
     return out[::-1]
 
 
-#: Optional per-line feature of an operator built on page differencing: from the
-#: pages (title, lines, shape bits) of a batch to one integer for each line.
-Page = tuple[str, list[str], list[int]]
-Feature = Callable[[list[Page]], list[list[int]]]
-
-
 class _Held:
     """A batch whose pages may still be found to share lines with pages to come."""
 
     def __init__(self, seqs: pa.Array) -> None:
-        self.seqs, self.pages = seqs, []  # type: pa.Array, list[tuple[str, list[str], list[int], list[int]]]
+        self.seqs, self.pages = seqs, []  # type: pa.Array, list[tuple[list[int], list[int]]]
 
-    def finish(self, features: tuple[Feature, ...]) -> pa.RecordBatch:
-        for _, _, keys, bits in self.pages:
+    def finish(self) -> pa.RecordBatch:
+        for keys, bits in self.pages:
+            titles = [bool(b & TITLE) and not b & (LATER | BYLINE | OWN) for b in bits]
+            if sum(titles) < 2:
+                continue
             filled = [i for i, k in enumerate(keys) if k]
-            for i, *nxt in zip(filled, filled[1:], filled[2:]):
-                if all(bits[j] & TITLE and not bits[j] & (LATER | BYLINE | OWN) for j in nxt):
+            for i, j, k in zip(filled, filled[1:], filled[2:]):
+                if titles[j] and titles[k]:
                     bits[i] |= LISTED
-        pages = [(title, lines, bits) for title, lines, _, bits in self.pages]
-        arrays = [self.seqs, pa.array([p[2] for p in self.pages], pa.list_(pa.int64())), pa.array([p[3] for p in self.pages], pa.list_(pa.int16()))]
-        arrays += [pa.array(feature(pages), pa.list_(pa.int64())) for feature in features]
-        return pa.RecordBatch.from_arrays(arrays, names=["seq", "keys", "bits", *(f"extra{i}" for i in range(len(features)))])
-
-
-def _differ(features: tuple[Feature, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: list[tuple[str, list[int], int, set[int], set[int], list[int], _Held]] = []
-        held: list[_Held] = []  # at most one for each recent page
-        known: dict[str, tuple[int, int]] = {}
-        as_usual: dict[str, int] = {}  # a line set in capitals takes the key of the same line set as usual
-        for batch in batches:
-            held.append(here := _Held(batch.column("seq")))
-            for url, title, body in zip(*(batch.column(c).to_pylist() for c in ("url", "title", "body"))):
-                keys, bits, title, lines = [], [], squeeze(title or ""), body.split("\n")
-                for line in lines:
-                    if (kb := known.get(line)) is None:
-                        kb = classify_line(s := squeeze(line))
-                        if kb[1] & CAPS:
-                            kb = as_usual.get(_DIGITS.sub("0", s.lower()), kb[0]), kb[1]
-                        elif len(line) <= LONG_LINE:
-                            if len(known) >= _CACHE_LINES:
-                                known.clear()
-                                as_usual.clear()
-                            known[line] = kb
-                            if kb[0]:
-                                as_usual[_DIGITS.sub("0", s.lower())] = kb[0]
-                    keys.append(kb[0])
-                    bits.append(kb[1] | OWN if kb[1] & TITLE and title and title.startswith(squeeze(line)) else kb[1])
-                here.pages.append((title, lines if features else [], keys, bits))
-                filled = len(keys) - keys.count(0)
-                mine = set(keys)
-                mine.discard(0)
-                prose = {k for k, b in zip(keys, bits) if b & PROSE}
-                for other, theirs, n, known_theirs, their_prose, their_bits, _ in recent:
-                    if other == url or not (both := mine & known_theirs):
-                        continue
-                    same = _common(keys, theirs, both)
-                    if len(same) == filled == n or (filled > 2 and len(same) >= COPY_SHARE * max(filled, n) and prose <= both and their_prose <= both):
-                        continue
-                    at = 0
-                    for i in same:  # both pages of a pair show the line
-                        bits[i] |= SHARED | LATER
-                        at = theirs.index(keys[i], at)
-                        their_bits[at] |= SHARED
-                        at += 1
-                recent = [r for r in recent if r[0] != url][-NEIGHBOURS + 1 :] + [(url, keys, filled, mine, prose, bits, here)]
-            waiting = {id(r[6]) for r in recent}
-            for h in held:
-                if id(h) not in waiting:
-                    yield h.finish(features)
-            held = [h for h in held if id(h) in waiting]
+        arrays = [self.seqs, pa.array([p[0] for p in self.pages], pa.list_(pa.int64())), pa.array([p[1] for p in self.pages], pa.list_(pa.int16()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["seq", "keys", "bits"])
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    recent: list[tuple[str, list[int], int, set[int], set[int], list[int], _Held]] = []
+    held: list[_Held] = []  # at most one for each recent page
+    known: dict[str, tuple[int, int]] = {}
+    as_usual: dict[str, int] = {}  # a line set in capitals takes the key of the same line set as usual
+
+    def classify(line: str) -> tuple[int, int]:
+        s = squeeze(line)
+        kb = classify_line(s)
+        if kb[1] & CAPS:
+            return as_usual.get(_DIGITS.sub("0", s.lower()), kb[0]), kb[1]
+        if len(line) <= LONG_LINE:
+            if len(known) >= _CACHE_LINES:
+                known.clear()
+                as_usual.clear()
+            known[line] = kb
+            if kb[0]:
+                as_usual[_DIGITS.sub("0", s.lower())] = kb[0]
+        return kb
+
+    for batch in batches:
+        held.append(here := _Held(batch.column("seq")))
+        for url, title, body in zip(*(batch.column(c).to_pylist() for c in ("url", "title", "body"))):
+            lines, title = body.split("\n"), squeeze(title or "")
+            found = [known.get(line) or classify(line) for line in lines]
+            keys, bits = [k for k, _ in found], [b for _, b in found]
+            if title:
+                for i, b in enumerate(bits):
+                    if b & TITLE and title.startswith(squeeze(lines[i])):
+                        bits[i] |= OWN
+            here.pages.append((keys, bits))
+            filled = len(keys) - keys.count(0)
+            mine = set(keys)
+            mine.discard(0)
+            prose = {k for k, b in found if b & PROSE}
+            for other, theirs, n, known_theirs, their_prose, their_bits, _ in recent:
+                if other == url or not (both := mine & known_theirs):
+                    continue
+                same = _common(keys, theirs, both)
+                if len(same) == filled == n or (filled > 2 and len(same) >= COPY_SHARE * max(filled, n) and prose <= both and their_prose <= both):
+                    continue
+                at = 0
+                for i in same:  # both pages of a pair show the line
+                    bits[i] |= SHARED | LATER
+                    at = theirs.index(keys[i], at)
+                    their_bits[at] |= SHARED
+                    at += 1
+            recent = [r for r in recent if r[0] != url][-NEIGHBOURS + 1 :] + [(url, keys, filled, mine, prose, bits, here)]
+        waiting = {id(r[6]) for r in recent}
         for h in held:
-            yield h.finish(features)
-
-    return difference
+            if id(h) not in waiting:
+                yield h.finish()
+        held = [h for h in held if id(h) in waiting]
+    for h in held:
+        yield h.finish()
 
 
 def page_order(docs: DataFrame) -> DataFrame:
@@ -200,10 +197,9 @@ def page_order(docs: DataFrame) -> DataFrame:
     return pages.repartitionByRange("_host", "_path", "seq").sortWithinPartitions("_host", "_path", "seq").select("seq", "url", "title", "body")
 
 
-def difference_pages(docs: DataFrame, *features: Feature) -> DataFrame:
-    """(seq, keys, bits, extra0, ...): key, shape/shared bits and features of each line of each page."""
-    extras = "".join(f", extra{i} array<long>" for i in range(len(features)))
-    return page_order(docs).mapInArrow(_differ(features), f"seq long, keys array<long>, bits array<smallint>{extras}")
+def difference_pages(docs: DataFrame) -> DataFrame:
+    """(seq, keys, bits): key and shape/shared bits of each line of each page."""
+    return page_order(docs).mapInArrow(_differ, "seq long, keys array<long>, bits array<smallint>")
 
 
 def furniture_templates(lines: DataFrame) -> DataFrame:
@@ -221,35 +217,30 @@ def furniture_templates(lines: DataFrame) -> DataFrame:
     )
 
 
-#: Conclusion of an operator on one page: from the columns of its lines (line_no, keys, bits, extra0, ..., gone),
-#: in order, to the values of its own columns, or None if the page is not wanted.
-Conclusion = Callable[[dict[str, list]], tuple | None]
-
-
-def _mark(extras: list[str], conclude: Conclusion | None, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["line_no", "gone", "keys", "bits", *extras]
-    read = ["line_no", "keys", "bits", *extras, "kind"]
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column("rows")
-            offsets, flat = rows.offsets.to_pylist(), rows.values
-            all_ = {name: flat.field(name).to_pylist() for name in read}
-            cols: list[list] = [[] for _ in schema]
-            for seq, a, b in zip(batch.column("seq").to_pylist(), offsets, offsets[1:]):
-                page = {name: all_[name][a:b] for name in read}
-                numbers = page["line_no"]
-                if any(x > y for x, y in zip(numbers, numbers[1:])):
-                    order = sorted(range(b - a), key=numbers.__getitem__)
-                    page = {name: [v[i] for i in order] for name, v in page.items()}
-                page["gone"] = _gone(page["bits"], page["kind"])
-                values = conclude(page) if conclude else [page[name] for name in names]
-                if values is not None:
-                    for c, v in zip(cols, (seq, *values)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-    return mark
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.column("rows")
+        offsets, flat = rows.offsets.to_pylist(), rows.values
+        numbers, keys, bits, kinds = (flat.field(name).to_pylist() for name in ("line_no", "keys", "bits", "kind"))
+        cols: list[list] = [[], [], [], []]
+        for a, b in zip(offsets, offsets[1:]):
+            page = sorted(set(zip(numbers[a:b], keys[a:b], bits[a:b], kinds[a:b])))  # rows of one seq are the same page
+            gone, aside, skeleton = [], [], []
+            for (n, key, bit, _), out in zip(page, _gone([x[2] for x in page], [x[3] for x in page])):
+                if out:
+                    gone.append(n)
+                elif bit & (BYLINE | OWN):
+                    aside.append(n)
+                else:
+                    skeleton.append(key)
+            for c, v in zip(cols, (gone, aside, _hash_keys(skeleton), _hash_keys(skeleton[1:]))):
+                c.append(v)
+        arrays = [batch.column("seq"), pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["seq", "gone", "aside", "skeleton", "rest"])
+
+
+def _hash_keys(keys: list[int]) -> int:
+    return xxhash.xxh3_64_intdigest(array("q", keys).tobytes()) - (1 << 63) or 1 if keys else 0
 
 
 def _gone(bits: list[int], kinds: list[int]) -> list[bool]:
@@ -265,32 +256,47 @@ def _gone(bits: list[int], kinds: list[int]) -> list[bool]:
     return gone
 
 
-def judge_lines(lines: DataFrame, conclude: Conclusion | None = None, columns: str = "") -> DataFrame:
-    """(seq, line_no, gone, keys, bits, extra0, ...): the non-blank lines of each page in order; ``gone`` marks furniture.
+def judge_lines(lines: DataFrame) -> DataFrame:
+    """(seq, gone, aside, skeleton, rest) of each page with text, once for each seq.
 
-    With ``conclude`` the columns (DDL) it makes of each page instead.
-    ``lines`` is read twice: pass a materialised result of :func:`difference_pages`.
+    Numbers, from 1, of the lines that are furniture and of the bylines and
+    headings among the others; hashes of the templates of all remaining lines
+    in order, and of those but the first, 0 if there is none.  ``lines`` is read twice: pass a
+    materialised result of :func:`difference_pages`.
     """
-    extras = [c for c in lines.columns if c.startswith("extra")]
-    each = lines.select("seq", F.posexplode(F.arrays_zip("keys", "bits", *extras)).alias("pos", "x")).where("x.keys != 0")
+    each = lines.select("seq", F.posexplode(F.arrays_zip("keys", "bits")).alias("pos", "x")).where("x.keys != 0")
     each = each.select("seq", (F.col("pos") + 1).alias("line_no"), "x.*")
     kinds = furniture_templates(lines).select(F.col("key").alias("keys"), F.when(F.col("heading"), 2).otherwise(1).alias("kind"))
-    row = F.struct("line_no", "keys", "bits", *extras, F.coalesce("kind", F.lit(0)).alias("kind"))
+    row = F.struct("line_no", "keys", "bits", F.coalesce("kind", F.lit(0)).alias("kind"))
     marked = each.join(kinds, "keys", "left").select("seq", row.alias("r"))
-    plain = "line_no array<int>, gone array<boolean>, keys array<long>, bits array<smallint>" + "".join(f", {c} array<long>" for c in extras)
-    schema = T.StructType.fromDDL("seq long, " + (columns if conclude else plain))
-    return marked.groupBy("seq").agg(F.collect_list("r").alias("rows")).mapInArrow(_mark(extras, conclude, to_arrow_schema(schema)), schema)
+    grouped = marked.groupBy("seq").agg(F.collect_list("r").alias("rows"))  # the lines of one page
+    return grouped.mapInArrow(_mark, "seq long, gone array<int>, aside array<int>, skeleton long, rest long")
 
 
-def judged_pages(docs: DataFrame, *features: Feature) -> DataFrame:
+def judged_pages(docs: DataFrame) -> DataFrame:
     """:func:`difference_pages` and :func:`judge_lines` in one."""
-    return judge_lines(materialize(difference_pages(docs, *features), "lines"))
+    return judge_lines(materialize(difference_pages(docs), "lines"))
+
+
+def own_pages(docs: DataFrame, *columns: str) -> DataFrame:
+    """(seq, *columns, gone, aside, skeleton, rest) of every page with text; the bodies meet the line numbers by seq."""
+    judged = judged_pages(docs).withColumnRenamed("seq", "_seq")
+    pages = docs.where(F.length(F.trim(F.coalesce("body", F.lit("")))) > 0).select("seq", *columns)
+    return pages.join(judged, F.col("seq") == F.col("_seq")).drop("_seq")
+
+
+def own_lines(body: str, gone: list[int], aside: list[int]) -> list[tuple[str, bool]]:
+    """The page's own non-blank lines and whether each is a byline or heading."""
+    out, drop, beside = [], set(gone), set(aside)
+    for n, line in enumerate(body.split("\n"), 1):
+        if n not in drop and line and not line.isspace():
+            out.append((line, n in beside))
+    return out
 
 
 def furniture(docs: DataFrame) -> DataFrame:
-    """(seq, furniture): numbers, from 1, of the lines that hold nothing of the page's own."""
-    zipped = F.filter(F.arrays_zip("line_no", "gone"), lambda x: x["gone"])
-    return judged_pages(docs).select("seq", F.transform(zipped, lambda x: x["line_no"]).alias("furniture"))
+    """(seq, furniture): numbers, from 1, of the lines that hold nothing of the page's own; one row for each seq."""
+    return judged_pages(docs).select("seq", F.col("gone").alias("furniture"))
 
 
 def own_body(body: Column, numbers: Column) -> Column:
@@ -301,7 +307,7 @@ def own_body(body: Column, numbers: Column) -> Column:
 
 def clean_pages(docs: DataFrame) -> DataFrame:
     """(seq, own_body, n_removed) for every page; a null body stays null."""
-    gone = furniture(docs).select(F.col("seq").alias("_seq"), "furniture").dropDuplicates(["_seq"])
+    gone = furniture(docs).select(F.col("seq").alias("_seq"), "furniture")
     numbers = F.coalesce("furniture", F.array().cast("array<int>"))
     return docs.join(gone, F.col("seq") == F.col("_seq"), "left").select(
         "seq", own_body(F.col("body"), numbers).alias("own_body"), F.size(numbers).cast("long").alias("n_removed")

@@ -18,8 +18,9 @@ sentence is placed by trees that have not seen it (:func:`fit_texts`).
 
 A page's own sentences count (page furniture, bylines and headings do not, see
 :mod:`webloom.llm.boilerplate`).  Two or more sentences each in two or more
-languages make a mixed page; where a body lost its breaks, furniture cannot be
-told apart, so there a language also needs ``MIN_SHARE`` of the sentences.
+languages make a mixed page.  Where a body lost its breaks, furniture stands in
+the one line there is; there a sentence does not count if it ends like one in a
+furniture line of any page.
 
 Defined results: pages without text have no language; pages without a whole
 sentence take the language of their own lines; labels are compared by their
@@ -39,10 +40,11 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from webloom.llm.boilerplate import BYLINE, SHARED, Feature, Page, difference_pages, judge_lines
-from webloom.llm.lines import CLOSERS, END_MARKS, LONG_LINE
-from webloom.session import materialize
+from webloom.llm.boilerplate import own_lines
+from webloom.llm.lines import CLOSERS, END_MARKS, LONG_LINE, key64, squeeze, template
 
 LANGS = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja", "ar", "hi", "th")
 ORDER = 4
@@ -52,7 +54,8 @@ MARGIN_BITS = 12.0
 MARGIN_RATE, FIRST_RATE = 1.0, 0.5
 #: Worth of a page's label, in bits a byte, when its sentences are first placed.
 LABEL_RATE = 0.3
-MIN_SHARE = 0.2
+#: Characters at the end of a sentence by which a notice is known again.
+NOTICE_CHARS = 24
 #: A whole sentence has at least this many bytes.
 MIN_BYTES = 18
 
@@ -71,6 +74,9 @@ SEEDS = {
     "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ คนทุกคนมีสิทธิในการดำรงชีวิต เสรีภาพ และความมั่นคงแห่งตัวตน",
 }
 
+#: Column of a page: name, DDL type, and function of its title, own lines, label and languages.
+Fact = tuple[str, str, Callable[[str, list[tuple[str, bool]], str, list[str]], object]]
+
 _CACHE_SENTENCES = 30_000
 #: Bytes scored in one go.
 _BLOCK_BYTES = 200_000
@@ -241,52 +247,86 @@ def confidence(bits: np.ndarray) -> np.ndarray:
     return 1.0 / rest.sum(axis=1)
 
 
-def language_feature(trees: Broadcast) -> Feature:
-    """Per line: whole sentences of each language (5 bits each), the line's language (4 bits) above them."""
-    known: dict[str, tuple[np.ndarray, int, bool]] = {}  # code lengths, bytes, whole sentence
-
-    def feature(pages: list[Page]) -> list[list[int]]:
-        short: dict[str, list[str]] = {}
-
-        def split(line: str) -> list[str]:
-            if len(line) > LONG_LINE:
-                return [s for s in sentences(line) if _LETTER.search(s)]
-            if (found := short.get(line)) is None:
-                found = short[line] = [s for s in sentences(line) if _LETTER.search(s)]
-            return found
-
-        # lines that a near page shows too are not the page's own
-        units = [[(i, s) for i, line in enumerate(lines) if not bits[i] & SHARED for s in split(line)] for _, lines, bits in pages]
+class PageLanguages:
+    """Languages of pages from their own lines; sentences seen before are not coded again."""
+
+    def __init__(self, trees: Trees) -> None:
+        self.trees = trees
+        self.known: dict[str, tuple[np.ndarray, int, bool]] = {}  # code lengths, bytes, whole sentence
+        self.short: dict[str, list[str]] = {}
+        self.told: set[str] = set()
+
+    def split(self, line: str) -> list[str]:
+        """Sentences of the line that hold letters."""
+        if len(line) > LONG_LINE:
+            return [s for s in sentences(line) if _LETTER.search(s)]
+        if (found := self.short.get(line)) is None:
+            if len(self.short) > _CACHE_SENTENCES:
+                self.short.clear()
+            found = self.short[line] = [s for s in sentences(line) if _LETTER.search(s)]
+        return found
+
+    def conclude(self, pages: list[list[tuple[str, bool]]], broken: list[bool]) -> list[PageLanguage | None]:
+        """For each page, given by its own lines and whether they are bylines or headings, and whether its body lost its breaks."""
+        units = [[(s, aside) for line, aside in page for s in self.split(line)] for page in pages]
+        known = self.known
         if len(known) > _CACHE_SENTENCES:
             known.clear()
-        new = list({s: None for page in units for _, s in page if s not in known})
-        for s, row in zip(new, trees.value.code_lengths(new)):
+        new = list({s: None for page in units for s, _ in page if s not in known})
+        for s, row in zip(new, self.trees.code_lengths(new)):
             size = len(s.encode())
             known[s] = (row, size, is_whole(s, size))
-        out = [_count(lines, bits, [(i, s, *known[s]) for i, s in page]) for (_, lines, bits), page in zip(pages, units)]
+        out = [_conclude([s for s, _ in page], [(*known[s], aside) for s, aside in page], b) if page else None for page, b in zip(units, broken)]
         for s in new:
             if len(s) > 100:
                 del known[s]
         return out
 
-    return feature
+    def notices(self, body: str, gone: list[int]) -> list[int]:
+        """Keys of the sentences in the page's furniture lines, those of lines seen before left out."""
+        out: list[int] = []
+        if gone:
+            lines = body.split("\n")
+            for n in gone:
+                if (line := lines[n - 1]) not in self.told:
+                    if len(self.told) > _CACHE_SENTENCES:
+                        self.told.clear()
+                    self.told.add(line)
+                    out += [notice_key(s) for s in self.split(line) if is_whole(s)]
+        return out
 
 
-def _count(lines: list[str], bits: list[int], units: list[tuple[int, str, np.ndarray, int, bool]]) -> list[int]:
-    out = [0] * len(lines)
-    if not units:
-        return out
-    langs = decide(np.array([u[2] for u in units]), np.array([u[3] for u in units]))
-    line, longest = -1, 0
-    for (i, _, _, size, whole), lang in zip(units, langs.tolist()):
-        if i != line:
-            line, longest = i, 0
-        if whole and not bits[i] & BYLINE and (out[i] >> 5 * lang) & 31 < 31:
-            out[i] += 1 << 5 * lang
-        if size > longest:
-            longest = size
-            out[i] = out[i] & ((1 << 55) - 1) | (lang + 1) << 55
-    return out
+def notice_key(sentence: str) -> int:
+    """Key of a sentence by its masked end: in a body without breaks its beginning may be glued to a menu or heading."""
+    return key64(template(squeeze(sentence))[-NOTICE_CHARS:])
+
+
+@dataclass
+class PageLanguage:
+    """Languages with the confidence of each; several make a mixed page.
+
+    ``doubts`` (language, key) are the whole sentences of a mixed page whose
+    body lost its breaks, among which there may be furniture.
+    """
+
+    langs: list[str]
+    confidence: list[float]
+    doubts: list[tuple[str, int]]
+
+
+def _conclude(texts: list[str], units: list[tuple[np.ndarray, int, bool, bool]], broken: bool) -> PageLanguage:
+    """Two or more whole sentences each make a mixed page; without a whole sentence all pieces count."""
+    bits, sizes = np.array([u[0] for u in units]), np.array([u[1] for u in units])
+    langs = decide(bits, sizes)
+    whole = np.array([w and not aside for _, _, w, aside in units])
+    counts = np.bincount(langs[whole], minlength=len(LANGS))
+    several = np.flatnonzero(counts >= 2)
+    mixed = len(several) > 1
+    ranked = counts if counts.any() else np.bincount(langs, weights=sizes, minlength=len(LANGS))
+    order = sorted(several.tolist(), key=lambda x: -ranked[x]) if mixed else [int(ranked.argmax())]
+    sure = [float(confidence(bits[langs == x].sum(axis=0, keepdims=True))[0]) for x in order]
+    doubts = [(LANGS[x], notice_key(s)) for s, x, w in zip(texts, langs.tolist(), whole.tolist()) if w] if mixed and broken else []
+    return PageLanguage([LANGS[x] for x in order], sure, doubts)
 
 
 def label_code(lang: Column) -> Column:
@@ -345,56 +385,65 @@ def fit_texts(pages: list[tuple[str, list[str]]]) -> Trees:
     return trees(owner, everyone)
 
 
-def languages_of(page: dict[str, list]) -> tuple[list[str], bool]:
-    """Languages of a page's own lines (``extra0`` holds :func:`language_feature`), and whether there are several.
+def page_languages(pages: DataFrame, trees: Broadcast, *facts: Fact) -> DataFrame:
+    """(seq, gone, aside, skeleton, rest, code, langs, confidence, ...) of every page of ``pages``, a
+    result of :func:`webloom.llm.boilerplate.own_pages` with title, body and lang; the commonest language comes first.
 
-    Two or more whole sentences each make a mixed page; in a body of one line,
-    where furniture cannot be told apart, each also needs MIN_SHARE of them.
-    Without a whole sentence the commonest language of the lines holds.
-    """
-    counts, lines = [0] * len(LANGS), [0] * len(LANGS)
-    for gone, v in zip(page["gone"], page["extra0"]):
-        if gone:
-            continue
-        if v >> 55:
-            lines[(v >> 55) - 1] += 1
-        v &= (1 << 55) - 1
-        i = 0
-        while v:
-            counts[i] += v & 31
-            v >>= 5
-            i += 1
-    total = sum(counts)
-    need = max(2.0, MIN_SHARE * total if len(page["gone"]) == 1 else 0.0)
-    several = [x for x, n in zip(LANGS, counts) if n >= need]
-    if len(several) > 1:
-        return several, True
-    ranked = counts if total else lines
-    top = max(ranked)
-    return [LANGS[ranked.index(top)]] if top else [], False
-
-
-def page_languages(docs: DataFrame, leave_out: Callable[[dict[str, list]], bool] | None = None, *features: Feature) -> DataFrame:
-    """(seq, langs, mixed, gone) of every page with text: its languages and the numbers of its furniture lines.
-
-    ``features`` add columns ``extra1``, ... that ``leave_out`` may judge a page by.
+    Each of ``facts`` (name, DDL type, function) adds a column: the function
+    gets the title, the own lines, the first subtag of the label and the
+    languages of the page.
     """
+    kept = ["seq", "gone", "aside", "skeleton", "rest", "code"]
+    names = [*kept, "langs", "confidence", "doubts", "notices", *(f[0] for f in facts)]
+    ddl = "langs array<string>, confidence array<double>, doubts array<struct<lang:string, key:long>>, notices array<long>"
+    schema = T.StructType.fromDDL("seq long, gone array<int>, aside array<int>, skeleton long, rest long, code string, " + ddl + "".join(f", {n} {t}" for n, t, _ in facts))
+    arrow = to_arrow_schema(schema)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = PageLanguages(trees.value)
+        for batch in batches:
+            codes, titles, bodies, gone, aside = (batch.column(c).to_pylist() for c in ("code", "title", "body", "gone", "aside"))
+            own = [own_lines(*x) for x in zip(bodies, gone, aside)]
+            cols: list[list] = [[] for _ in range(4 + len(facts))]
+            for code, title, body, out, lines, found in zip(codes, titles, bodies, gone, own, engine.conclude(own, ["\n" not in b for b in bodies])):
+                langs = found.langs if found else []
+                doubts = [{"lang": x, "key": k} for x, k in found.doubts] if found else []
+                row = (langs, found.confidence if found else [], doubts, engine.notices(body, out), *(f(squeeze(title or ""), lines, code, langs) for _, _, f in facts))
+                for c, v in zip(cols, row):
+                    c.append(v)
+            arrays = [batch.column(c) for c in kept] + [pa.array(c, f.type) for c, f in zip(cols, list(arrow)[len(kept) :])]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    def conclude(page: dict[str, list]) -> tuple | None:
-        if leave_out and leave_out(page):
-            return None
-        return *languages_of(page), [n for n, gone in zip(page["line_no"], page["gone"]) if gone]
+    return pages.select("seq", "gone", "aside", "skeleton", "rest", label_code(F.col("lang")).alias("code"), "title", "body").mapInArrow(label, schema)
 
-    trees = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    lines = materialize(difference_pages(docs, language_feature(trees), *features), "languages")
-    return judge_lines(lines, conclude, "langs array<string>, mixed boolean, gone array<int>")
 
+def is_named(code: str, langs: list[str]) -> bool:
+    """True if the label is missing or wrong, or the page holds several languages."""
+    return len(langs) > 1 or bool(langs) and langs[0] != code
 
-def relabel(docs: DataFrame, langs: DataFrame) -> DataFrame:
-    """(seq, lang) of the pages whose label is missing or wrong, and of every language of mixed pages."""
-    labels = docs.select("seq", label_code(F.col("lang")).alias("code")).dropDuplicates(["seq"])
-    joined = langs.join(labels, "seq").select("seq", "mixed", "code", F.explode("langs").alias("lang"))
-    return joined.where(F.col("mixed") | (F.col("code") != F.col("lang"))).select("seq", "lang")
+
+def settle(languages: DataFrame) -> DataFrame:
+    """``languages``, a materialised :func:`page_languages`, with the doubtful pages decided.
+
+    In a body that lost its breaks, sentences that are site furniture elsewhere
+    do not count; a language with fewer than two others is dropped.
+    """
+    notices = languages.select(F.explode("notices").alias("key")).distinct()
+    doubts = languages.where(F.size("doubts") > 0).select("seq", F.explode("doubts").alias("d")).select("seq", "d.lang", "d.key")
+    left = doubts.join(notices, "key", "left_anti").groupBy("seq", "lang").agg(F.count("*").alias("n")).where("n >= 2")
+    left = left.groupBy("seq").agg(F.collect_set("lang").alias("_left"))  # at most one entry for each of LANGS
+    pairs = F.arrays_zip("langs", "confidence")
+    kept = F.filter(pairs, lambda x: F.array_contains("_left", x["langs"]))
+    best = F.when(F.size("doubts") == 0, pairs).when(F.coalesce(F.size("_left"), F.lit(0)) > 0, kept).otherwise(F.slice(pairs, 1, 1))
+    settled = languages.join(left, "seq", "left").withColumn("_best", best)
+    return settled.withColumn("langs", F.col("_best.langs")).withColumn("confidence", F.col("_best.confidence")).drop("_best", "_left", "doubts", "notices")
+
+
+def relabel(languages: DataFrame) -> DataFrame:
+    """(seq, lang, confidence) of the pages whose label is missing or wrong, and of every language of mixed pages."""
+    named = (F.size("langs") > 1) | (F.get("langs", F.lit(0)) != F.col("code"))
+    each = languages.where(named).select("seq", F.explode(F.arrays_zip("langs", "confidence")).alias("x"))
+    return each.select("seq", F.col("x.langs").alias("lang"), F.col("x.confidence").alias("confidence"))
 
 
 def label_passages(docs: DataFrame) -> DataFrame:

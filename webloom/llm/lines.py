@@ -16,9 +16,10 @@ import xxhash
 END_MARKS = ".!?…。！？｡؟۔।॥"
 #: Marks that may follow an end mark inside the same sentence.
 CLOSERS = "\"'”’»›)]}」』）】》“"
-#: A longer line is a paragraph: it is compared as a whole and never masked.
+#: A longer line is a paragraph: neither a title nor known by its lead-in.
 LONG_LINE = 200
 
+_DIGIT = re.compile("[0-9@]")
 _DIGITS = re.compile(r"@\w+|\b[^\W_]*[0-9][^\W_]*")
 _INNER_CAP = re.compile(r"(?<!^)(?<![^\W\d_'’])[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*(?:[-'’][^\W\d_]+)*")
 _LATIN = re.compile(r"[A-Za-z]+")
@@ -35,16 +36,19 @@ def squeeze(line: str) -> str:
 
 def template(s: str) -> str:
     """The squeezed line ``s`` with its variable parts masked."""
-    if s[0] in "»›→" and len(s) > 2:
+    if s[0] in "»›→" and 2 < len(s) <= LONG_LINE:
         return s[0]
-    m = _LEAD.match(s)
+    m = _LEAD.match(s) if len(s) <= LONG_LINE else None
     if m and (m[2] or s[-1] not in END_MARKS):
         lead = m[1]
         if len(lead) <= (8 if _UNSPACED.search(lead) else 30):
             return lead.lower() + (":" if m[2] else ">")
-    s = _DIGITS.sub("0", s)
-    if _UNSPACED.search(s):
+    if _DIGIT.search(s):
+        s = _DIGITS.sub("0", s)
+    if not s.isascii() and _UNSPACED.search(s):
         s = _LATIN.sub("#", s)
+    elif (low := s[1:].lower()) == s[1:]:  # nothing is capitalised inside
+        return s[0].lower() + low
     elif not s.isupper():
         s = _NAMES.sub("#", _INNER_CAP.sub("#", s))
     return s.lower()

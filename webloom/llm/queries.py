@@ -26,8 +26,7 @@ def p1_host_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    gone = F.explode(F.filter(F.arrays_zip("line_no", "gone"), lambda x: x["gone"])).alias("x")
-    return boilerplate.judged_pages(table(spark, d, "docs")).select("seq", gone).select("seq", F.col("x.line_no").cast("long").alias("line_no"))
+    return boilerplate.furniture(table(spark, d, "docs")).select("seq", F.explode(F.col("furniture").cast("array<long>")).alias("line_no"))
 
 
 def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
@@ -35,13 +34,26 @@ def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Residue pages are left out while languages are read; spam is looked for among the pages that would be named."""
-    docs = table(spark, d, "docs")
-    pages = language.page_languages(docs, lambda page: residue.is_residue(page, "extra1"), residue.residue)
-    pages = materialize(pages, "page-languages")
-    named = materialize(language.relabel(docs, pages), "relabelled")
-    spam = stuffing.spam_among(docs, pages.join(named.select("seq"), "seq", "left_semi"))
-    return named.join(spam, "seq", "left_anti")
+    return _languages(table(spark, d, "docs"), True).select("seq", "lang")
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, lang, confidence): every language of every page with text, whatever its label."""
+    return _languages(table(spark, d, "docs"), False)
+
+
+def _languages(docs: DataFrame, missing: bool) -> DataFrame:
+    """With ``missing`` the pages whose label is missing or wrong and the mixed ones, residue and spam left out."""
+    trees = docs.sparkSession.sparkContext.broadcast(language.fit(docs))
+    pages = boilerplate.own_pages(docs, "title", "body", "lang")
+    if not missing:
+        found = language.settle(materialize(language.page_languages(pages, trees), "page-languages"))
+        return found.select("seq", F.explode(F.arrays_zip("langs", "confidence")).alias("x")).select("seq", F.col("x.langs").alias("lang"), F.col("x.confidence").alias("confidence"))
+    facts = ("facts", residue.FACTS, lambda title, lines, code, langs: residue.page_facts(title, lines))
+    spam = ("spam", "boolean", lambda title, lines, code, langs: language.is_named(code, langs) and stuffing.is_spam(*stuffing.page_stuffing(lines)))
+    found = materialize(language.page_languages(pages, trees, facts, spam), "page-languages")
+    named = language.relabel(language.settle(found).where("not spam"))
+    return named.join(residue.judge(docs, found.select("seq", "gone", "aside", "skeleton", "rest", "facts")).select("seq"), "seq", "left_anti")
 
 
 def p4_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_main_text": p3_main_text,
     "p4_found": p4_found,
+    "p4_languages": p4_languages,
     "p4_passages": p4_passages,
     "p5_found": p5_found,
     "p5_clean": p5_clean,

@@ -31,10 +31,9 @@ from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from webloom.llm.boilerplate import BYLINE, OWN, SHARED, Page, classify_line, judged_pages
-from webloom.llm.lines import CLOSERS, END_MARKS, squeeze
+from webloom.llm.boilerplate import own_lines, own_pages
+from webloom.llm.lines import CLOSERS, END_MARKS
 
 MIN_TIMES = 3
 PHRASE_RATE = 0.6
@@ -133,19 +132,19 @@ def _automaton(tokens: list[int]) -> tuple[list[int], list[tuple[int, int, int]]
     return cover, [(count[v], length[v], end[v]) for v in order if count[v] >= MIN_TIMES and length[v] >= 2]
 
 
-def page_stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
-    """Per line: stuffed characters * 2^20 + honest characters."""
-    segments: list[tuple[int, str]] = []
-    for i, line in enumerate(lines):
-        if bits[i] & (BYLINE | OWN | SHARED):  # what a near page shows too is not the page's own
+def page_stuffing(lines: list[tuple[str, bool]]) -> tuple[int, int]:
+    """Stuffed and honest characters of a page, given by its own lines and whether they are bylines or headings."""
+    segments: list[str] = []
+    for line, aside in lines:
+        if aside:
             continue
         if len(line) > 60:
-            segments.extend((i, s) for s in _BREAK.split(line) if s and not s.isspace())
-        elif line and not line.isspace():
-            segments.append((i, line))
+            segments.extend(s for s in _BREAK.split(line) if s and not s.isspace())
+        else:
+            segments.append(line)
     tokens: list[str] = []
     bounds = [0]
-    text = _DIGITS.sub("0", "\x00".join([s for _, s in segments]).lower())
+    text = _DIGITS.sub("0", "\x00".join(segments).lower())
     for t in (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text):
         if t == "\x00":
             bounds.append(len(tokens))
@@ -166,8 +165,8 @@ def page_stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
             if t == first and tokens[i : i + k] == words:
                 phrase[i : i + k] = [1] * k
         phrase_upto = [0, *accumulate(map(mul, widths, phrase))]
-    out = [0] * len(lines)
-    for n, (i, s) in enumerate(segments):
+    stuffed = honest = 0
+    for n, s in enumerate(segments):
         a, b = bounds[n], bounds[n + 1]
         size = upto[b] - upto[a]
         if not size:
@@ -179,45 +178,24 @@ def page_stuffing(title: str, lines: list[str], bits: list[int]) -> list[int]:
         links = (not clause or covered > 0.3) and _LINKS.search(s) is not None
         clause = clause and not links
         if on_phrase >= 0.25 or (not clause and (links or (covered >= MIN_COVER and not _NEUTRAL.match(s)))):
-            out[i] += min(size, (1 << 20) - 1) << 20
+            stuffed += size
         elif clause:
-            out[i] += size
-    return out
+            honest += size
+    return stuffed, honest
 
 
-def stuffing(pages: list[Page]) -> list[list[int]]:
-    return [page_stuffing(*p) for p in pages]
+def is_spam(stuffed: int, honest: int) -> bool:
+    return stuffed > honest and stuffed >= MIN_STUFFED
 
 
-def judge(pages: DataFrame, extra: str = "extra0") -> DataFrame:
-    """(..., stuffed, honest, is_spam) from judged pages whose column ``extra`` holds :func:`stuffing`."""
-    own = F.filter(F.arrays_zip("gone", extra), lambda x: ~x["gone"])
-    total = lambda f: F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + f(x[extra]))
-    sums = pages.withColumn("stuffed", total(lambda v: F.shiftright(v, 20))).withColumn("honest", total(lambda v: v.bitwiseAND((1 << 20) - 1)))
-    return sums.withColumn("is_spam", (F.col("stuffed") > F.col("honest")) & (F.col("stuffed") >= MIN_STUFFED))
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("body", "gone", "aside")))
+        sums = [page_stuffing(own_lines(*row)) for row in rows]
+        arrays = [batch.column("seq"), pa.array([x for x, _ in sums], pa.int64()), pa.array([x for _, x in sums], pa.int64()), pa.array([is_spam(*x) for x in sums], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["seq", "stuffed", "honest", "is_spam"])
 
 
 def score_pages(docs: DataFrame) -> DataFrame:
     """(seq, stuffed, honest, is_spam) of every page with text, in characters of its own lines."""
-    return judge(judged_pages(docs, stuffing)).select("seq", "stuffed", "honest", "is_spam")
-
-
-def _spam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for seq, title, body, gone in zip(*(batch.column(c).to_pylist() for c in ("_seq", "title", "body", "gone"))):
-            lines, out = body.split("\n"), set(gone)
-            bits = [SHARED if n in out else classify_line(squeeze(x))[1] for n, x in enumerate(lines, 1)]
-            sums = page_stuffing(title or "", lines, bits)
-            stuffed, honest = sum(x >> 20 for x in sums), sum(x & ((1 << 20) - 1) for x in sums)
-            if stuffed > honest and stuffed >= MIN_STUFFED:
-                found.append(seq)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["seq"])
-
-
-def spam_among(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """(seq) of the spam among the given pages (seq, gone), whose furniture lines are known."""
-    some = pages.select(F.col("seq").alias("_seq"), "gone").dropDuplicates(["_seq"])
-    # the numbers alone first: few pages are asked for, so their bodies alone meet the lists of lines
-    bodies = docs.where("body is not null").select("seq", "title", "body").join(some.select(F.col("_seq").alias("seq")), "seq", "left_semi")
-    return bodies.join(some, F.col("seq") == F.col("_seq")).select("_seq", "title", "body", "gone").mapInArrow(_spam, "seq long")
+    return own_pages(docs, "body").select("seq", "body", "gone", "aside").mapInArrow(_score, "seq long, stuffed long, honest long, is_spam boolean")
