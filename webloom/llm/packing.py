@@ -2,11 +2,13 @@
 
 Method: *shortest-pack-first over the length histogram*.  Only the histogram
 of item lengths, at most ``capacity`` numbers, reaches the driver.  Lengths
-are placed longest first: each batch of equal items goes to the open packs
-with the least space left that still suffices.  Packs are counted by pattern
-(multiset of lengths), so the work depends on the capacity and never on the
-number of texts.  Patterns are joined back by rank: the texts of
-one length are numbered, and each place of a pattern takes a range of ranks.
+are placed longest first: each item goes to the shortest pack, the one with the
+most space left, or opens a new one.  Packs are counted by pattern (multiset of
+lengths); a length splits at most one pattern and opens at most two, so there
+are at most three for each length and the work depends on the capacity, never
+on the number of texts.  Patterns are joined back by rank: the texts of one
+length are numbered, each place of a pattern takes a range of ranks, and a
+binary search over the ranges, a broadcast bounded by the capacity, finds it.
 
 No text is split unless it alone exceeds the capacity; then full containers
 are cut off it and the rest is packed like any other item.
@@ -20,10 +22,15 @@ copies are separate items; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,43 +38,50 @@ from webloom.session import materialize
 
 #: Rows of one rank bucket.
 BUCKET_ROWS = 50_000
-#: Largest number of pattern places sent to the executors as a broadcast.
-MAX_BROADCAST = 100_000
+#: Bits of a rank in the key of a range.
+RANK_BITS = 42
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Patterns (count, ((length, times), ...)) that place every item of the histogram.
 
-    Lengths run from the longest; open patterns are kept by the space they have
-    left, and the fullest pattern that still has room comes first.
+    Lengths run from the longest; each item goes to the pack with the most
+    space left, and opens a new one if it does not fit there.
     """
-    left: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)  # space -> [(packs, lengths)]
+    left: dict[int, list[tuple[int, tuple[int, ...]]]] = {}  # space -> [(packs, lengths)]
+    spaces: list[int] = []  # the spaces in use, negated, as a heap
+
+    def put(space: int, packs: int, lengths: tuple[int, ...]) -> None:
+        if space not in left:
+            left[space] = []
+            heapq.heappush(spaces, -space)
+        left[space].append((packs, lengths))
+
     for length in sorted(histogram, reverse=True):
         items = histogram[length]
         while items:
-            space = next((s for s in range(length, capacity + 1) if left.get(s)), None)
-            if space is None:
+            space = -spaces[0] if spaces else 0
+            if space < length:
                 per_pack = capacity // length
                 full, rest = divmod(items, per_pack)
                 if full:
-                    left[capacity - per_pack * length].append((full, (length,) * per_pack))
+                    put(capacity - per_pack * length, full, (length,) * per_pack)
                 if rest:
-                    left[capacity - rest * length].append((1, (length,) * rest))
+                    put(capacity - rest * length, 1, (length,) * rest)
                 break
             packs, lengths = left[space].pop()
-            times = min(space // length, max(1, items // packs))
-            used = min(packs, items // times)
+            used = min(packs, items)
             if used < packs:
                 left[space].append((packs - used, lengths))
-            left[space - times * length].append((used, lengths + (length,) * times))
-            items -= used * times
+            if not left[space]:
+                del left[space]
+                heapq.heappop(spaces)
+            put(space - length, used, (*lengths, length))
+            items -= used
     out = []
     for found in left.values():
         for packs, lengths in found:
-            counted: dict[int, int] = defaultdict(int)
-            for x in lengths:
-                counted[x] += 1
-            out.append((packs, tuple(sorted(counted.items(), reverse=True))))
+            out.append((packs, tuple(sorted(Counter(lengths).items(), reverse=True))))
     return sorted(out, key=lambda p: (p[1], p[0]), reverse=True)
 
 
@@ -96,6 +110,20 @@ def ranked(items: DataFrame, rows: int) -> DataFrame:
     return numbered.join(offsets, ["length", "_bucket"]).withColumn("rank", F.col("_before") + F.col("_at")).drop("_bucket", "_before", "_at")
 
 
+def _place(table: Broadcast):
+    """The container of each (length, rank), by binary search."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, shift = table.value
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_tokens", "rank"))
+            at = np.searchsorted(starts, (length << RANK_BITS) + rank, side="right") - 1
+            arrays = [batch.column(c) for c in ("doc_id", "piece", "n_tokens")] + [pa.array(shift[at] + rank if len(rank) else rank, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "n_tokens", "container"])
+
+    return place
+
+
 def pack(sized: DataFrame, limits: DataFrame) -> DataFrame:
     """(pack_name, container, doc_id, piece, n_tokens): the container of every text for every limit.
 
@@ -113,13 +141,13 @@ def pack(sized: DataFrame, limits: DataFrame) -> DataFrame:
         items = sized.select("doc_id", "copy", "n_tokens", piece)
         items = items.select("doc_id", "copy", "piece", F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece") * capacity).alias("length"))
         histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
-        rows = [Row(length=a, lo=b, hi=c, base=d) for a, b, c, d in places(pack_histogram(histogram, capacity))]
-        table = spark.createDataFrame(rows, "length long, lo long, hi long, base long")
-        table = F.broadcast(table) if len(rows) <= MAX_BROADCAST else table
-        joined = ranked(items, sum(histogram.values())).join(table, ["length"]).where("rank between lo and hi")
-        packed = joined.select(
-            F.lit(name).alias("pack_name"), (F.col("base") + F.col("rank") - F.col("lo")).alias("container"), "doc_id", F.col("piece").cast("long").alias("piece"), F.col("length").alias("n_tokens")
-        )
+        taken = sorted(places(pack_histogram(histogram, capacity)))
+        starts = np.array([(length << RANK_BITS) + lo for length, lo, _, _ in taken], dtype=np.int64)
+        shift = np.array([base - lo for _, lo, _, base in taken], dtype=np.int64)
+        table = spark.sparkContext.broadcast((starts, shift))
+        numbered = ranked(items, sum(histogram.values())).select("doc_id", F.col("piece").cast("long").alias("piece"), F.col("length").alias("n_tokens"), "rank")
+        found = numbered.mapInArrow(_place(table), "doc_id long, piece long, n_tokens long, container long")
+        packed = found.select(F.lit(name).alias("pack_name"), "container", "doc_id", "piece", "n_tokens")
         out = packed if out is None else out.unionByName(packed)
     return out if out is not None else spark.createDataFrame([], "pack_name string, container long, doc_id long, piece long, n_tokens long")
 
@@ -130,3 +158,14 @@ def fill_rates(packed: DataFrame, limits: DataFrame) -> DataFrame:
     return used.join(F.broadcast(limits.distinct()), "pack_name").select(
         "pack_name", F.col("capacity").cast("long").alias("capacity"), "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill")
     )
+
+
+def faults(packed: DataFrame, sized: DataFrame, limits: DataFrame) -> DataFrame:
+    """(pack_name, texts, overfull, split_needlessly, tokens_lost): what a valid packing holds; the last three are 0."""
+    sizes = F.broadcast(limits.select("pack_name", F.col("capacity").cast("long").alias("capacity")).distinct())
+    filled = packed.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("t")).join(sizes, "pack_name")
+    full = filled.groupBy("pack_name").agg(F.sum((F.col("t") > F.col("capacity")).cast("long")).alias("overfull"))
+    texts = packed.groupBy("pack_name", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("placed")).join(sized, "doc_id").join(sizes, "pack_name")
+    split = (F.col("pieces") > F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("long")
+    counted = texts.groupBy("pack_name").agg(F.count("*").alias("texts"), F.sum(split).alias("split_needlessly"), F.sum(F.abs(F.col("n_tokens") - F.col("placed"))).alias("tokens_lost"))
+    return counted.join(full, "pack_name").select("pack_name", "texts", "overfull", "split_needlessly", "tokens_lost")

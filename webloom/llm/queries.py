@@ -84,6 +84,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_rates(p8_containers(spark, d), table(spark, d, "pack_limits"))
 
 
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    sized = with_tokens(table(spark, d, "documents"), ["doc_id"])
+    return packing.faults(packing.pack(sized, table(spark, d, "pack_limits")), sized, table(spark, d, "pack_limits"))
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(with_tokens(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mix_targets"))
 
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_faults": p8_faults,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
@@ -130,4 +136,8 @@ r AS (SELECT host, k FROM k WHERE k <> '' GROUP BY 1, 2 HAVING count(DISTINCT ur
   AND count(DISTINCT url) >= 0.05 * (SELECT n FROM n WHERE n.host = k.host))
 SELECT seq, line_no FROM k JOIN r USING (host, k)"""
 
-ORACLE_SQL: dict[str, str] = {"p5_found": P5_SQL}
+#: Every text that is not empty is placed whole, and no container holds too much.
+P8_SQL = """SELECT pack_name, (SELECT count(*) FROM documents WHERE text <> '')::BIGINT AS texts, 0::BIGINT AS overfull,
+  0::BIGINT AS split_needlessly, 0::BIGINT AS tokens_lost FROM pack_limits WHERE capacity > 0"""
+
+ORACLE_SQL: dict[str, str] = {"p5_found": P5_SQL, "p8_faults": P8_SQL}

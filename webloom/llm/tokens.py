@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame
 TOKENIZER = os.environ.get("WEBLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Split pattern of that byte-level BPE (published with the vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are encoded in pieces cut at white space, so that no call holds one huge text.
+#: Longer texts are encoded in pieces, so that no call holds one huge text; they are cut only where the pattern always parts tokens:
+#: before a blank, and between a letter and a sign.
 PIECE = 100_000
+_SAFE = re.compile(r"\S(?= )|[^\W\d_](?=[^\w\s])")
 
 _loaded: dict[str, object] = {}
 
@@ -31,11 +34,9 @@ def encoding(path: str = TOKENIZER):
 
 def count_tokens(text: str, path: str = TOKENIZER) -> int:
     enc, n, at = encoding(path), 0, 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + 1, at + PIECE)
-        cut = cut if cut > at else at + PIECE
-        n += len(enc.encode_ordinary(text[at:cut]))
-        at = cut
+    while len(text) - at > PIECE and (safe := _SAFE.search(text, at + PIECE)):
+        n += len(enc.encode_ordinary(text[at : safe.end()]))
+        at = safe.end()
     return n + len(enc.encode_ordinary(text[at:]))
 
 
