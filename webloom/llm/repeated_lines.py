@@ -49,6 +49,48 @@ def normalise(line: str) -> str:
     return _DIGITS.sub("0", " ".join(line.lower().split()))
 
 
+def _spans(line: str) -> tuple[str, list[int]]:
+    """The normalised line, and for each of its characters the end in ``line`` of what it stands for."""
+    chars: list[str] = []
+    ends: list[int] = []
+    for i, ch in enumerate(line, 1):
+        if ch.isspace():
+            if not chars:
+                continue
+            if chars[-1] == " ":
+                ends[-1] = i
+                continue
+            low = " "
+        elif ch in "0123456789":
+            if chars and chars[-1] == "0" and ends[-1] == i - 1 and line[i - 2] in "0123456789":
+                ends[-1] = i
+                continue
+            low = "0"
+        else:
+            low = ch.lower()
+        chars.extend(low)
+        ends.extend([i] * len(low))
+    if chars and chars[-1] == " ":
+        chars.pop()
+        ends.pop()
+    return "".join(chars), ends
+
+
+def cut_line(line: str, pieces: list[bytes], hit: list[bool]) -> str:
+    """The line without the pieces that are hit; what stays keeps its spelling."""
+    text, ends = _spans(line)
+    if text.encode() != b"".join(pieces).rstrip(b"\n"):  # lower-casing in context, as of a final sigma: cut by length then
+        text, ends = line, list(range(1, len(line) + 1))
+    kept, at, begin = [], 0, 0
+    for piece, out in zip(pieces, hit):
+        at = min(at + len(piece.decode(errors="ignore").rstrip("\n")), len(ends))
+        end = ends[at - 1] if at else begin
+        if not out:
+            kept.append(line[begin:end])
+        begin = end
+    return "".join(kept).strip()
+
+
 def chunk_ends(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ends of all chunks in the lines joined by breaks, and the line number of each end."""
     data = np.frombuffer(b"\n".join(lines) + b"\n", dtype=np.uint8)
@@ -171,14 +213,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(0)
                 continue
             bad, kept, n = set(gone), [], 0
-            lines = [" ".join(x.split()) for x in body.split("\n")]
+            lines = body.split("\n")
             for line, pieces in zip(lines, chunks_of([normalise(x) for x in lines])):
                 hit = [_hash(p, 7) in bad for p in pieces]
                 n += sum(hit)
                 if not pieces or not any(hit):
                     kept.append(line)
                 elif not all(hit):
-                    kept.append(b"".join(p for p, h in zip(pieces, hit) if not h).decode(errors="ignore").strip())
+                    kept.append(cut_line(line, pieces, hit))
             bodies.append("\n".join(kept))
             removed.append(n)
         yield pa.RecordBatch.from_arrays(
@@ -189,8 +231,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_repeated(docs: DataFrame) -> DataFrame:
     """(seq, clean_body, n_cut): bodies without repeated chunks.
 
-    Untouched lines keep their spelling (white space reduced); a line that
-    loses only some of its chunks keeps the rest in normalised spelling.
+    Chunks are found in the normalised lines and cut by their place in the
+    lines as they are, so what stays keeps its spelling.
     """
     pages, need = materialize(chunk_pages(docs, True), "all-chunks"), needed_urls(docs)
     rows = pages.select("seq", "host_id", "url_id", F.explode("chunks").alias("chunk"))
