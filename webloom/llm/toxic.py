@@ -6,8 +6,8 @@ follow the token's overall frequency, plus ``SEED_COUNT`` toxic ones for a
 short multilingual seed list.  A linear-time scan (Ruzzo and Tompa, 1999)
 finds all maximal scoring segments of a page.  Segment scores are turned into
 page-wise p-values by extreme-value statistics (Karlin and Altschul, 1990):
-lambda is the root of ``E[exp(lambda * weight)] = 1`` over ordinary tokens and
-K is fitted to the best segments of ordinary pages; a page's score is the
+lambda and K are fitted to the best segments of ordinary pages under weights
+trained without them (:func:`calibrate`); a page's score is the
 chance that ordinary text of its length holds no such segment, over its
 significant segments.
 
@@ -15,8 +15,7 @@ Training: at most ``TRAIN_PAGES`` reviewed pages (``review_labels`` joined to
 ``docs``, lowest hash first) are collected to the driver; labels hold for
 whole pages, so a few rounds decide which sentences of toxic pages are the
 toxic ones.  Without labels the seeds alone remain.  The weights, bounded by
-that sample, are broadcast.  The ordinary rates of those tokens are counted
-over all pages; scoring is one map over the pages.
+that sample, are broadcast; scoring is one map over the pages.
 
 Obfuscated spellings (digits for letters, spaced or hyphenated letters,
 stretched letters, full-width forms) are undone first; starred-out words
@@ -41,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 20_000
+TRAIN_PAGES = 8_000
 ROUNDS = 4
 PRIOR = 20.0
 #: Odds, as a logarithm, that a token must exceed to speak for a toxic passage.
@@ -51,10 +50,9 @@ SEED_COUNT = 4.0
 UNKNOWN, BREAK = -0.7, -2.0
 CLIP = 4.0
 #: A page is toxic if ordinary text of its length holds such a segment with at most this chance.
-ALPHA = 0.001
-#: Levels tried once at least MIN_TOXIC reviewed pages are toxic.
-LEVELS = tuple(10.0**-k for k in range(2, 13))
-MIN_TOXIC = 40
+ALPHA = 1e-4
+#: Quantiles of held-out ordinary pages by which the extreme-value law is fitted; above them stand the reviewers' errors.
+QUANTILES = (0.5, 0.95)
 CENSORED = "<censored>"
 
 #: Seed words (fixed values; public vocabulary of abuse in the covered languages).
@@ -71,30 +69,23 @@ SEEDS = frozenset(
     ไอ้โง่ ไอ้เลว ขยะ สวะ ควาย ปรสิต""".split()
 )
 
-#: Words of reports, quotations, medicine, cooking and computing around such words (fixed values).
-CONTEXT = frozenset(
-    """court heard report reports reported exhibition explains described leaflets archive letters moderation guide readers comment phrase
-    quoted removed trial novel film painting museum medical screening cancer chicken recipe process killed round crowd bomb exercise stage
-    chicks recorded lantern fair bakery bread schools painted volunteers language neighbours cookies privacy settings
-    gericht zeitung ausstellung tribunal exposition journal tribunal exposición periódico jornal суд выставка""".split()
-)
-
 _LEET = str.maketrans("0134578@$", "oieastbas")
-#: A person's or place's full name; it ends a segment, since bylines run into the text after them.
-_PERSON = re.compile(r"\b[A-ZÀ-Þ][a-zà-ÿ]{3,}(?:,? [A-ZÀ-Þ][a-zà-ÿ]{3,})+\b")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_·]){3,}\w(?!\w)")
 _STRETCH = re.compile(r"([^\W\d])\1{2,}")
 _STARRED = re.compile(r"(?<!\w)\w?(?:[*•#]{2,}|\*)\w?(?![\w*])|\w\*+\w*")
-_WORD = re.compile(r"<censored>|[^\W_]+(?:[@$'’][^\W_]+)*|[.!?…。！？।؟\n]")
-_QUICK = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+#: Letters and digits with the vowel signs that belong to them.
+_LETTERS = r"(?:[^\W_]|[\u064b-\u0652\u0900-\u0903\u093a-\u094f\u0e31-\u0e4e])+"
+_WORD = re.compile(rf"<censored>|{_LETTERS}(?:[@$'’]{_LETTERS})*|[.!?…。！？।؟\n]")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]+")
 _MIXED = re.compile(r"(?=\w*[0-9@$])(?=\w*[^\W\d_])")
+#: Seeds of scripts without blanks stay whole, the text around them is read by pairs of letters.
+_UNSPACED_SEED = re.compile("(" + "|".join(sorted((w for w in SEEDS if _UNSPACED.match(w)), key=lambda w: (-len(w), w))) + ")")
 _ENDS = frozenset(".!?…。！？।؟\n")
 
 
 def tokens(text: str) -> list[str]:
     """Tokens of the text in plain spelling; sentence ends stay as tokens."""
-    text = _PERSON.sub("\n", text).lower()
+    text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     if "*" in text or "•" in text:
@@ -109,7 +100,11 @@ def tokens(text: str) -> list[str]:
                 w = _STRETCH.sub(r"\1", w)
             out.append(w)
         elif _UNSPACED.match(w):
-            out.extend(w[i : i + 2] for i in range(max(1, len(w) - 1)))
+            for part in _UNSPACED_SEED.split(w):
+                if part in SEEDS:
+                    out.append(part)
+                elif part:
+                    out.extend([part[i : i + 2] for i in range(max(1, len(part) - 1))])
         else:
             out.append(_STRETCH.sub(r"\1", w) if len(w) > 3 else w)
     return out
@@ -181,10 +176,10 @@ def _log_odds(toxic: Counter, plain: Counter, seeds: bool) -> dict:
     both = toxic + plain
     n_t, n_p, n = sum(toxic.values()), sum(plain.values()), max(1, sum(both.values()))
     out = {}
-    for w in set(both) | ((SEEDS | CONTEXT) if seeds else set()):
+    for w in set(both) | (SEEDS if seeds else set()):
         prior = PRIOR * both[w] / n
         a = toxic[w] + prior + 0.05 + (SEED_COUNT * (w in SEEDS) if seeds else 0)
-        b = plain[w] + prior * n_p / max(1, n_t) + 0.05 * max(1.0, n_p / max(1, n_t)) ** 0.5 + (SEED_COUNT * (w in CONTEXT) if seeds else 0)
+        b = plain[w] + prior * n_p / max(1, n_t) + 0.05 * max(1.0, n_p / max(1, n_t)) ** 0.5
         odds = math.log(a / (n_t + PRIOR)) - math.log(b / (n_p + PRIOR)) - SHRINK
         if odds > 0:  # the lower end of the odds, so that a chance occurrence weighs nothing
             odds = max(0.0, odds - math.sqrt(1 / a + 1 / b))
@@ -204,34 +199,29 @@ def _sentences(toks: list[str]) -> list[list[str]]:
     return [*out, cur] if cur else out
 
 
-def plain_words(text: str) -> list[str]:
-    """Words in quick spelling, for corpus counts."""
-    out = []
-    for w in _QUICK.findall(text.lower()):
-        if w.isascii() or not _UNSPACED.match(w):
-            out.append(w)
-        else:
-            out.extend(w[i : i + 2] for i in range(max(1, len(w) - 1)))
-    return out
-
-
 def _around_seeds(s: list[str]) -> list[tuple[int, int]]:
-    if any(w in CONTEXT for w in s):
-        return []
     return [(i - 8, i + 9) for i, w in enumerate(s) if w in SEEDS or w == CENSORED]
 
 
-def train(pages: list[tuple[list[str], int]], corpus: Counter | None = None) -> Model:
-    """Fit weights and extreme-value parameters to (tokens, toxic) pages; ``corpus`` counts words of all pages."""
-    corpus = corpus or Counter()
+def train(pages: list[tuple[list[str], int]]) -> Model:
+    """Fit weights to (tokens, toxic) pages, and the extreme-value law to ordinary pages that the weights have not seen."""
     split = [(_sentences(t), y) for t, y in pages]
+    model = fit_weights(split)
+    halves = [fit_weights(split[h::2]) for h in (0, 1)]
+    held_out = [(halves[1 - i % 2], s) for i, (s, y) in enumerate(split) if not y]
+    calibrate(model, held_out)
+    return model
+
+
+def fit_weights(split: list[tuple[list[list[str]], int]]) -> Model:
+    """Weights from (sentences, toxic) pages; labels hold for pages, so a few rounds decide which sentences are meant."""
     plain_w, plain_p = Counter(), Counter()
     for sents, y in split:
         if not y:
             for s in sents:
                 plain_w.update(s)
                 plain_p.update(zip(s, s[1:]))
-    model = Model(words={w: 3.0 for w in SEEDS} | {CENSORED: 1.0} | {w: -1.5 for w in CONTEXT})
+    model = Model(words={w: 3.0 for w in SEEDS} | {CENSORED: 1.0})
     suspects = [sents for sents, y in split if y]
     for r in range(ROUNDS if suspects else 0):
         tox_w, tox_p, rest_w, rest_p = Counter(), Counter(), Counter(plain_w), Counter(plain_p)
@@ -243,50 +233,38 @@ def train(pages: list[tuple[list[str], int]], corpus: Counter | None = None) ->
                 rest_w.update(w for w, x in zip(s, inside) if not x)
                 tox_p.update(p for p, x, y in zip(zip(s, s[1:]), inside, inside[1:]) if x and y)
                 rest_p.update(p for p, x, y in zip(zip(s, s[1:]), inside, inside[1:]) if not (x and y))
-        model.words = _log_odds(tox_w, rest_w + corpus, True)
+        model.words = _log_odds(tox_w, rest_w, True)
         pairs = _log_odds(tox_p, rest_p, False)
         model.pairs = {p: w / 2 if w > 0 else w for p, w in pairs.items() if tox_p[p] + rest_p[p] >= 3 and abs(w) >= 0.7}
-    _calibrate(model, [s for s, y in split if not y])
-    if sum(y for _, y in split) >= MIN_TOXIC:
-        model.alpha = _significance(model, pages)
     return model
 
 
-def _significance(model: Model, pages: list[tuple[list[str], int]]) -> float:
-    """The level of LEVELS that agrees best (F1) with the reviewers."""
-    chance = [(1.0 - model.passages(t)[0], y) for t, y in pages]
-    positive = sum(y for _, y in pages)
+def calibrate(model: Model, held_out: list[tuple[Model, list[list[str]]]]) -> None:
+    """lambda and K of the extreme-value law, P(best > s) = 1 - exp(-K n exp(-lambda s)), from held-out ordinary pages.
 
-    def f1(level: float) -> float:
-        hits = [y for p, y in chance if p <= level]
-        return 2 * sum(hits) / (len(hits) + positive)
-
-    return max(LEVELS, key=f1)
-
-
-def _calibrate(model: Model, plain: list[list[list[str]]]) -> None:
-    """lambda and K of the extreme-value law of ordinary pages' best segments."""
-    hist: Counter = Counter()
+    With lambda right, ``lambda * s - log(n)`` follows the standard law shifted
+    by log K; lambda is where two quantiles lie as far apart as they must.
+    """
     best = []
-    for sents in plain:
-        weights, n = [], 0
-        for s in sents:
-            ws = model.weights(s)
-            weights += [*ws, BREAK]
-            n += len(s) + 1
-        hist.update(round(w, 1) for w in weights)
-        if n:
-            best.append((max((s for s, _, _ in maximal_segments(weights)), default=0.0), n))
-    total = sum(hist.values())
-    if not total or not any(w > 0 for w in hist):
+    for judge, sents in held_out:
+        weights = [w for s in sents for w in (*judge.weights(s), BREAK)]
+        if weights:
+            best.append((max((s for s, _, _ in maximal_segments(weights)), default=0.0), math.log(len(weights))))
+    if len(best) < 1 / (1 - QUANTILES[1]):
         return
-    lo, hi = 1e-3, 20.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if sum(c * math.exp(mid * w) for w, c in hist.items()) < total else (lo, mid)
-    model.lam = max(0.1, (lo + hi) / 2)
-    # Maximum likelihood of K given lambda: the mean of n * exp(-lambda * S) is 1 / K.
-    model.k = len(best) / sum(n * math.exp(-model.lam * s) for s, n in best)
+    at = [int(q * (len(best) - 1)) for q in QUANTILES]
+    apart = -math.log(-math.log(QUANTILES[1])) + math.log(-math.log(QUANTILES[0]))
+
+    def ranked(lam: float) -> list[float]:
+        return sorted(lam * s - n for s, n in best)
+
+    lo, hi = 1e-2, 10.0
+    for _ in range(40):
+        lam = (lo + hi) / 2
+        z = ranked(lam)
+        lo, hi = (lam, hi) if z[at[1]] - z[at[0]] < apart else (lo, lam)
+    model.lam = lam
+    model.k = math.exp(ranked(lam)[at[1]] + math.log(-math.log(QUANTILES[1])))
 
 
 def training_pages(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
@@ -297,27 +275,8 @@ def training_pages(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     return [(r["body"], r["y"]) for r in sorted(rows.toLocalIterator(prefetchPartitions=True), key=lambda r: (r["_seq"], r["body"]))]
 
 
-def corpus_counts(docs: DataFrame, words: frozenset[str]) -> Counter:
-    """Occurrences over all pages of the given words; the result is bounded by them."""
-    wanted = docs.sparkSession.sparkContext.broadcast(words)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for b in batch.column("body").to_pylist():
-                if b:
-                    total.update(plain_words(b))
-        kept = [(w, n) for w, n in total.items() if w in wanted.value]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["w", "n"])
-
-    rows = docs.select("body").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return Counter({r["w"]: r["n"] for r in rows.collect()})
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    pages = [(tokens(text), y) for text, y in training_pages(docs, labels)]
-    known = SEEDS | CONTEXT | {w for toks, _ in pages for w in toks}
-    return train(pages, corpus_counts(docs, frozenset(known)))
+    return train([(tokens(text), y) for text, y in training_pages(docs, labels)])
 
 
 def score_pages(docs: DataFrame, labels: DataFrame) -> DataFrame:
