@@ -45,6 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from webloom.llm.boilerplate import own_lines
 from webloom.llm.lines import CLOSERS, END_MARKS, LONG_LINE, key64, squeeze, template
+from webloom.llm.residue import signed
 
 LANGS = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja", "ar", "hi", "th")
 ORDER = 4
@@ -74,8 +75,8 @@ SEEDS = {
     "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ คนทุกคนมีสิทธิในการดำรงชีวิต เสรีภาพ และความมั่นคงแห่งตัวตน",
 }
 
-#: Column of a page: name, DDL type, and function of its title, own lines, label and languages.
-Fact = tuple[str, str, Callable[[str, list[tuple[str, bool]], str, list[str]], object]]
+#: Column of a page: name, DDL type, and function of its title, own lines, label, languages and whether a template sign may stand in its body.
+Fact = tuple[str, str, Callable[[str, list[tuple[str, bool]], str, list[str], bool], object]]
 
 _CACHE_SENTENCES = 30_000
 #: Bytes scored in one go.
@@ -259,7 +260,7 @@ class PageLanguages:
     def split(self, line: str) -> list[str]:
         """Sentences of the line that hold letters."""
         if len(line) > LONG_LINE:
-            return [s for s in sentences(line) if _LETTER.search(s)]
+            return [s for s in sentences(line) if s[0].isalpha() or _LETTER.search(s)]
         if (found := self.short.get(line)) is None:
             if len(self.short) > _CACHE_SENTENCES:
                 self.short.clear()
@@ -267,19 +268,60 @@ class PageLanguages:
         return found
 
     def conclude(self, pages: list[list[tuple[str, bool]]], broken: list[bool]) -> list[PageLanguage | None]:
-        """For each page, given by its own lines and whether they are bylines or headings, and whether its body lost its breaks."""
-        units = [[(s, aside) for line, aside in page for s in self.split(line)] for page in pages]
+        """For each page, given by its own lines and whether they are bylines or headings, and whether its body lost its breaks.
+
+        Two or more whole sentences each make a mixed page; without a whole sentence all pieces count.
+        """
         known = self.known
         if len(known) > _CACHE_SENTENCES:
             known.clear()
-        new = list({s: None for page in units for s, _ in page if s not in known})
+        texts: list[str] = []
+        asides: list[bool] = []
+        lengths: list[int] = []
+        for page in pages:
+            before = len(texts)
+            for line, aside in page:
+                found = self.split(line)
+                texts += found
+                asides += [aside] * len(found)
+            lengths.append(len(texts) - before)
+        if not texts:
+            return [None] * len(pages)
+        new = list({s: None for s in texts if s not in known})
         for s, row in zip(new, self.trees.code_lengths(new)):
             size = len(s.encode())
             known[s] = (row, size, is_whole(s, size))
-        out = [_conclude([s for s, _ in page], [(*known[s], aside) for s, aside in page], b) if page else None for page, b in zip(units, broken)]
+        units = [known[s] for s in texts]
         for s in new:
             if len(s) > 100:
                 del known[s]
+        k = len(LANGS)
+        bits, sizes = np.array([u[0] for u in units]), np.array([u[1] for u in units])
+        whole = np.array([u[2] for u in units]) & ~np.array(asides)
+        page = np.repeat(np.arange(len(pages)), lengths)
+        best = bits.argmin(axis=1)
+        main = np.bincount(page * k + best, weights=sizes, minlength=len(pages) * k).reshape(-1, k).argmax(axis=1)[page]
+        rows = np.arange(len(units))
+        langs = np.where(bits[rows, main] - bits[rows, best] < np.maximum(MARGIN_BITS, MARGIN_RATE * sizes), main, best)
+        group = page * k + langs
+        counts = np.bincount(group[whole], minlength=len(pages) * k).reshape(-1, k)
+        weight = np.bincount(group, weights=sizes, minlength=len(pages) * k).reshape(-1, k)
+        mixed = (counts >= 2).sum(axis=1) > 1
+        single = np.where(counts.any(axis=1), counts.argmax(axis=1), weight.argmax(axis=1))
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.diff(group[order], prepend=-1))
+        sure = dict(zip(group[order][first].tolist(), confidence(np.add.reduceat(bits[order], first, axis=0)).tolist()))
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        out: list[PageLanguage | None] = []
+        for i, n in enumerate(lengths):
+            if not n:
+                out.append(None)
+                continue
+            several = sorted(np.flatnonzero(counts[i] >= 2).tolist(), key=lambda x: -counts[i, x]) if mixed[i] else [int(single[i])]
+            doubts = []
+            if mixed[i] and broken[i]:
+                doubts = [(LANGS[langs[j]], notice_key(texts[j])) for j in range(starts[i], starts[i + 1]) if whole[j]]
+            out.append(PageLanguage([LANGS[x] for x in several], [sure[i * k + x] for x in several], doubts))
         return out
 
     def notices(self, body: str, gone: list[int]) -> list[int]:
@@ -314,21 +356,6 @@ class PageLanguage:
     doubts: list[tuple[str, int]]
 
 
-def _conclude(texts: list[str], units: list[tuple[np.ndarray, int, bool, bool]], broken: bool) -> PageLanguage:
-    """Two or more whole sentences each make a mixed page; without a whole sentence all pieces count."""
-    bits, sizes = np.array([u[0] for u in units]), np.array([u[1] for u in units])
-    langs = decide(bits, sizes)
-    whole = np.array([w and not aside for _, _, w, aside in units])
-    counts = np.bincount(langs[whole], minlength=len(LANGS))
-    several = np.flatnonzero(counts >= 2)
-    mixed = len(several) > 1
-    ranked = counts if counts.any() else np.bincount(langs, weights=sizes, minlength=len(LANGS))
-    order = sorted(several.tolist(), key=lambda x: -ranked[x]) if mixed else [int(ranked.argmax())]
-    sure = [float(confidence(bits[langs == x].sum(axis=0, keepdims=True))[0]) for x in order]
-    doubts = [(LANGS[x], notice_key(s)) for s, x, w in zip(texts, langs.tolist(), whole.tolist()) if w] if mixed and broken else []
-    return PageLanguage([LANGS[x] for x in order], sure, doubts)
-
-
 def label_code(lang: Column) -> Column:
     """First subtag of a label; '' unless it is two or three letters."""
     return F.regexp_extract(F.lower(F.trim(F.coalesce(lang, F.lit("")))), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
@@ -386,17 +413,17 @@ def fit_texts(pages: list[tuple[str, list[str]]]) -> Trees:
 
 
 def page_languages(pages: DataFrame, trees: Broadcast, *facts: Fact) -> DataFrame:
-    """(seq, gone, aside, skeleton, rest, code, langs, confidence, ...) of every page of ``pages``, a
-    result of :func:`webloom.llm.boilerplate.own_pages` with title, body and lang; the commonest language comes first.
+    """(seq, host, gone, aside, skeleton, rest, code, langs, confidence, ...) of every page of ``pages``, a
+    result of :func:`webloom.llm.boilerplate.own_pages` with host, title, body and lang; the commonest language comes first.
 
     Each of ``facts`` (name, DDL type, function) adds a column: the function
-    gets the title, the own lines, the first subtag of the label and the
-    languages of the page.
+    gets the title, the own lines, the first subtag of the label, the languages
+    of the page and whether a template sign may stand in its body.
     """
-    kept = ["seq", "gone", "aside", "skeleton", "rest", "code"]
+    kept = ["seq", "host", "gone", "aside", "skeleton", "rest", "code"]
     names = [*kept, "langs", "confidence", "doubts", "notices", *(f[0] for f in facts)]
     ddl = "langs array<string>, confidence array<double>, doubts array<struct<lang:string, key:long>>, notices array<long>"
-    schema = T.StructType.fromDDL("seq long, gone array<int>, aside array<int>, skeleton long, rest long, code string, " + ddl + "".join(f", {n} {t}" for n, t, _ in facts))
+    schema = T.StructType.fromDDL("seq long, host string, gone array<int>, aside array<int>, skeleton long, rest long, code string, " + ddl + "".join(f", {n} {t}" for n, t, _ in facts))
     arrow = to_arrow_schema(schema)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,17 +431,18 @@ def page_languages(pages: DataFrame, trees: Broadcast, *facts: Fact) -> DataFram
         for batch in batches:
             codes, titles, bodies, gone, aside = (batch.column(c).to_pylist() for c in ("code", "title", "body", "gone", "aside"))
             own = [own_lines(*x) for x in zip(bodies, gone, aside)]
+            signs = signed(batch) if facts else [False] * len(bodies)
             cols: list[list] = [[] for _ in range(4 + len(facts))]
-            for code, title, body, out, lines, found in zip(codes, titles, bodies, gone, own, engine.conclude(own, ["\n" not in b for b in bodies])):
+            for code, title, body, out, lines, sign, found in zip(codes, titles, bodies, gone, own, signs, engine.conclude(own, ["\n" not in b for b in bodies])):
                 langs = found.langs if found else []
                 doubts = [{"lang": x, "key": k} for x, k in found.doubts] if found else []
-                row = (langs, found.confidence if found else [], doubts, engine.notices(body, out), *(f(squeeze(title or ""), lines, code, langs) for _, _, f in facts))
+                row = (langs, found.confidence if found else [], doubts, engine.notices(body, out), *(f(squeeze(title or ""), lines, code, langs, sign) for _, _, f in facts))
                 for c, v in zip(cols, row):
                     c.append(v)
             arrays = [batch.column(c) for c in kept] + [pa.array(c, f.type) for c, f in zip(cols, list(arrow)[len(kept) :])]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return pages.select("seq", "gone", "aside", "skeleton", "rest", label_code(F.col("lang")).alias("code"), "title", "body").mapInArrow(label, schema)
+    return pages.select("seq", "host", "gone", "aside", "skeleton", "rest", label_code(F.col("lang")).alias("code"), "title", "body").mapInArrow(label, schema)
 
 
 def is_named(code: str, langs: list[str]) -> bool:

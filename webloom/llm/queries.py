@@ -45,15 +45,15 @@ def p4_languages(spark: SparkSession, d: str) -> DataFrame:
 def _languages(docs: DataFrame, missing: bool) -> DataFrame:
     """With ``missing`` the pages whose label is missing or wrong and the mixed ones, residue and spam left out."""
     trees = docs.sparkSession.sparkContext.broadcast(language.fit(docs))
-    pages = boilerplate.own_pages(docs, "title", "body", "lang")
+    pages = boilerplate.own_pages(docs, "host", "title", "body", "lang")
     if not missing:
         found = language.settle(materialize(language.page_languages(pages, trees), "page-languages"))
         return found.select("seq", F.explode(F.arrays_zip("langs", "confidence")).alias("x")).select("seq", F.col("x.langs").alias("lang"), F.col("x.confidence").alias("confidence"))
-    facts = ("facts", residue.FACTS, lambda title, lines, code, langs: residue.page_facts(title, lines))
-    spam = ("spam", "boolean", lambda title, lines, code, langs: language.is_named(code, langs) and stuffing.is_spam(*stuffing.page_stuffing(lines)))
+    facts = ("facts", residue.FACTS, lambda title, lines, code, langs, signed: residue.page_facts(title, lines, signed))
+    spam = ("spam", "boolean", lambda title, lines, code, langs, signed: language.is_named(code, langs) and stuffing.is_spam(*stuffing.page_stuffing(lines)))
     found = materialize(language.page_languages(pages, trees, facts, spam), "page-languages")
     named = language.relabel(language.settle(found).where("not spam"))
-    return named.join(residue.judge(docs, found.select("seq", "gone", "aside", "skeleton", "rest", "facts")).select("seq"), "seq", "left_anti")
+    return named.join(residue.judge(docs, found.select("seq", "host", "gone", "aside", "skeleton", "rest", "facts")).select("seq"), "seq", "left_anti")
 
 
 def p4_passages(spark: SparkSession, d: str) -> DataFrame:

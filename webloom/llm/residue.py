@@ -38,6 +38,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,18 +72,15 @@ BLANK = re.compile(
 #: One of these stands in every text that holds a candidate.
 _SIGNS = ("{", "<", "[", "%%", "%(", "@@", "__", "&lt;", "N/A", "n/a", "TBD", "TBA", "XXX", "_name", "_title", "_date", "_price", "_text", "_city", "_email", "_address", "_number", "_id")
 _VARIABLES = ("NAME", "TITLE", "DATE", "PRICE", "TEXT", "CITY", "EMAIL", "ADDRESS", "NUMBER")
+_ANY_SIGN = "|".join(map(re.escape, (*_SIGNS, *_VARIABLES)))
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+|(?<=[。！？])")
 _FILLER = re.compile(r"\b(?:lorem|ipsum)\b", re.I)
 _DIGIT = re.compile("[0-9]")
 _PLAIN = re.compile(r"\b(?:the|and|of|in|is|der|die|und|le|les|et|los|que|para)\b", re.I)
-_VARIABLE = re.compile(r"@\w+|\b[^\W_][\w-]*[0-9][\w-]*|[0-9]")
-_NAME = re.compile(r"(?<!^)(?<![^\W\d_'’])[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*(?:[-'’][^\W\d_]+)*")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-
 
 _BREAK = "\x02"
 _AROUND = "\"'“”‘’„«»‹›()[]{}「」『』（）,;:،؛，、；：.!?…。！？؟।॥—–-"
-_STOP, _NAMED, _NUMBER, _CANDIDATE, _EMPTY, _END = (1 << k for k in range(32, 38))
+_STOP, _NAMED, _NUMBER, _CANDIDATE, _EMPTY, _END, _DIGIT_IN = (1 << k for k in range(32, 39))
 _CRC = (1 << 32) - 1
 #: The sign that names and numbers count as.
 _SIGN = 1
@@ -103,6 +101,8 @@ class _Tokens(dict):
             code = crc32(bare.lower().encode()) if bare else _EMPTY
             if tail and tail[-1] in END_MARKS:
                 code |= _STOP
+            if _DIGIT.search(t):
+                code |= _DIGIT_IN
             if bare and (bare[0].isdigit() or bare[-1].isdigit()):
                 code |= _NUMBER
             elif bare and bare[0].isupper():
@@ -127,13 +127,16 @@ def _has_sign(text: str) -> bool:
     return False
 
 
+def opened(text: str) -> str:
+    """The text with every candidate replaced by a control character."""
+    return "\n".join([BLANK.sub(" \x01 ", MARKER.sub(" \x00 ", x)) if _has_sign(x) else x for x in text.split("\n")])
+
+
 class Places:
-    """The words of a text without its candidates, and the gaps, numbered by the word that follows, in which these stood."""
+    """The words of a text, its candidates replaced by :func:`opened`, and the gaps, numbered by the word that follows, in which these stood."""
 
     def __init__(self, text: str) -> None:
-        text = "\n".join([BLANK.sub(" \x01 ", MARKER.sub(" \x00 ", x)) if _has_sign(x) else x for x in text.split("\n")])
-        text = text.replace("\n", f" {_BREAK} ")
-        toks = text.split()
+        toks = text.replace("\n", f" {_BREAK} ").split()
         kinds = np.fromiter(map(_codes.__getitem__, toks), dtype=np.int64, count=len(toks))
         odd = (kinds & (_CANDIDATE | _EMPTY)) != 0
         stop = (kinds & _STOP) != 0
@@ -184,9 +187,10 @@ class Places:
 
 def slots(text: str) -> tuple[bool, list[tuple[int, bool]]]:
     """Whether a marker stands where nothing can talk about it; the windows (key, is a marker) of all other candidates."""
-    if not _has_sign(text):
+    lines = [x for x in text.split("\n") if _has_sign(x)]
+    if not lines:
         return False, []
-    places = Places("\n".join([x for x in text.split("\n") if _has_sign(x)]))
+    places = Places(opened("\n".join(lines)))
     sure, out = False, []
     for gap, marker in places.candidates:
         key = places.key(gap)
@@ -198,7 +202,7 @@ def slots(text: str) -> tuple[bool, list[tuple[int, bool]]]:
 
 
 def aligned(text: str, windows: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(window key, filler) of the places in the text that may be asked for: filler 0 is nothing, else the hash of a value."""
+    """(window key, filler) of the places in the opened text that may be asked for: filler 0 is nothing, else the hash of a value."""
     p = Places(text)
     n = len(p.toks)
     free = np.ones(n + 1, dtype=bool)  # next to a candidate there is no record without one
@@ -226,7 +230,12 @@ def aligned(text: str, windows: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def skeleton_words(sentence: str) -> list[str]:
     """Words of a message in lower case, without names and anything that holds digits."""
-    return _WORD.findall(_NAME.sub(" ", _VARIABLE.sub(" ", squeeze(sentence))).lower())
+    out: list[str] = []
+    for t in sentence.split():
+        kind = _codes[t]
+        if not kind & (_EMPTY | _DIGIT_IN) and not (out and kind & _NAMED):
+            out.append(t.strip(_AROUND).lower())
+    return out
 
 
 def message_sentences(lines: list[tuple[str, bool]]) -> list[list[str]]:
@@ -238,6 +247,8 @@ def message_sentences(lines: list[tuple[str, bool]]) -> list[list[str]]:
 def is_filler(lines: list[tuple[str, bool]]) -> bool:
     """True if every own line is filler text: some with the two best-known words, the others without any plain word."""
     own = [line for line, aside in lines if not aside]
+    if not any("orem" in x or "psum" in x for x in own):
+        return False
     known = False
     for line in own:
         words, hits = line.count(" ") + 1, len(_FILLER.findall(line))
@@ -252,11 +263,10 @@ def is_filler(lines: list[tuple[str, bool]]) -> bool:
 FACTS = "struct<sure:boolean, windows:array<struct<key:long, marker:boolean>>, filler:boolean, heads:array<long>, halves:array<long>>"
 
 
-def page_facts(title: str, lines: list[tuple[str, bool]]) -> dict:
-    """What the judgement of one page needs: certain slots, windows, filler, keys of its first sentence and of halves of its first line."""
-    sure, windows = slots(title)
-    text = "\n".join([x for x, _ in lines])
-    in_body, more = slots(text)
+def page_facts(title: str, lines: list[tuple[str, bool]], signed: bool = True) -> dict:
+    """``signed``: a sign of a candidate may stand in the body.  What the judgement of one page needs: certain slots, windows, filler, keys of its first sentence and of halves of its first line."""
+    sure, windows = slots(title) if title else (False, [])
+    in_body, more = slots("\n".join([x for x, _ in lines])) if signed else (False, [])
     line = next((x for x, aside in lines if not aside), "")
     end = _SENTENCE.search(line)
     first = skeleton_words(line[: end.start()] if end else line)
@@ -267,7 +277,7 @@ def page_facts(title: str, lines: list[tuple[str, bool]]) -> dict:
     return {
         "sure": sure or in_body,
         "windows": [{"key": k, "marker": m} for k, m in {*windows, *more}],
-        "filler": ("orem" in text or "psum" in text) and is_filler(lines),
+        "filler": is_filler(lines),
         "heads": sentence_keys(first),
         "halves": halves,
     }
@@ -279,12 +289,18 @@ def sentence_keys(words: list[str]) -> list[int]:
     return [key64("<" + " ".join(words[: max(1, half - 1)])), key64(">" + " ".join(words[half:] or words))] if words else []
 
 
+def signed(batch: pa.RecordBatch) -> list[bool]:
+    """Whether a sign of a candidate stands in each body."""
+    return pc.match_substring_regex(batch.column("body"), _ANY_SIGN).to_pylist()
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.struct([("sure", pa.bool_()), ("windows", pa.list_(pa.struct([("key", pa.int64()), ("marker", pa.bool_())]))), ("filler", pa.bool_()), ("heads", pa.list_(pa.int64())), ("halves", pa.list_(pa.int64()))])
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("title", "body", "gone", "aside")))
-        facts = [page_facts(squeeze(title or ""), own_lines(body, gone, aside)) for title, body, gone, aside in rows]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("seq", "gone", "aside", "skeleton", "rest")), pa.array(facts, kind)], names=["seq", "gone", "aside", "skeleton", "rest", "facts"])
+        rows = zip(*(batch.column(c).to_pylist() for c in ("title", "body", "gone", "aside")), signed(batch))
+        facts = [page_facts(squeeze(title or ""), own_lines(body, gone, aside), s) for title, body, gone, aside, s in rows]
+        kept = ["seq", "host", "gone", "aside", "skeleton", "rest"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(facts, kind)], names=[*kept, "facts"])
 
 
 def _bitmap(keys: DataFrame, bits: int) -> bytes:
@@ -304,7 +320,11 @@ def aligned_places(docs: DataFrame, windows: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.frombuffer(asked.value, dtype=np.uint8)
         for batch in batches:
-            texts = [x for c in ("title", "body") for x in batch.column(c).to_pylist() if x]
+            texts = []
+            for c in ("title", "body"):
+                column = batch.column(c)
+                signed = pc.match_substring_regex(column, _ANY_SIGN).to_pylist()
+                texts += [opened(x) if s else x for x, s in zip(column.to_pylist(), signed) if x]
             found: set[tuple[int, int]] = set()
             at = 0
             while at < len(texts):
@@ -349,12 +369,11 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_pages(docs: DataFrame, facts: DataFrame) -> DataFrame:
     """(seq) of the pages whose whole text is a template of ``MIN_HOSTS`` hosts, or aligns with the sentences of such."""
-    host = F.rtrim(F.lower(F.coalesce("host", F.lit(""))), F.lit("."))
     whole = facts.where("skeleton != 0 and not facts.sure and not facts.filler")
     # the whole text, and the text with one half of its first sentence left open
     variants = F.explode(F.concat(F.array("skeleton"), F.transform("facts.halves", lambda h: F.xxhash64(h, "rest")))).alias("variant")
-    each = whole.select("seq", variants)
-    on_hosts = each.join(docs.select("seq", host.alias("host")), "seq").groupBy("variant", "host").agg(F.min("seq").alias("seq"))
+    each = whole.select("seq", F.rtrim(F.lower(F.coalesce("host", F.lit(""))), F.lit(".")).alias("host"), variants)
+    on_hosts = each.groupBy("variant", "host").agg(F.min("seq").alias("seq"))
     templates = on_hosts.groupBy("variant").agg(F.count("*").alias("n"), F.min("seq").alias("seq")).where(F.col("n") >= MIN_HOSTS)
     templates = materialize(templates.select("variant", "seq"), "page-templates")
     repeated = materialize(each.join(templates.select("variant"), "variant", "left_semi").select("seq").distinct(), "repeated-pages")
@@ -379,7 +398,7 @@ def repeated_pages(docs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(seq, kind), once for each page found, from materialised (seq, gone, aside, skeleton, rest, facts) of the pages with text."""
+    """(seq, kind), once for each page found, from materialised (seq, host, gone, aside, skeleton, rest, facts) of the pages with text."""
     untexted = docs.where(F.length(F.trim(F.coalesce("body", F.lit("")))) == 0).where(F.col("title").rlike(r"[{\[%<@_#&]")).select("seq", "title")
     found = open_slots(docs, facts).withColumn("kind", F.lit("open slot"))
     found = found.unionByName(facts.where("facts.filler").select("seq", F.lit("filler").alias("kind")))
@@ -390,8 +409,8 @@ def judge(docs: DataFrame, facts: DataFrame) -> DataFrame:
 
 def find_residue(docs: DataFrame) -> DataFrame:
     """(seq, kind): pages with an unfilled slot, or with nothing but messages or filler."""
-    pages = own_pages(docs, "title", "body").select("seq", "title", "body", "gone", "aside", "skeleton", "rest")
-    facts = pages.mapInArrow(_facts, f"seq long, gone array<int>, aside array<int>, skeleton long, rest long, facts {FACTS}")
+    pages = own_pages(docs, "host", "title", "body")
+    facts = pages.mapInArrow(_facts, f"seq long, host string, gone array<int>, aside array<int>, skeleton long, rest long, facts {FACTS}")
     return judge(docs, materialize(facts, "residue"))
 
 
