@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,8 +54,9 @@ TITLE, CAPS, BYLINE, SHARED, LISTED, OWN, PROSE, LATER = 1, 2, 4, 8, 16, 32, 64,
 
 #: How bylines open, close or look (fixed values).
 _BYLINE = re.compile(
-    r"^(?:(?:by|posted by|written by|words:|text:|von|par|por|da|autor:?|автор:?) [^\W\d_]|作者[：:]|文[・：:]|ผู้เขียน|लेखक|بقلم)|, staff writer$", re.I
+    r"^(?:(?:by|posted by|written by|words:|text:|von|par|por|da|autor:?|автор:?) [^\W\d_]|作者[：:]|文[・：:]|ผู้เขียน|लेखक|بقلم)", re.I
 )
+_BYLINE_END = ", staff writer"
 _NAME = r"[A-ZÀ-Þ][^\W\d_]{2,}"
 _NAMES_ONLY = re.compile(rf"^{_NAME} {_NAME}(?:, (?:(?:à|en|em|in) )?{_NAME})?$")
 _DIGIT = re.compile("[0-9]")
@@ -74,7 +76,7 @@ def classify_line(s: str) -> tuple[int, int]:
     wordy = len(s) <= LONG_LINE and s.count(" ") >= 3 or (8 <= len(s) <= LONG_LINE and not s.isascii() and s.count(" ") <= 1)
     if wordy and tail and tail[-1] not in END_MARKS and s[0] not in _LIST_MARKS and t[-1] not in ":>" and not _DIGIT.search(s):
         bits |= TITLE
-    if _BYLINE.search(s) or _NAMES_ONLY.match(s.title() if bits & CAPS else s):
+    if _BYLINE.match(s) or s[-len(_BYLINE_END) :].lower() == _BYLINE_END or _NAMES_ONLY.match(s.title() if bits & CAPS else s):
         bits |= BYLINE
     return key64(t), bits
 
@@ -92,6 +94,9 @@ def _common(a: list[int], b: list[int], both: set[int]) -> list[int]:
     xb = [x for x in b if x in both]
     if xa == xb:
         return ia
+    if len(both) == len(xa) == len(xb):  # no template twice: the longest ascending run of places
+        place = {x: j for j, x in enumerate(xb)}
+        return [ia[i] for i in _ascending([place[x] for x in xa])]
     n, m = len(xa), len(xb)
     rows = [[0] * (m + 1)]
     for x in xa:
@@ -111,6 +116,26 @@ def _common(a: list[int], b: list[int], both: set[int]) -> list[int]:
     return out[::-1]
 
 
+def _ascending(places: list[int]) -> list[int]:
+    """Positions of a longest ascending subsequence."""
+    tops: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for i, x in enumerate(places):
+        k = bisect_left(tops, x)
+        before.append(at[k - 1] if k else -1)
+        if k == len(tops):
+            tops.append(x)
+            at.append(i)
+        else:
+            tops[k], at[k] = x, i
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
 class _Held:
     """A batch whose pages may still be found to share lines with pages to come."""
 

@@ -450,27 +450,34 @@ def is_named(code: str, langs: list[str]) -> bool:
     return len(langs) > 1 or bool(langs) and langs[0] != code
 
 
-def settle(languages: DataFrame) -> DataFrame:
-    """``languages``, a materialised :func:`page_languages`, with the doubtful pages decided.
+def settle(languages: DataFrame, some: DataFrame | None = None) -> DataFrame:
+    """(seq, code, langs, confidence) of ``languages``, a materialised :func:`page_languages`, or of ``some`` of its rows, with the doubtful pages decided.
 
     In a body that lost its breaks, sentences that are site furniture elsewhere
     do not count; a language with fewer than two others is dropped.
     """
+    some = languages if some is None else some
     notices = languages.select(F.explode("notices").alias("key")).distinct()
-    doubts = languages.where(F.size("doubts") > 0).select("seq", F.explode("doubts").alias("d")).select("seq", "d.lang", "d.key")
-    left = doubts.join(notices, "key", "left_anti").groupBy("seq", "lang").agg(F.count("*").alias("n")).where("n >= 2")
+    each = some.where(F.size("doubts") > 0).select("seq", F.explode("doubts").alias("d")).select("seq", "d.lang", "d.key")
+    left = each.join(notices, "key", "left_anti").groupBy("seq", "lang").agg(F.count("*").alias("n")).where("n >= 2")
     left = left.groupBy("seq").agg(F.collect_set("lang").alias("_left"))  # at most one entry for each of LANGS
     pairs = F.arrays_zip("langs", "confidence")
     kept = F.filter(pairs, lambda x: F.array_contains("_left", x["langs"]))
-    best = F.when(F.size("doubts") == 0, pairs).when(F.coalesce(F.size("_left"), F.lit(0)) > 0, kept).otherwise(F.slice(pairs, 1, 1))
-    settled = languages.join(left, "seq", "left").withColumn("_best", best)
-    return settled.withColumn("langs", F.col("_best.langs")).withColumn("confidence", F.col("_best.confidence")).drop("_best", "_left", "doubts", "notices")
+    best = F.when(F.coalesce(F.size("_left"), F.lit(0)) > 0, kept).otherwise(F.slice(pairs, 1, 1))
+    columns = ["seq", "code", "langs", "confidence"]
+    doubtful = some.where(F.size("doubts") > 0).select(*columns).join(left, "seq", "left").withColumn("_best", best)
+    settled = doubtful.select("seq", "code", F.col("_best.langs").alias("langs"), F.col("_best.confidence").alias("confidence"))
+    return some.where(F.size("doubts") == 0).select(*columns).unionByName(settled)
+
+
+def named(languages: DataFrame) -> DataFrame:
+    """The pages whose label is missing or wrong, and the mixed ones: :func:`is_named` as a filter."""
+    return languages.where((F.size("langs") > 1) | (F.get("langs", F.lit(0)) != F.col("code")))
 
 
 def relabel(languages: DataFrame) -> DataFrame:
     """(seq, lang, confidence) of the pages whose label is missing or wrong, and of every language of mixed pages."""
-    named = (F.size("langs") > 1) | (F.get("langs", F.lit(0)) != F.col("code"))
-    each = languages.where(named).select("seq", F.explode(F.arrays_zip("langs", "confidence")).alias("x"))
+    each = named(languages).select("seq", F.explode(F.arrays_zip("langs", "confidence")).alias("x"))
     return each.select("seq", F.col("x.langs").alias("lang"), F.col("x.confidence").alias("confidence"))
 
 

@@ -20,8 +20,8 @@ CLOSERS = "\"'”’»›)]}」』）】》“"
 LONG_LINE = 200
 
 _DIGIT = re.compile("[0-9@]")
-_DIGITS = re.compile(r"@\w+|\b[^\W_]*[0-9][^\W_]*")
-_INNER_CAP = re.compile(r"(?<!^)(?<![^\W\d_'’])[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*(?:[-'’][^\W\d_]+)*")
+_DIGITS = re.compile(r"@\w+|\b[^\W\d_]*+[0-9][^\W_]*")
+_INNER_CAP = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ](?<!^.)(?<![^\W\d_'’].)[^\W\d_]*(?:[-'’][^\W\d_]+)*")
 _LATIN = re.compile(r"[A-Za-z]+")
 _LEAD = re.compile(r"^((?:[^\W\d_]+[ '’]){0,2}[^\W\d_]+)\s?(?:([:：])(?!//)|[>›»/] )\s*\S")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")

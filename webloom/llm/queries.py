@@ -52,7 +52,7 @@ def _languages(docs: DataFrame, missing: bool) -> DataFrame:
     facts = ("facts", residue.FACTS, lambda title, lines, code, langs, signed: residue.page_facts(title, lines, signed))
     spam = ("spam", "boolean", lambda title, lines, code, langs, signed: language.is_named(code, langs) and stuffing.is_spam(*stuffing.page_stuffing(lines)))
     found = materialize(language.page_languages(pages, trees, facts, spam), "page-languages")
-    named = language.relabel(language.settle(found).where("not spam"))
+    named = language.relabel(language.settle(found, language.named(found.where("not spam"))))
     return named.join(residue.judge(docs, found.select("seq", "host", "gone", "aside", "skeleton", "rest", "facts")).select("seq"), "seq", "left_anti")
 
 

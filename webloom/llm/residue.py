@@ -372,7 +372,7 @@ def repeated_pages(docs: DataFrame, facts: DataFrame) -> DataFrame:
     whole = facts.where("skeleton != 0 and not facts.sure and not facts.filler")
     # the whole text, and the text with one half of its first sentence left open
     variants = F.explode(F.concat(F.array("skeleton"), F.transform("facts.halves", lambda h: F.xxhash64(h, "rest")))).alias("variant")
-    each = whole.select("seq", F.rtrim(F.lower(F.coalesce("host", F.lit(""))), F.lit(".")).alias("host"), variants)
+    each = whole.select("seq", F.xxhash64(F.rtrim(F.lower(F.coalesce("host", F.lit(""))), F.lit("."))).alias("host"), variants)
     on_hosts = each.groupBy("variant", "host").agg(F.min("seq").alias("seq"))
     templates = on_hosts.groupBy("variant").agg(F.count("*").alias("n"), F.min("seq").alias("seq")).where(F.col("n") >= MIN_HOSTS)
     templates = materialize(templates.select("variant", "seq"), "page-templates")
