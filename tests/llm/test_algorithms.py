@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -91,6 +92,10 @@ def test_packing_places_every_item_once(histogram):
     assert all(sorted(r) == list(range(histogram[x])) for x, r in ranks.items())
 
 
+def test_the_shortest_pack_comes_first():
+    assert packing.pack_histogram({7: 1, 5: 1, 3: 1}, 10) == [(1, ((7, 1),)), (1, ((5, 1), (3, 1)))]
+
+
 def test_packing_is_tight():
     random.seed(2)
     histogram: dict[int, int] = {}
@@ -140,6 +145,16 @@ def test_seed_trees_tell_languages_apart():
     assert (language.confidence(bits) > 0.5).all()
 
 
+def test_counts_of_sentences_do_not_saturate():
+    trees = language.fit_texts([])
+    en, fr = ("Everyone has the right to life, liberty and security of person." , "Tout individu a droit à la vie, à la liberté et à la sûreté de sa personne.")
+    engine = language.PageLanguages(trees)
+    found, = engine.conclude([[(" ".join([en] * 400 + [fr] * 10), False)]], [True])
+    assert found.langs == ["en", "fr"] and len(found.doubts) == 410
+    single, = engine.conclude([[(" ".join([en] * 400 + [fr]), False)]], [True])
+    assert single.langs == ["en"]
+
+
 def test_wrong_labels_are_corrected():
     pages = []
     for x in ("en", "de"):
@@ -177,6 +192,14 @@ def test_sentences_of_nothing():
     assert sentences.sentence_ends("a" * 100_000, model) == [100_000]
 
 
+def test_long_lines_are_cut_in_linear_time():
+    model = sentences.train(list(CASES))
+    text = "The council met e.g. at 3.5 km from here, as Dr. Smith said. " * 16_000
+    begin = time.time()
+    assert len(sentences.sentence_ends(text, model)) >= 16_000
+    assert time.time() - begin < 60
+
+
 def test_viterbi_is_the_best_path():
     random.seed(4)
     model = sentences.Chain()
@@ -198,16 +221,29 @@ def test_viterbi_is_the_best_path():
     assert value(model.decode(chain)) == pytest.approx(value(best))
 
 
-def test_open_slots():
+def test_candidates_of_slots():
     for line in ("Welcome to {{ city }}", "By %%AUTHOR%% today", "[INSERT PRICE HERE]", "Hello ${user}", "__HEADLINE__", "&lt;price&gt;"):
-        assert residue.has_open_slot(line), line
-    for line in ("In this notation {author} stands for a value.", "Type {{ price }} in the editor.", "In this shell, ${HOME} is replaced before the run.", "plain {1} text", "a [1] b"):
-        assert not residue.has_open_slot(line), line
-    assert residue.line_residue("404 – Forbidden. Please try again later.") & residue.MESSAGE
-    assert not residue.line_residue('If you see "500 Internal Server Error", look at the log.') & residue.MESSAGE
-    assert residue.line_residue("Lorem ipsum magnor quamet dolora fugiam.") & residue.FILLER
-    assert not residue.line_residue("The habit of lorem ipsum in the printing of the old sheets is of interest.") & residue.FILLER
-    assert residue.line_residue("") == 0
+        assert residue.slots(line)[0], line  # no sentence that could talk about the marker
+    for line in ("In this notation {author} stands for a value.", "Type {{ price }} in the editor.", "In this shell, ${HOME} is replaced before the run."):
+        sure, windows = residue.slots(line)
+        assert not sure and [m for _, m in windows] == [True], line
+    assert residue.slots("a [1] b, 30 % of it") == (False, [])
+    for line in ("Dear CUSTOMERNAME, we wrote.", "Price: N/A", "Name: ____", "Kontakt: <Name hier>"):
+        assert [m for _, m in residue.slots(line)[1]] == [False], line
+    assert residue.is_filler([("Lorem ipsum magnor quamet dolora fugiam.", False)])
+    assert not residue.is_filler([("The habit of lorem ipsum in the printing of the old sheets is of interest.", False)])
+    assert not residue.is_filler([])
+
+
+def test_windows_align_with_records_that_hold_nothing_or_a_value():
+    every = np.full(1 << (residue.WINDOW_BITS - 3), 255, dtype=np.uint8)
+    found = set(residue.aligned(residue.opened("Dear Anna Kell, we wrote.\nDear Tom, we wrote.\nThe oven loses crumbs here.\nDear {name}, we wrote."), every))
+    (key, _), = residue.slots("Dear CUSTOMERNAME, we wrote.")[1]
+    assert len({v for k, v in found if k == key}) == 2 and all(v for k, v in found if k == key)
+    (key, _), = residue.slots("The oven loses [[price]] crumbs here.")[1]
+    assert {v for k, v in found if k == key} == {0}
+    (key, _), = residue.slots("In this notation {x} stands for it.")[1]
+    assert key not in {k for k, _ in found}
 
 
 def test_templates():
@@ -221,9 +257,16 @@ def test_templates():
 def test_stuffing_segments():
     spam = ["buy red lamps Arden | buy red lamps Arden | cheap lamps | buy red lamps Arden | cheap lamps | cheap lamps"]
     prose = ["The council met on Monday. It rejected the plan, as the notes make clear. Nobody objected to the new road."]
-    (a,), (b,) = stuffing.page_stuffing("", spam, [0]), stuffing.page_stuffing("", prose, [0])
-    assert a >> 20 > 40 and b >> 20 == 0 and b & ((1 << 20) - 1) > 60
-    assert stuffing.page_stuffing("", [""], [0]) == [0]
+    (stuffed, honest), (none, prose_chars) = (stuffing.page_stuffing([(x, False) for x in page]) for page in (spam, prose))
+    assert stuffed > 40 and stuffed > honest and none == 0 and prose_chars > 60
+    assert stuffing.page_stuffing([]) == (0, 0)
+    assert stuffing.page_stuffing([(prose[0], True)]) == (0, 0)
+
+
+def test_stuffing_counts_do_not_saturate():
+    line = " ".join(f"Sentence {chr(97 + i % 26)}{i} tells of the {chr(97 + i * 7 % 26)}{i % 97} road and the council." for i in range(30_000))
+    stuffed, honest = stuffing.page_stuffing([(line, False)])
+    assert stuffed + honest > 1_050_000
 
 
 def test_toxic_model_without_labels_and_spellings():
@@ -240,3 +283,19 @@ def test_toxic_model_learns():
     model = toxic.train([(toxic.tokens(t), 0) for t in clean] + [(toxic.tokens(t), 1) for t in bad])
     assert model.page("Quiet day. You pathetic wretch, crawl away!")[1] > 0
     assert model.page("The council met on Monday and discussed bread.")[1] == 0
+
+
+def test_words_of_all_scripts_and_of_names_are_read():
+    assert toxic.tokens("Jack Sparrow Idiot Hunter is here") == ["jack", "sparrow", "idiot", "hunter", "is", "here"]
+    for seed in ("कुत्ते", "कीड़े", "寄生虫", "ขยะ"):
+        assert seed in toxic.SEEDS and seed in toxic.tokens(f"x {seed} y"), seed
+
+
+def test_level_is_stable_between_halves():
+    random.seed(5)
+    words = "council road bread butter harbour museum keeper winter garden letter river school".split()
+    clean = [(toxic.tokens(" ".join(random.choice(words) for _ in range(40)) + "."), 0) for _ in range(400)]
+    bad = [(toxic.tokens(" ".join(random.choice(words) for _ in range(30)) + ". You worthless idiot, crawl away, vermin!"), 1) for _ in range(60)]
+    models = [toxic.train(clean[h::2] + bad[h::2]) for h in (0, 1)]
+    for m in models:
+        assert sum(m.passages(t)[1] > 0 for t, _ in clean) <= 2 and sum(m.passages(t)[1] > 0 for t, _ in bad) >= 58

@@ -67,7 +67,23 @@ def test_residue(spark):
     rows = [dict(body="404 – Not found. Please try again later."), dict(body=PROSE[0]), dict(body=PROSE[1], title="Welcome to {{ city }}"), dict(body=None, title="%%NAME%%"), dict(body="Nothing here yet, friend", host="b.example")]
     rows += [dict(body="Nothing here yet, friend", host=f"{x}.example", url=f"http://{x}.example/") for x in "cd"]
     got = {r["seq"]: r["kind"] for r in residue.find_residue(docs(spark, rows)).collect()}
-    assert got == {0: "message or filler", 2: "open slot", 3: "open slot", 4: "repeated page", 5: "repeated page", 6: "repeated page"}
+    assert got == {2: "open slot", 3: "open slot", 4: "repeated page", 5: "repeated page", 6: "repeated page"}  # one error page shows no template
+    messages = [f"404 – Not found ({x}wick-{i}). Please try again later." for i, x in enumerate("abc")] + ["Not found. Please try again shortly."]
+    rows = [dict(body=b, host=f"{x}.example", url=f"http://{x}.example/") for b, x in zip(messages, "cdef")] + [dict(body=p) for p in PROSE]
+    got = {r["seq"]: r["kind"] for r in residue.find_residue(docs(spark, rows)).collect()}
+    assert got == {i: "repeated page" for i in range(4)}  # the last aligns with the template of the others
+
+
+def test_slots_are_induced_by_alignment(spark):
+    values = [f"Dear {n}, we wrote to you on Monday. {p}" for n, p in zip("Anna Bert Carl Dora".split(), PROSE)]
+    filled = [f"{p} The price is {n} today." for n, p in zip("12 7 31 5".split(), PROSE)]
+    rows = [dict(body=b) for b in values + filled]
+    rows += [dict(body="Dear CUSTOMERNAME, we wrote to you on Monday. It rained."), dict(body="The red lamp is sold out. The price is N/A today."), dict(body="The green lamp hangs over the door. The price is ____ today.")]
+    rows += [dict(body=f"In this notation {m} stands for a value. {PROSE[i]}") for i, m in enumerate(("{author}", "{city}"))]
+    rows += [dict(body=f"The ferry {m} council met on Monday. Nothing else was said that day.") for m in ("{{ city }}", "%%PRICE%%")] + [dict(body=PROSE[0])]
+    rows = [r | dict(host=f"h{i}.example", url=f"http://h{i}.example/") for i, r in enumerate(rows)]
+    got = {r["seq"] for r in residue.find_residue(docs(spark, rows)).collect()}
+    assert got == {8, 9, 10, 13, 14}
 
 
 def test_stuffing(spark):
@@ -99,12 +115,23 @@ def test_language(spark):
     other = "A small bakery opened near the old harbour last week. People came from all the villages around."
     rows = [dict(body=en, lang="en-GB"), dict(body=en, lang="de"), dict(body=en, lang=" "), dict(body=other + "\n" + de, lang="en"), dict(body="人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心。", lang="zz"), dict(body=None, lang="fr")]
     df = docs(spark, rows)
-    got = {(r["seq"], r["lang"]) for r in language.relabel(df, language.page_languages(df)).collect()}
+    got = {(r["seq"], r["lang"]) for r in language.relabel(language.page_languages(df)).collect()}
     assert got == {(1, "en"), (2, "en"), (3, "en"), (3, "de"), (4, "zh")}
     runs = [(r["lang"], r["n_sentences"]) for r in language.label_passages(df).where("seq = 3").orderBy("passage").collect()]
     assert runs == [("en", 2), ("de", 2)]
 
 
+def test_notices_in_bodies_without_breaks_do_not_count(spark):
+    notice = "Wir speichern Daten auf diesem Gerät für die Zukunft. Alle Rechte an diesen Seiten sind vorbehalten."
+    own = [" ".join(p.replace("The", f"The {chr(97 + i)}{i}th") for p in PROSE[k : k + 3]) for i, k in enumerate((0, 1, 2, 3) * 5)]
+    rows = [dict(body=f"{b}\n{notice}", lang="en", url=f"http://a.example/p/{i:03d}") for i, b in enumerate(own)]
+    rows += [dict(body=f"{own[0]} Home News {notice}", lang="en", url="http://a.example/q"), dict(body=f"{own[1]} Der Stadtrat verschiebt die Pläne für den Herbst. Das kleine Museum prüft das Ergebnis der Messung.", lang="en", url="http://b.example/r", host="b.example")]
+    de = "Der Stadtrat verschiebt die Pläne für den Winter. Das kleine Museum prüft die Messung. Die Bäckerei am Markt bespricht das Ergebnis."
+    rows += [dict(body=de.replace("Der", f"{i} Der"), lang="de", host=f"c{i}.example", url=f"http://c{i}.example/") for i in range(8)]
+    got = {(r["seq"], r["lang"]) for r in language.relabel(language.page_languages(docs(spark, rows))).collect()}
+    assert got == {(21, "en"), (21, "de")}
+
+
 def test_toxic(spark):
     rows = [dict(body=f"The council number {i} met on Monday and spoke about bread and roads.") for i in range(60)]
     rows += [dict(body=f"Meeting {i}. You worthless idiot, go away, vermin!", host="b.example.") for i in range(8)]

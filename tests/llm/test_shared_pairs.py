@@ -19,7 +19,7 @@ def pages(bodies, first=0):
 
 def test_both_pages_of_a_pair_are_marked_across_batches():
     for batches in ([pages(BODIES)], [pages([b], i) for i, b in enumerate(BODIES)]):
-        out = pa.Table.from_batches(boilerplate._differ(())(iter(batches))).to_pylist()
+        out = pa.Table.from_batches(boilerplate._differ(iter(batches))).to_pylist()
         shared = {(r["seq"], n) for r in out for n, b in enumerate(r["bits"]) if b & SHARED}
         assert shared == {(0, 1), (1, 1)} and sorted(r["seq"] for r in out) == [0, 1, 2]
 

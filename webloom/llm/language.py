@@ -43,9 +43,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from webloom.llm.boilerplate import own_lines
+from webloom.llm.boilerplate import own_lines, own_pages
 from webloom.llm.lines import CLOSERS, END_MARKS, LONG_LINE, key64, squeeze, template
 from webloom.llm.residue import signed
+from webloom.session import materialize
 
 LANGS = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja", "ar", "hi", "th")
 ORDER = 4
@@ -412,7 +413,7 @@ def fit_texts(pages: list[tuple[str, list[str]]]) -> Trees:
     return trees(owner, everyone)
 
 
-def page_languages(pages: DataFrame, trees: Broadcast, *facts: Fact) -> DataFrame:
+def conclude_pages(pages: DataFrame, trees: Broadcast, *facts: Fact) -> DataFrame:
     """(seq, host, gone, aside, skeleton, rest, code, langs, confidence, ...) of every page of ``pages``, a
     result of :func:`webloom.llm.boilerplate.own_pages` with host, title, body and lang; the commonest language comes first.
 
@@ -451,7 +452,7 @@ def is_named(code: str, langs: list[str]) -> bool:
 
 
 def settle(languages: DataFrame, some: DataFrame | None = None) -> DataFrame:
-    """(seq, code, langs, confidence) of ``languages``, a materialised :func:`page_languages`, or of ``some`` of its rows, with the doubtful pages decided.
+    """(seq, code, langs, confidence) of ``languages``, a materialised :func:`conclude_pages`, or of ``some`` of its rows, with the doubtful pages decided.
 
     In a body that lost its breaks, sentences that are site furniture elsewhere
     do not count; a language with fewer than two others is dropped.
@@ -470,6 +471,12 @@ def settle(languages: DataFrame, some: DataFrame | None = None) -> DataFrame:
     return some.where(F.size("doubts") == 0).select(*columns).unionByName(settled)
 
 
+def page_languages(docs: DataFrame) -> DataFrame:
+    """(seq, code, langs, confidence) of every page with text: its label, its languages, the commonest first, and how sure they are."""
+    trees = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    return settle(materialize(conclude_pages(own_pages(docs, "host", "title", "body", "lang"), trees), "page-languages"))
+
+
 def named(languages: DataFrame) -> DataFrame:
     """The pages whose label is missing or wrong, and the mixed ones: :func:`is_named` as a filter."""
     return languages.where((F.size("langs") > 1) | (F.get("langs", F.lit(0)) != F.col("code")))

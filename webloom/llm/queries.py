@@ -34,26 +34,22 @@ def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _languages(table(spark, d, "docs"), True).select("seq", "lang")
-
-
-def p4_languages(spark: SparkSession, d: str) -> DataFrame:
-    """(seq, lang, confidence): every language of every page with text, whatever its label."""
-    return _languages(table(spark, d, "docs"), False)
-
-
-def _languages(docs: DataFrame, missing: bool) -> DataFrame:
-    """With ``missing`` the pages whose label is missing or wrong and the mixed ones, residue and spam left out."""
+    """Pages whose label is missing or wrong and the mixed ones, residue (p6) and spam (p7) left out; spam is looked for among the pages that would be named."""
+    docs = table(spark, d, "docs")
     trees = docs.sparkSession.sparkContext.broadcast(language.fit(docs))
-    pages = boilerplate.own_pages(docs, "host", "title", "body", "lang")
-    if not missing:
-        found = language.settle(materialize(language.page_languages(pages, trees), "page-languages"))
-        return found.select("seq", F.explode(F.arrays_zip("langs", "confidence")).alias("x")).select("seq", F.col("x.langs").alias("lang"), F.col("x.confidence").alias("confidence"))
     facts = ("facts", residue.FACTS, lambda title, lines, code, langs, signed: residue.page_facts(title, lines, signed))
     spam = ("spam", "boolean", lambda title, lines, code, langs, signed: language.is_named(code, langs) and stuffing.is_spam(*stuffing.page_stuffing(lines)))
-    found = materialize(language.page_languages(pages, trees, facts, spam), "page-languages")
+    pages = boilerplate.own_pages(docs, "host", "title", "body", "lang")
+    found = materialize(language.conclude_pages(pages, trees, facts, spam), "page-languages")
     named = language.relabel(language.settle(found, language.named(found.where("not spam"))))
-    return named.join(residue.judge(docs, found.select("seq", "host", "gone", "aside", "skeleton", "rest", "facts")).select("seq"), "seq", "left_anti")
+    left_out = residue.judge(docs, found.select("seq", "host", "gone", "aside", "skeleton", "rest", "facts")).select("seq")
+    return named.select("seq", "lang").join(left_out, "seq", "left_anti")
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, lang, confidence): every language of every page with text, whatever its label."""
+    found = language.page_languages(table(spark, d, "docs"))
+    return found.select("seq", F.explode(F.arrays_zip("langs", "confidence")).alias("x")).select("seq", F.col("x.langs").alias("lang"), F.col("x.confidence").alias("confidence"))
 
 
 def p4_passages(spark: SparkSession, d: str) -> DataFrame:

@@ -167,9 +167,9 @@ class Places:
         for k in range(min(SIDE, n)):
             go_left[: k + 1] = False
             go_left[k + 1 :] &= ~self.stop[: n - k]
-            left[k + 1 :] += np.where(go_left[k + 1 :], code[: n - k] * _FACTORS[k], 0).astype(np.uint64)
+            left[k + 1 :] += np.where(go_left[k + 1 :], code[: n - k] * _FACTORS[k], np.uint64(0))
             go_right[n - k :] = False
-            right[: n - k] += np.where(go_right[: n - k], code[k:] * _FACTORS[SIDE + k], 0).astype(np.uint64)
+            right[: n - k] += np.where(go_right[: n - k], code[k:] * _FACTORS[SIDE + k], np.uint64(0))
             go_right[: n - k] &= ~self.stop[k:]
         return left, right
 
@@ -216,14 +216,14 @@ def aligned(text: str, windows: np.ndarray) -> Iterator[tuple[int, int]]:
     gaps = np.flatnonzero(free)
     for _, key in asked(gaps, p.left[gaps] ^ p.right[gaps]):
         yield key, 0
-    right = np.append(p.right, 0)
+    right = np.append(p.right, np.uint64(0))
     for width in (1, 2):  # values of one or two words
         gaps = np.flatnonzero(p.named & free[:-1])
         gaps = gaps[gaps + width <= n]
         if width == 2:
             gaps = gaps[p.named[gaps + 1] & ~p.stop[gaps]]
         gaps = gaps[free[gaps + width]]
-        after = np.where(p.stop[gaps + width - 1], 0, right[gaps + width]).astype(np.uint64)
+        after = np.where(p.stop[gaps + width - 1], np.uint64(0), right[gaps + width])
         for gap, key in asked(gaps, p.left[gaps] ^ after):
             yield key, key64(" ".join(p.toks[gap : gap + width]))
 
