@@ -141,8 +141,9 @@ def take(store: Store, n: int) -> tuple[Store, DataFrame]:
 
 
 def sweep(store: Store) -> Store:
-    """Leases go back to the queue, as after a restart."""
-    return replace(store, queue=store.queue.unionByName(store.leased.select("url", "host", "depth")), leased=store.leased.limit(0))
+    """Leases go back to the end of the queue, as after a restart."""
+    back = store.leased.select("url", "host", F.lit(frontier.LAST_PRIORITY).cast("long").alias("depth"))
+    return replace(store, queue=store.queue.unionByName(back), leased=store.leased.limit(0))
 
 
 def complete(store: Store, results: DataFrame) -> Store:

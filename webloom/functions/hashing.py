@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +58,7 @@ def bands(fp: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.call_function("shiftright", fp, i * 8).bitwiseAND(F.lit(255)).cast("int"))
 
 
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN = regex.compile(r"[\p{L}\p{Nd}]+")
 _hashes: dict[str, int] = {}
 
 

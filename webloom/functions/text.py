@@ -42,6 +42,10 @@ RULES: tuple[tuple[str, str, str, str], ...] = (
 ADULT_SUFFIXES = (".xxx", ".adult", ".porn", ".sex")
 
 
+#: Bytes of a text in which its script is looked for (fixed value).
+SCRIPT_BYTES = 2000
+
+
 def _any_of(text: Column, parts: str) -> Column:
     return text.rlike("|".join(re.escape(p) for p in parts.split("|"))) if parts else F.lit(False)
 
@@ -85,9 +89,20 @@ def normalize_lang(lang: Column) -> Column:
     return F.coalesce(F.when(first.rlike("^[a-z]{2,3}$"), first), F.lit(""))
 
 
+def first_bytes(text: Column, most: int) -> Column:
+    """The characters that begin within the first ``most`` + 1 bytes of the text."""
+    raw = F.encode(text, "UTF-8")
+    inner = lambda i: F.hex(F.substring(raw, most + 1 + i, 1)).rlike("^[89AB]")  # noqa: E731  a byte inside a character
+    more = F.when(~inner(1), 0).when(~inner(2), 1).when(~inner(3), 2).otherwise(3)
+    return F.when(F.octet_length(text) <= most + 1, text).otherwise(F.decode(F.substring(raw, F.lit(1), F.lit(most + 1) + more), "UTF-8"))
+
+
 def guess_script(text: Column) -> Column:
-    """Language of the prevailing script: over a quarter of at least 20 letters, else 'en'; '' for fewer letters."""
-    letters = F.regexp_replace(text, r"[\s\p{P}\p{Nd}]", "")
+    """Language of the prevailing script: over a quarter of at least 20 letters, else 'en'; '' for fewer letters.
+
+    Only the beginning of the text, ``SCRIPT_BYTES``, is looked at.
+    """
+    letters = F.regexp_replace(first_bytes(text, SCRIPT_BYTES), r"[\s\p{P}\p{Nd}]", "")
     counts = [F.length(F.regexp_replace(letters, f"[^{r}]", "")) for _, r in SCRIPTS]
     top = F.greatest(*counts)
     out = F.when(F.length(letters) < 20, "").when(top * 4 <= F.length(letters), "en")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.hashing import bands, fingerprint, hamming, is_near
+from webloom.functions.hashing import fingerprint, hamming, is_near
+from webloom.session import materialize
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -19,27 +20,34 @@ def classes(fps: DataFrame) -> DataFrame:
     return fps.where("fp <> 0").groupBy("fp").agg(F.min("seq").alias("first_seq"), F.count("*").alias("members"))
 
 
-#: Positions of the 16-bit quarters of a fingerprint.
+#: Number of 16-bit quarters of a fingerprint.
 _QUARTERS = 4
+_NO_FLIP, _ONE_FLIP = [0], [0, *(1 << i for i in range(16))]
+_TWO_FLIPS = [*_ONE_FLIP, *((1 << i) | (1 << j) for i in range(16) for j in range(i))]
+
+
+def _keyed(df: DataFrame, fp: str, flips: list[int]) -> DataFrame:
+    """``df`` with (q, v): each 16-bit quarter of the fingerprint, as it is and with the given bits flipped."""
+    quarter = lambda i: F.shiftright(fp, 16 * i).bitwiseAND(F.lit(65535)).cast("int")
+    masks = F.array(*(F.lit(f) for f in flips))
+
+    def keys_of(i: int) -> Column:
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("q"), quarter(i).bitwiseXOR(m).alias("v")))
+
+    keys = [keys_of(i) for i in range(_QUARTERS)]
+    return df.select("*", F.explode(F.concat(*keys)).alias("_x")).select(*df.columns, "_x.q", "_x.v")
 
 
 def near_pairs(fps: DataFrame) -> DataFrame:
     """(a, b, distance) of distinct fingerprints that share a byte band and differ in at most eight bits, a < b.
 
-    Joined on composite keys of two 16-bit quarters each instead of single
-    bytes: fingerprints within eight bits may differ in all four quarters, so
-    each quarter is also looked up with any one or two of its bits flipped
-    (one side only).  By the pigeonhole principle some quarter differs in at
-    most two bits, so no pair is lost; the byte-band rule is applied after.
+    Fingerprints within eight bits differ in at most two bits in one of their
+    four quarters, so they meet if each side looks every quarter up as it is and
+    with one bit flipped; no pair is lost.  The byte-band rule is applied after.
+    ``fps`` is read several times: pass a materialised table.
     """
     one = classes(fps).select("fp")
-    value = lambda i: F.shiftright("fp", 16 * i).bitwiseAND(F.lit(65535)).cast("int")
-    flips = [0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i in range(16) for j in range(i))]
-    quarters = F.array(*(F.struct(F.lit(i).alias("q"), value(i).alias("v")) for i in range(_QUARTERS)))
-    right = one.select(F.col("fp").alias("b"), F.explode(quarters).alias("x")).select("b", "x.*")
-    masks = F.explode(F.array(*(F.lit(f) for f in flips))).alias("m")
-    left = one.select(F.col("fp").alias("a"), F.explode(quarters).alias("x")).select("a", "x.q", F.col("x.v").alias("_v"), masks)
-    left = left.select("a", "q", F.col("_v").bitwiseXOR(F.col("m")).alias("v"))
+    left, right = _keyed(one.select(F.col("fp").alias("a")), "a", _ONE_FLIP), _keyed(one.select(F.col("fp").alias("b")), "b", _ONE_FLIP)
     near = left.join(right, ["q", "v"]).where((F.col("a") < F.col("b")) & is_near(F.col("a"), F.col("b")))
     return near.where(shares_band(F.col("a"), F.col("b"))).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance")).distinct()
 
@@ -54,9 +62,12 @@ def shares_band(a, b):
 
 
 def near_dup_flags(fps: DataFrame) -> DataFrame:
-    """(seq, fp, class_seq, is_copy, n_links): each document with its class, whether an earlier neighbour exists, and the links of its class."""
+    """(seq, fp, class_seq, is_copy, n_links): each document with its class, whether an earlier neighbour exists, and the links of its class.
+
+    ``fps`` is read several times: pass a materialised table.
+    """
     known = classes(fps)
-    pairs = near_pairs(fps)
+    pairs = materialize(near_pairs(fps), "near-pairs")
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = known.select(F.col("fp").alias("b"), F.col("first_seq").alias("_other"))
     links = both.join(other, "b").groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n_links"), F.min("_other").alias("_before"))
@@ -66,13 +77,16 @@ def near_dup_flags(fps: DataFrame) -> DataFrame:
 
 
 def suppress(docs: DataFrame, committed: DataFrame) -> DataFrame:
-    """Documents without a near neighbour of another url among the committed fingerprints (url, fp)."""
+    """Documents without a near neighbour of another url among the committed fingerprints (url, fp).
+
+    The quarters of the batch are looked up with up to two bits flipped, those
+    of the committed ones, which are many, as they are.
+    """
     fps = fingerprints(docs)
-    band = lambda d, fp: F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(7)).alias("band"), bands(F.col(fp)).alias("value"))).alias("x")
-    new = fps.select("seq", F.col("url").alias("u"), "fp").where("fp <> 0").select("*", band(fps, "fp")).select("seq", "u", "fp", "x.*")
-    old = committed.select("url", F.col("fp").alias("f")).where("f <> 0")
-    old = old.select("*", band(old, "f")).select("url", "f", "x.*")
-    hit = new.join(old, ["band", "value"]).where((F.col("u") != F.col("url")) & is_near(F.col("fp"), F.col("f"))).select("seq").distinct()
+    new = _keyed(fps.select("seq", F.col("url").alias("u"), "fp").where("fp <> 0"), "fp", _TWO_FLIPS)
+    old = _keyed(committed.select("url", F.col("fp").alias("f")).where("f <> 0"), "f", _NO_FLIP)
+    near = (F.col("u") != F.col("url")) & is_near(F.col("fp"), F.col("f")) & shares_band(F.col("fp"), F.col("f"))
+    hit = new.join(old, ["q", "v"]).where(near).select("seq").distinct()
     return docs.join(hit, "seq", "left_anti")
 
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which the block table is broadcast; above, blocks are joined by their /16 prefix.
-MAX_BROADCAST = 200_000
-
 #: Default centroids (fixed values); the full list of an installation is a parameter.
 CENTROIDS = {
     "AU": (-27.00, 133.00), "BR": (-10.00, -55.00), "CA": (60.00, -95.00), "CH": (47.00, 8.00), "CN": (35.00, 105.00), "DE": (51.00, 9.00),
@@ -33,19 +30,16 @@ def cidr_range(cidr: Column) -> tuple[Column, Column]:
     return low, low + size - 1
 
 
-def locate(ips: DataFrame, blocks: DataFrame, small: bool) -> DataFrame:
+def locate(ips: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows of ``ips`` (ip, ...) with the narrowest block (lo, hi, country) holding them.
 
-    A bounded block table is broadcast; otherwise both sides are keyed by the
-    address's upper 16 bits, wide blocks being listed under each of theirs.
+    Both sides are keyed by the address's upper 16 bits, wide blocks being
+    listed under each of theirs, so the join is on equal keys.
     """
     numbered = ips.withColumn("_n", ip_number(F.col("ip")))
-    if small:
-        joined = numbered.join(F.broadcast(blocks), F.col("_n").between(F.col("lo"), F.col("hi")), "left")
-    else:
-        keyed = blocks.withColumn("_k", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-        left = numbered.withColumn("_k", F.shiftright("_n", 16))
-        joined = left.join(keyed, (left["_k"] == keyed["_k"]) & F.col("_n").between(F.col("lo"), F.col("hi")), "left").drop("_k")
+    keyed = blocks.withColumn("_k", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
+    left = numbered.withColumn("_k", F.shiftright("_n", 16))
+    joined = left.join(keyed, (left["_k"] == keyed["_k"]) & F.col("_n").between(F.col("lo"), F.col("hi")), "left").drop("_k")
     keys = [c for c in ips.columns]
     best = joined.groupBy(*keys).agg(F.min_by(F.col("country"), F.col("hi") - F.col("lo")).alias("country"))
     return best

@@ -22,8 +22,9 @@ def status_text(status: Column) -> Column:
 
 
 def short_error(err: Column) -> Column:
-    """Text after the last ': ', at most 120 characters."""
-    return F.left(F.substring_index(err, ": ", -1), F.lit(120))
+    """Text after the last ': ', at most 120 bytes; a character cut in two becomes a replacement mark."""
+    text = F.substring_index(err, ": ", -1)
+    return F.when(F.octet_length(text) <= 120, text).otherwise(F.decode(F.substring(F.encode(text, "UTF-8"), 1, 120), "UTF-8"))
 
 
 def outcome(status: Column, has_body: Column, html: Column, noindex: Column) -> Column:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions import html, robots
+from webloom.functions import hashing, html, robots
 from webloom.operators import dedup, frontier, geo, outcome, search
 from webloom.plans.base import EV, query
 from webloom.plans.rollups import events
-from webloom.session import table
+from webloom.session import materialize, table
 from webloom.sources import readers
 
 #: Candidates: urls of the fetch log as links one deeper than their page.
 _CAND = "cand AS (SELECT url, min(depth) + 1 AS depth FROM fetch_log WHERE coalesce(url,'') <> '' GROUP BY 1)"
-_HALF = "st AS (SELECT * FROM url_state WHERE substr(md5(url), 1, 1) < '8')"
+_SEEN = "st AS (SELECT * FROM url_state)"
 _ORD = "CASE WHEN depth < 0 OR depth >= 255 THEN 255 ELSE depth END AS pri, ('0x' || substr(md5(url),1,4))::INT AS rnd"
 _KEY_HOST = "regexp_extract(url, '://([^/?#:]*)', 1)"
 
@@ -31,7 +31,7 @@ def _new(spark: SparkSession, d: str) -> DataFrame:
     return frontier.enqueue(_candidates(spark, d), _seen(spark, d))
 
 
-_NEW = f"{_CAND}, {_HALF}, new AS (SELECT url, {_KEY_HOST} AS host, depth FROM cand WHERE url NOT IN (SELECT url FROM st))"
+_NEW = f"{_CAND}, {_SEEN}, new AS (SELECT url, {_KEY_HOST} AS host, depth FROM cand WHERE url NOT IN (SELECT url FROM st))"
 
 
 @query("enqueue_new", f"WITH {_NEW} SELECT url, host, depth::BIGINT AS depth FROM new")
@@ -129,18 +129,18 @@ def simhash_docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("simhash_bands")
 def simhash_bands(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.fingerprints(table(spark, d, "docs")).select("seq", dedup.bands(F.col("fp")).alias("bands"))
+    return dedup.fingerprints(table(spark, d, "docs")).select("seq", hashing.bands(F.col("fp")).alias("bands"))
 
 
 @query("near_dup_flag")
 def near_dup_flag(spark: SparkSession, d: str) -> DataFrame:
     """Each document with its class, its links to other texts, and whether an earlier neighbour exists."""
-    return dedup.near_dup_flags(dedup.fingerprints(table(spark, d, "docs")))
+    return dedup.near_dup_flags(materialize(dedup.fingerprints(table(spark, d, "docs")), "fingerprints"))
 
 
 @query("near_dup_pairs")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.near_pairs(dedup.fingerprints(table(spark, d, "docs")))
+    return dedup.near_pairs(materialize(dedup.fingerprints(table(spark, d, "docs")), "fingerprints"))
 
 
 @query("dedup_suppressed")
@@ -175,7 +175,7 @@ def geo_lookup(spark: SparkSession, d: str) -> DataFrame:
     h = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("long")
     ip = F.concat_ws(".", F.lit("10"), F.floor(h / 65536), F.floor(h / 256) % 256, h % 256)
     ips = table(spark, d, "docs").where("host is not null").select(ip.alias("ip"), "host", "seq")
-    return geo.host_location(geo.locate(ips, blocks.select(low.alias("lo"), high.alias("hi"), "country"), small=True))
+    return geo.host_location(geo.locate(ips, blocks.select(low.alias("lo"), high.alias("hi"), "country")))
 
 
 @query("top_csv_window")

@@ -44,9 +44,18 @@ def stream_seen_dedup(spark: SparkSession, d: str) -> DataFrame:
     return _run(jobs.seen_dedupe(_stream(spark, d)), "append").select("url")
 
 
-@query("stream_host_state", f"SELECT DISTINCT {HOST} AS host FROM fetch_log")
+_LAST_GOOD = f"SELECT {HOST} AS host, seq, (status = 0 OR status >= 500) AS bad FROM fetch_log"
+
+
+@query(
+    "stream_host_state",
+    f"""WITH e AS ({_LAST_GOOD}), r AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY host ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT host, seq, bool_or(bad) AS bad FROM e GROUP BY 1, 2)),
+n AS (SELECT host, run, count(*) FILTER (WHERE bad) AS fails FROM r GROUP BY 1, 2)
+SELECT host, max_by(fails, run)::BIGINT AS fails, CASE WHEN max(fails) >= {jobs.PARK_AFTER} THEN 'parked' ELSE 'ready' END AS state FROM n GROUP BY 1""",
+)
 def stream_host_state(spark: SparkSession, d: str) -> DataFrame:
-    return _run(jobs.host_states(_stream(spark, d)), "update").select("host").distinct()
+    """The last state of every host; replays of an event are dropped in the stream."""
+    return _run(jobs.host_states(_stream(spark, d)), "update").groupBy("host").agg(F.max_by("fails", "last_seq").alias("fails"), F.max_by("state", "last_seq").alias("state"))
 
 
 @query("stream_rollup_sink")

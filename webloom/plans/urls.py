@@ -101,7 +101,8 @@ def _script_sql() -> str:
     counts = ", ".join(f"length(regexp_replace(s, '[^{r}]', '', 'g')) AS {x}" for x, r in text.SCRIPTS)
     names = ", ".join(x for x, _ in text.SCRIPTS)
     cases = " ".join(f"WHEN {x} = top THEN '{x}'" for x, _ in text.SCRIPTS)
-    return f"""WITH l AS (SELECT seq, regexp_replace(coalesce(body,''), '[\\s\\p{{P}}\\p{{Nd}}]', '', 'g') AS s FROM docs),
+    head = "CASE WHEN strlen(body) <= 2001 THEN body ELSE left(body, len(list_filter(range(1, 2002), lambda k: strlen(left(body, k::INT - 1)) <= 2000))) END"
+    return f"""WITH l AS (SELECT seq, regexp_replace(coalesce({head},''), '[\\s\\p{{P}}\\p{{Nd}}]', '', 'g') AS s FROM docs),
 c AS (SELECT seq, length(s) AS n, {counts} FROM l), t AS (SELECT *, greatest({names}) AS top FROM c)
 SELECT seq, CASE WHEN n < 20 THEN '' WHEN top * 4 <= n THEN 'en' {cases} ELSE '' END AS script FROM t"""
 

@@ -31,13 +31,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, one machine) a temporary folder is made.
+    Only where it is unset and the master is this machine (tests, benchmarks) a
+    temporary folder is made; a cluster without the setting is an error.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder shared by the cluster")
         path = "file://" + tempfile.mkdtemp(prefix="webloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path

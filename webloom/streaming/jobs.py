@@ -50,24 +50,26 @@ def replay_dedupe(events: DataFrame) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(["seq"])
 
 
-HOST_STATE = "host string, fails long, state string"
+HOST_STATE = "host string, fails long, state string, last_seq long"
 
 
 def _host_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    fails, parked = state.get if state.exists else (0, False)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for bad in rows["bad"]:
-        fails = fails + 1 if bad else 0
+    fails, parked, last = state.get if state.exists else (0, False, -1)
+    rows = pd.concat(list(batches)).sort_values("seq").drop_duplicates("seq")
+    for seq, bad in zip(rows["seq"].tolist(), rows["bad"].tolist()):
+        if seq <= last:  # a replay
+            continue
+        fails, last = fails + 1 if bad else 0, seq
         parked = parked or fails >= PARK_AFTER
-    state.update((fails, parked))
-    yield pd.DataFrame({"host": [key[0]], "fails": [fails], "state": ["parked" if parked else "ready"]})
+    state.update((fails, parked, last))
+    yield pd.DataFrame({"host": [key[0]], "fails": [fails], "state": ["parked" if parked else "ready"], "last_seq": [last]})
 
 
 def host_states(events: DataFrame) -> DataFrame:
-    """Per micro-batch the state of its hosts: consecutive failures, parked from twelve on for good."""
+    """Per micro-batch the state of its hosts: consecutive failures, parked from twelve on for good; events not newer than the last are replays."""
     bad = ((F.col("status") == 0) | (F.col("status") >= 500)).alias("bad")
     narrow = events.select(host_key(F.col("host")).alias("host"), "seq", bad)
-    return narrow.groupBy("host").applyInPandasWithState(_host_state, HOST_STATE, "fails long, parked boolean", "update", GroupStateTimeout.NoTimeout)
+    return narrow.groupBy("host").applyInPandasWithState(_host_state, HOST_STATE, "fails long, parked boolean, last_seq long", "update", GroupStateTimeout.NoTimeout)
 
 
 def rollup_sink(table: str):
