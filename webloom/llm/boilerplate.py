@@ -28,10 +28,10 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -216,7 +216,7 @@ def page_order(docs: DataFrame) -> DataFrame:
     """Pages sorted so that the nearest urls of a host are neighbours."""
     host = F.rtrim(F.lower(F.coalesce("host", F.lit(""))), F.lit("."))
     path = F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-zA-Z]+://[^/]*", "")
-    pages = docs.where(F.length(F.trim(F.coalesce("body", F.lit("")))) > 0).select(
+    pages = docs.where(F.trim(F.coalesce("body", F.lit(""))) != "").select(
         "seq", F.coalesce("url", F.lit("")).alias("url"), "title", "body", host.alias("_host"), path.alias("_path")
     )
     return pages.repartitionByRange("_host", "_path", "seq").sortWithinPartitions("_host", "_path", "seq").select("seq", "url", "title", "body")
@@ -245,27 +245,41 @@ def furniture_templates(lines: DataFrame) -> DataFrame:
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.column("rows")
-        offsets, flat = rows.offsets.to_pylist(), rows.values
-        numbers, keys, bits, kinds = (flat.field(name).to_pylist() for name in ("line_no", "keys", "bits", "kind"))
-        cols: list[list] = [[], [], [], []]
-        for a, b in zip(offsets, offsets[1:]):
-            page = sorted(set(zip(numbers[a:b], keys[a:b], bits[a:b], kinds[a:b])))  # rows of one seq are the same page
-            gone, aside, skeleton = [], [], []
-            for (n, key, bit, _), out in zip(page, _gone([x[2] for x in page], [x[3] for x in page])):
-                if out:
-                    gone.append(n)
-                elif bit & (BYLINE | OWN):
-                    aside.append(n)
-                else:
-                    skeleton.append(key)
-            for c, v in zip(cols, (gone, aside, _hash_keys(skeleton), _hash_keys(skeleton[1:]))):
-                c.append(v)
-        arrays = [batch.column("seq"), pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["seq", "gone", "aside", "skeleton", "rest"])
-
-
-def _hash_keys(keys: list[int]) -> int:
-    return xxhash.xxh3_64_intdigest(array("q", keys).tobytes()) - (1 << 63) or 1 if keys else 0
+        offsets = rows.offsets.to_numpy()
+        page = np.repeat(np.arange(len(rows)), np.diff(offsets))
+        numbers, keys, bits, kinds = (rows.values.field(name).to_numpy()[offsets[0] : offsets[-1]] for name in ("line_no", "keys", "bits", "kind"))
+        place = page << 32 | numbers
+        order = np.argsort(place, kind="stable")
+        page, numbers, keys, bits, kinds = (x[order] for x in (page, numbers, keys, bits, kinds))
+        if (np.diff(place[order]) == 0).any():  # rows of one seq are the same page
+            order = np.lexsort((kinds, bits, keys, numbers, page))
+            rest = [x[order] for x in (page, numbers, keys, bits, kinds)]
+            new = np.ones(len(page), dtype=bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in rest])
+            page, numbers, keys, bits, kinds = (x[new] for x in rest)
+        listed = np.zeros(len(page), dtype=bool)
+        marked = (kinds != 0) | ((bits & (CAPS | SHARED | BYLINE)) == (CAPS | SHARED))
+        heads = page[kinds == 2]
+        cuts = np.searchsorted(page, np.arange(len(rows) + 1))
+        for i in np.unique(heads).tolist():
+            a, b = cuts[i], cuts[i + 1]
+            listed[a:b] = _gone(bits[a:b].tolist(), kinds[a:b].tolist())
+        gone = marked | listed
+        aside = ~gone & ((bits & (BYLINE | OWN)) != 0)
+        own = ~gone & ~aside
+        left = keys[own]
+        ends = np.concatenate([[0], np.cumsum(own)])[cuts].tolist()
+        skeletons = [_hash_keys(left[a:b]) for a, b in zip(ends, ends[1:])]
+        rests = [_hash_keys(left[a + 1 : b]) for a, b in zip(ends, ends[1:])]
+        arrays = [batch.column("seq")]
+        for flags in (gone, aside):
+            upto = np.concatenate([[0], np.cumsum(flags)])[cuts]
+            arrays.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(numbers[flags], pa.int32())))
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(skeletons, pa.int64()), pa.array(rests, pa.int64())], names=["seq", "gone", "aside", "skeleton", "rest"])
+
+
+def _hash_keys(keys: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63) or 1 if len(keys) else 0
 
 
 def _gone(bits: list[int], kinds: list[int]) -> list[bool]:
@@ -305,18 +319,33 @@ def judged_pages(docs: DataFrame) -> DataFrame:
 
 def own_pages(docs: DataFrame, *columns: str) -> DataFrame:
     """(seq, *columns, gone, aside, skeleton, rest) of every page with text; the bodies meet the line numbers by seq."""
-    judged = judged_pages(docs).withColumnRenamed("seq", "_seq")
-    pages = docs.where(F.length(F.trim(F.coalesce("body", F.lit("")))) > 0).select("seq", *columns)
+    judged = judged_pages(docs).withColumnRenamed("seq", "_seq").hint("shuffle_hash")  # a few numbers a page; the bodies need no sort
+    pages = docs.where(F.trim(F.coalesce("body", F.lit(""))) != "").select("seq", *columns)
     return pages.join(judged, F.col("seq") == F.col("_seq")).drop("_seq")
 
 
+def int_lists(column: pa.ListArray) -> list[list[int]]:
+    """A column of lists without nulls."""
+    offsets, values = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
+    values = values[offsets[0] : offsets[-1]].tolist()
+    return [values[a - offsets[0] : b - offsets[0]] for a, b in zip(offsets, offsets[1:])]
+
+
 def own_lines(body: str, gone: list[int], aside: list[int]) -> list[tuple[str, bool]]:
     """The page's own non-blank lines and whether each is a byline or heading."""
-    out, drop, beside = [], set(gone), set(aside)
-    for n, line in enumerate(body.split("\n"), 1):
-        if n not in drop and line and not line.isspace():
-            out.append((line, n in beside))
-    return out
+    return parted_lines(body, gone, aside)[0]
+
+
+def parted_lines(body: str, gone: list[int], aside: list[int]) -> tuple[list[tuple[str, bool]], list[str]]:
+    """:func:`own_lines` and the page's furniture lines."""
+    lines = body.split("\n")
+    furniture = [lines[n - 1] for n in gone]
+    for n in gone:
+        lines[n - 1] = ""
+    if aside:
+        beside = set(aside)
+        return [(line, n in beside) for n, line in enumerate(lines, 1) if line and not line.isspace()], furniture
+    return [(line, False) for line in lines if line and not line.isspace()], furniture
 
 
 def furniture(docs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from webloom.llm.boilerplate import own_lines, own_pages
+from webloom.llm.boilerplate import int_lists, own_pages, parted_lines
 from webloom.llm.lines import CLOSERS, END_MARKS, LONG_LINE, key64, squeeze, template
 from webloom.llm.residue import signed
 from webloom.session import materialize
@@ -81,14 +81,19 @@ Fact = tuple[str, str, Callable[[str, list[tuple[str, bool]], str, list[str], bo
 
 _CACHE_SENTENCES = 30_000
 #: Bytes scored in one go.
-_BLOCK_BYTES = 200_000
+_BLOCK_BYTES = 50_000
 _END = re.compile(r"[.!?…।؟。！？][\"'”’»)\]」』）]*(\s+)?")
 _THAI_BLANK = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _THAI = re.compile(r"[฀-๿]")
+_WHOLE_SIGN = re.compile(rf"[{END_MARKS}฀-๿]")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: By depth of context the bits of the bytes that count; where the depth stands in a key of the memo; slots of the memo.
+_MASKS = np.array([(1 << 8 * (k + 1)) - 1 for k in range(ORDER + 1)], dtype=np.uint64)
+_DEPTH_AT = np.uint64(8 * (ORDER + 1))
+_MEMO_BITS = 18
 
 
 def _pack(data: np.ndarray, k: int) -> np.ndarray:
@@ -108,9 +113,14 @@ class Trees:
     contexts: list[np.ndarray]
     escapes: list[np.ndarray]
     _direct: dict = field(default_factory=dict, repr=False)
+    #: The longest n-grams' costs and a row of zeros.
+    _blank: np.ndarray = field(default_factory=lambda: np.zeros(0), repr=False)
+    #: Costs of bytes after an escape that were met before, one key for each slot.
+    _memo: np.ndarray = field(default_factory=lambda: np.zeros(0), repr=False)
+    _memo_rows: np.ndarray = field(default_factory=lambda: np.zeros(0), repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_direct": {}}
+        return self.__dict__ | {"_direct": {}, "_blank": np.zeros(0), "_memo": np.zeros(0), "_memo_rows": np.zeros(0)}
 
     @staticmethod
     def fit(texts: dict[str, list[str]]) -> Trees:
@@ -158,9 +168,8 @@ class Trees:
         """Each text is coded after a line break, its end with another; no context reaches into the text before."""
         data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", dtype=np.uint8).astype(np.uint64)
         n = len(data)
-        sizes = np.array([len(x) + 1 for x in raw])
-        owner = np.repeat(np.arange(len(raw)), sizes)  # of the bytes after the first
-        depth = np.concatenate([[0], np.arange(n - 1) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1])
+        starts = np.cumsum([1, *(len(x) + 1 for x in raw)])  # of each text, and the end
+        owner = np.repeat(np.arange(-1, len(raw), dtype=np.int32), np.diff(starts, prepend=0))
         total = np.zeros((len(raw), len(LANGS)))
         key = np.zeros(n, dtype=np.uint64)  # of the ORDER + 1 bytes ending here
         for j in range(min(ORDER + 1, n)):
@@ -168,49 +177,87 @@ class Trees:
 
         def add(at: np.ndarray, rows: np.ndarray) -> None:
             """Sum of rows by the text that owns each position; positions ascend."""
-            who = owner[at - 1]
+            who = owner[at]
             first = np.concatenate([[0], np.flatnonzero(who[1:] != who[:-1]) + 1])
             total[who[first]] += np.add.reduceat(rows, first, axis=0)
 
-        waiting = np.ones(n, dtype=bool)
-        waiting[0] = False
+        # the first bytes of a text have shorter contexts
+        depth = np.full(n, ORDER, dtype=np.int8)
+        for k in range(ORDER - 1, 0, -1):
+            first = starts[:-1] + (k - 1)
+            depth[first[first < starts[1:]]] = k
+        if not len(self._blank):
+            self._blank = np.concatenate([self.costs[ORDER], np.zeros((1, len(LANGS)), dtype=np.float32)])
+        at, hit = self._find(self.grams, ORDER, key[1:])
+        hit &= depth[1:] == ORDER
+        at[~hit] = len(self.costs[ORDER])
+        total += np.add.reduceat(self._blank.take(at, axis=0, mode="clip"), starts[:-1] - 1, axis=0)
+        waiting = np.flatnonzero(~hit) + 1
+        asked = key[waiting] & _MASKS[depth[waiting]] | depth[waiting].astype(np.uint64) << _DEPTH_AT
+        slot = ((asked * _MIX) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
+        if not len(self._memo):
+            self._memo, self._memo_rows = np.zeros(1 << _MEMO_BITS, dtype=np.uint64), np.zeros((1 << _MEMO_BITS, len(LANGS)), dtype=np.float32)
+        known = self._memo[slot] == asked
+        if not known.all():
+            place, first = np.unique(slot[~known], return_index=True)
+            new = asked[~known][first]
+            self._memo[place], self._memo_rows[place] = new, self._escaped(new)
+            known = self._memo[slot] == asked
+        if known.any():
+            add(waiting[known], self._memo_rows.take(slot[known], axis=0))
+        if not known.all():  # another key has the slot
+            add(waiting[~known], self._escaped(asked[~known]))
+        return total
+
+    def _escaped(self, asked: np.ndarray) -> np.ndarray:
+        """Costs, by escapes through ever shorter contexts, of bytes that end no known n-gram of full length; given by the bytes that count and their depth."""
+        rows = np.zeros((len(asked), len(LANGS)), dtype=np.float32)
+        depth = (asked >> _DEPTH_AT).astype(np.int64)
+        left = np.arange(len(asked))
         for k in range(ORDER, -1, -1):
-            here = np.flatnonzero(waiting & (depth >= k) if k else waiting)
+            here = left[depth[left] >= k]
             if not len(here):
                 continue
-            want = key[here] & np.uint64((1 << 8 * (k + 1)) - 1)
-            at, hit = self._find(self.grams, k, want)
-            if hit.any():
-                found = here[hit]
-                waiting[found] = False
-                add(found, self.costs[k].take(at[hit], axis=0))
-            missed = here[~hit]
-            if len(missed):
-                at, known = self._find(self.contexts, k, want[~hit] >> np.uint64(8))
-                if known.any():
-                    add(missed[known], self.escapes[k].take(at[known], axis=0))
-        rest = np.flatnonzero(waiting)
-        if len(rest):
-            add(rest, np.full((len(rest), len(LANGS)), 8.0))
-        return total
+            want = asked[here] & _MASKS[k]
+            if k < ORDER:
+                at, hit = self._find(self.grams, k, want)
+                rows[here[hit]] += self.costs[k].take(at[hit], axis=0)
+                depth[here[hit]] = -1
+                here, want = here[~hit], want[~hit]
+            at, known = self._find(self.contexts, k, want >> np.uint64(8))
+            rows[here[known]] += self.escapes[k].take(at[known], axis=0)
+            left = left[depth[left] >= 0]
+        rows[left] += 8.0
+        return rows
 
     def _find(self, tables: list[np.ndarray], k: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each wanted key in a sorted table and whether it is there, by a hashed direct table."""
+        """Index of each wanted key in a sorted table and whether it is there, by hashed direct tables: a key whose slot is taken stands in the next one."""
         name = ("g" if tables is self.grams else "c", k)
-        if name not in self._direct:
-            keys, slots = tables[k], 1 << max(10, int(len(tables[k]) * 4).bit_length())
-            place = np.full(slots, -1, dtype=np.int32)
-            where = (keys * _MIX) >> np.uint64(64 - (slots.bit_length() - 1))
-            place[where[::-1].astype(np.int64)] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
-            self._direct[name] = (place, np.uint64(64 - (slots.bit_length() - 1)))
-        place, shift = self._direct[name]
         keys = tables[k]
-        at = place[((want * _MIX) >> shift).astype(np.int64)]
-        hit = (at >= 0) & (keys[at] == want)
-        unsure = np.flatnonzero(~hit & (at >= 0))
-        if len(unsure):  # another key has the slot
-            found = np.minimum(np.searchsorted(keys, want[unsure]), len(keys) - 1)
-            at[unsure], hit[unsure] = found, keys[found] == want[unsure]
+        if name not in self._direct:
+            self._direct[name], left = [], np.arange(len(keys), dtype=np.int32)
+            while len(left):
+                shift, mix = np.uint64(64 - max(10, int(len(left) * 4).bit_length())), _MIX ^ np.uint64(len(self._direct[name]) << 20)
+                place = np.full(1 << (64 - int(shift)), -1, dtype=np.int32)
+                where = ((keys[left] * mix) >> shift).astype(np.int64)
+                place[where[::-1]] = left[::-1]
+                self._direct[name].append((place, mix, shift))
+                left = left[place[where] != left]
+        (place, mix, shift), *others = self._direct[name]
+        slot = want * mix
+        slot >>= shift
+        at = place.take(slot.view(np.int64))
+        hit = keys.take(at, mode="wrap") == want
+        hit &= at >= 0
+        unsure = np.flatnonzero(~hit & (at >= 0)) if others else ()
+        for place, mix, shift in others:
+            if not len(unsure):
+                break
+            asked = want[unsure]
+            found = place[((asked * mix) >> shift).astype(np.int64)]
+            same = (found >= 0) & (keys[found] == asked)
+            at[unsure[same]], hit[unsure[same]] = found[same], True
+            unsure = unsure[~same & (found >= 0)]
         return at, hit
 
 
@@ -225,15 +272,17 @@ def sentences(text: str) -> list[str]:
                 out.append(line[at:end].strip())
                 at = end
         out.append(line[at:].strip())
-    if _THAI.search(text):
+    if not text.isascii() and _THAI.search(text):
         out = [x for s in out for x in _THAI_BLANK.split(s)]
     return [s for s in out if s]
 
 
 def is_whole(s: str, size: int | None = None) -> bool:
     """A whole sentence: long enough, closed by an end mark (or in Thai, which has none)."""
-    tail = s.rstrip(CLOSERS)
-    return bool(tail) and (len(s.encode()) if size is None else size) >= MIN_BYTES and (tail[-1] in END_MARKS or _THAI.search(s) is not None) and _LETTER.search(s) is not None
+    if (len(s.encode()) if size is None else size) < MIN_BYTES:
+        return False
+    tail = s if s[-1] in END_MARKS else s.rstrip(CLOSERS)
+    return bool(tail) and (tail[-1] in END_MARKS or not s.isascii() and _THAI.search(s) is not None) and _LETTER.search(s) is not None
 
 
 def decide(bits: np.ndarray, sizes: np.ndarray, rate: float = MARGIN_RATE) -> np.ndarray:
@@ -265,44 +314,58 @@ class PageLanguages:
         if (found := self.short.get(line)) is None:
             if len(self.short) > _CACHE_SENTENCES:
                 self.short.clear()
-            found = self.short[line] = [s for s in sentences(line) if _LETTER.search(s)]
+            found = self.short[line] = [s for s in sentences(line) if s[0].isalpha() or _LETTER.search(s)]
         return found
 
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code lengths, bytes and whether it is a whole sentence of each of the texts, which hold letters."""
+        known = self.known
+        if len(known) > _CACHE_SENTENCES:
+            known.clear()
+        bits, sizes, whole = np.empty((len(texts), len(LANGS))), np.empty(len(texts), dtype=np.int64), np.empty(len(texts), dtype=bool)
+        new = [i for i, s in enumerate(texts) if s not in known]
+        fresh = [texts[i] for i in new]
+        bits[new] = self.trees.code_lengths(fresh)
+        sizes[new] = lengths = [len(s) if s.isascii() else len(s.encode()) for s in fresh]
+        whole[new] = [is_whole(s, n) for s, n in zip(fresh, lengths)]
+        if len(new) < len(texts):
+            seen = np.ones(len(texts), dtype=bool)
+            seen[new] = False
+            for i in np.flatnonzero(seen).tolist():
+                bits[i], sizes[i], whole[i] = known[texts[i]]
+        for i, s in zip(new, fresh):
+            if len(s) <= 100:
+                known[s] = (bits[i].copy(), sizes[i], whole[i])
+        return bits, sizes, whole
+
     def conclude(self, pages: list[list[tuple[str, bool]]], broken: list[bool]) -> list[PageLanguage | None]:
         """For each page, given by its own lines and whether they are bylines or headings, and whether its body lost its breaks.
 
         Two or more whole sentences each make a mixed page; without a whole sentence all pieces count.
         """
-        known = self.known
-        if len(known) > _CACHE_SENTENCES:
-            known.clear()
         texts: list[str] = []
-        asides: list[bool] = []
+        asides: list[tuple[int, int]] = []
         lengths: list[int] = []
         for page in pages:
             before = len(texts)
             for line, aside in page:
-                found = self.split(line)
-                texts += found
-                asides += [aside] * len(found)
+                at = len(texts)
+                texts += self.split(line)
+                if aside:
+                    asides.append((at, len(texts)))
             lengths.append(len(texts) - before)
         if not texts:
             return [None] * len(pages)
-        new = list({s: None for s in texts if s not in known})
-        for s, row in zip(new, self.trees.code_lengths(new)):
-            size = len(s.encode())
-            known[s] = (row, size, is_whole(s, size))
-        units = [known[s] for s in texts]
-        for s in new:
-            if len(s) > 100:
-                del known[s]
+        place: dict[str, int] = {}
+        unit = np.array([place.setdefault(s, len(place)) for s in texts])
+        bits, sizes, whole = (x[unit] for x in self.measure(list(place)))
+        for i, j in asides:
+            whole[i:j] = False
         k = len(LANGS)
-        bits, sizes = np.array([u[0] for u in units]), np.array([u[1] for u in units])
-        whole = np.array([u[2] for u in units]) & ~np.array(asides)
         page = np.repeat(np.arange(len(pages)), lengths)
         best = bits.argmin(axis=1)
         main = np.bincount(page * k + best, weights=sizes, minlength=len(pages) * k).reshape(-1, k).argmax(axis=1)[page]
-        rows = np.arange(len(units))
+        rows = np.arange(len(texts))
         langs = np.where(bits[rows, main] - bits[rows, best] < np.maximum(MARGIN_BITS, MARGIN_RATE * sizes), main, best)
         group = page * k + langs
         counts = np.bincount(group[whole], minlength=len(pages) * k).reshape(-1, k)
@@ -311,30 +374,31 @@ class PageLanguages:
         single = np.where(counts.any(axis=1), counts.argmax(axis=1), weight.argmax(axis=1))
         order = np.argsort(group, kind="stable")
         first = np.flatnonzero(np.diff(group[order], prepend=-1))
-        sure = dict(zip(group[order][first].tolist(), confidence(np.add.reduceat(bits[order], first, axis=0)).tolist()))
+        sums = np.add.reduceat(bits[order], first, axis=0)
+        sure = dict(zip(group[order[first]].tolist(), confidence(sums).tolist()))
         starts = np.concatenate([[0], np.cumsum(lengths)])
         out: list[PageLanguage | None] = []
-        for i, n in enumerate(lengths):
+        for i, (n, several, one) in enumerate(zip(lengths, mixed.tolist(), single.tolist())):
             if not n:
                 out.append(None)
                 continue
-            several = sorted(np.flatnonzero(counts[i] >= 2).tolist(), key=lambda x: -counts[i, x]) if mixed[i] else [int(single[i])]
+            found = sorted(np.flatnonzero(counts[i] >= 2).tolist(), key=lambda x: -counts[i, x]) if several else [one]
             doubts = []
-            if mixed[i] and broken[i]:
+            if several and broken[i]:
                 doubts = [(LANGS[langs[j]], notice_key(texts[j])) for j in range(starts[i], starts[i + 1]) if whole[j]]
-            out.append(PageLanguage([LANGS[x] for x in several], [sure[i * k + x] for x in several], doubts))
+            out.append(PageLanguage([LANGS[x] for x in found], [sure[i * k + x] for x in found], doubts))
         return out
 
-    def notices(self, body: str, gone: list[int]) -> list[int]:
+    def notices(self, furniture: list[str]) -> list[int]:
         """Keys of the sentences in the page's furniture lines, those of lines seen before left out."""
         out: list[int] = []
-        if gone:
-            lines = body.split("\n")
-            for n in gone:
-                if (line := lines[n - 1]) not in self.told:
-                    if len(self.told) > _CACHE_SENTENCES:
-                        self.told.clear()
-                    self.told.add(line)
+        told = self.told
+        for line in furniture:
+            if line not in told:
+                if len(told) > _CACHE_SENTENCES:
+                    told.clear()
+                told.add(line)
+                if _WHOLE_SIGN.search(line):  # else nothing in it is whole
                     out += [notice_key(s) for s in self.split(line) if is_whole(s)]
         return out
 
@@ -364,7 +428,7 @@ def label_code(lang: Column) -> Column:
 
 def fit(docs: DataFrame) -> Trees:
     """Train on at most TRAIN_PAGES pages of each label."""
-    labelled = docs.where(F.length(F.trim(F.coalesce("body", F.lit("")))) > 40).select("seq", label_code(F.col("lang")).alias("code")).where(F.col("code").isin(*LANGS))
+    labelled = docs.where(F.length(F.left(F.trim(F.coalesce("body", F.lit(""))), F.lit(41))) > 40).select("seq", label_code(F.col("lang")).alias("code")).where(F.col("code").isin(*LANGS))
     order = W.partitionBy("code").orderBy(F.xxhash64("seq"), "seq")
     picked = labelled.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= TRAIN_PAGES).select(F.col("seq").alias("_seq"), "code").dropDuplicates(["_seq"])
     rows = docs.select("seq", "body").join(F.broadcast(picked), F.col("seq") == F.col("_seq")).select("seq", "code", "body").collect()
@@ -430,14 +494,16 @@ def conclude_pages(pages: DataFrame, trees: Broadcast, *facts: Fact) -> DataFram
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = PageLanguages(trees.value)
         for batch in batches:
-            codes, titles, bodies, gone, aside = (batch.column(c).to_pylist() for c in ("code", "title", "body", "gone", "aside"))
-            own = [own_lines(*x) for x in zip(bodies, gone, aside)]
+            codes, titles, bodies = (batch.column(c).to_pylist() for c in ("code", "title", "body"))
+            gone, aside = (int_lists(batch.column(c)) for c in ("gone", "aside"))
+            parts = [parted_lines(*x) for x in zip(bodies, gone, aside)]
+            own = [x for x, _ in parts]
             signs = signed(batch) if facts else [False] * len(bodies)
             cols: list[list] = [[] for _ in range(4 + len(facts))]
-            for code, title, body, out, lines, sign, found in zip(codes, titles, bodies, gone, own, signs, engine.conclude(own, ["\n" not in b for b in bodies])):
+            for code, title, (lines, furniture), sign, found in zip(codes, titles, parts, signs, engine.conclude(own, ["\n" not in b for b in bodies])):
                 langs = found.langs if found else []
                 doubts = [{"lang": x, "key": k} for x, k in found.doubts] if found else []
-                row = (langs, found.confidence if found else [], doubts, engine.notices(body, out), *(f(squeeze(title or ""), lines, code, langs, sign) for _, _, f in facts))
+                row = (langs, found.confidence if found else [], doubts, engine.notices(furniture), *(f(squeeze(title or ""), lines, code, langs, sign) for _, _, f in facts))
                 for c, v in zip(cols, row):
                     c.append(v)
             arrays = [batch.column(c) for c in kept] + [pa.array(c, f.type) for c, f in zip(cols, list(arrow)[len(kept) :])]
@@ -477,9 +543,14 @@ def page_languages(docs: DataFrame) -> DataFrame:
     return settle(materialize(conclude_pages(own_pages(docs, "host", "title", "body", "lang"), trees), "page-languages"))
 
 
+def may_be_named() -> Column:
+    """:func:`is_named` as a column; never null."""
+    return (F.size("langs") > 1) | F.coalesce(F.get("langs", F.lit(0)) != F.col("code"), F.lit(False))
+
+
 def named(languages: DataFrame) -> DataFrame:
-    """The pages whose label is missing or wrong, and the mixed ones: :func:`is_named` as a filter."""
-    return languages.where((F.size("langs") > 1) | (F.get("langs", F.lit(0)) != F.col("code")))
+    """The pages whose label is missing or wrong, and the mixed ones."""
+    return languages.where(may_be_named())
 
 
 def relabel(languages: DataFrame) -> DataFrame:
@@ -510,5 +581,5 @@ def label_passages(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    texts = docs.where(F.length(F.trim(F.coalesce("body", F.lit("")))) > 0).select("seq", "body")
+    texts = docs.where(F.trim(F.coalesce("body", F.lit(""))) != "").select("seq", "body")
     return texts.mapInArrow(label, "seq long, passage long, lang string, confidence double, n_sentences long, n_chars long")

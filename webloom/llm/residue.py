@@ -34,12 +34,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.boilerplate import own_lines, own_pages
@@ -58,6 +59,9 @@ FILLER_RATE = 0.015
 #: Bits of the bitmap of asked windows; a fuller bitmap only lets more rows through.
 WINDOW_BITS = 20
 
+#: Up to so many words of asked windows, only lines that hold one of them are aligned.
+MAX_WORDS = 500
+
 #: Slot markers of common template languages (fixed values).
 MARKER = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%[=-]?[^%\n]{1,60}%>|\[%[^%\n]{1,60}%\]|%%[A-Za-z_]\w*%%|%\([a-z_]+\)s"
@@ -74,6 +78,8 @@ _SIGNS = ("{", "<", "[", "%%", "%(", "@@", "__", "&lt;", "N/A", "n/a", "TBD", "T
 _VARIABLES = ("NAME", "TITLE", "DATE", "PRICE", "TEXT", "CITY", "EMAIL", "ADDRESS", "NUMBER")
 _ANY_SIGN = "|".join(map(re.escape, (*_SIGNS, *_VARIABLES)))
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+|(?<=[。！？])")
+#: The first end by ``_SENTENCE``, with its mark.
+_FIRST_END = re.compile(r"[.!?…][\"'”’»)\]]*\s+|[。！？](?:[\"'”’»)\]]*\s+)?")
 _FILLER = re.compile(r"\b(?:lorem|ipsum)\b", re.I)
 _DIGIT = re.compile("[0-9]")
 _PLAIN = re.compile(r"\b(?:the|and|of|in|is|der|die|und|le|les|et|los|que|para)\b", re.I)
@@ -92,7 +98,9 @@ class _Tokens(dict):
     def __missing__(self, t: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        if t in "\x00\x01":
+        if t.isalpha():
+            code = crc32(t.lower().encode()) | (_NAMED if t[0].isupper() else 0)
+        elif t in "\x00\x01":
             code = _CANDIDATE
         elif t == _BREAK:
             code = _STOP | _END
@@ -145,7 +153,7 @@ class Places:
             at = np.cumsum(keep)  # kept words up to each token
             ends = at[odd & stop] - 1  # a mark that stands alone ends the word before
             self.candidates = [(int(at[i]), toks[i] == "\x00") for i in np.flatnonzero(kinds & _CANDIDATE)]
-            self.toks = [t for t, k in zip(toks, keep.tolist()) if k]
+            self.toks = list(compress(toks, keep.tolist()))
             kinds, stop = kinds[keep], stop[keep]
             stop[ends[ends >= 0]] = True
         else:
@@ -181,12 +189,32 @@ class Places:
             gap += 1
         return False
 
+    def word(self, gap: int) -> str:
+        """The longest word beside the gap that every record of its window holds, in lower case; '' if there is none to look for."""
+        found = []
+        for i in range(gap - 1, max(-1, gap - 1 - SIDE), -1):
+            if self.stop[i]:
+                break
+            found.append(i)
+        for i in range(gap, min(len(self.toks), gap + SIDE)):
+            found.append(i)
+            if self.stop[i]:
+                break
+        words = [self.toks[i].strip(_AROUND).lower() for i in found if not self.value[i] and not self.end[i]]
+        return max((w for w in words if "\u0307" not in w), key=len, default="")  # the dot of a capital I that no pattern would find
+
     def key(self, gap: int) -> int:
         return int(np.int64(self.left[gap] ^ self.right[gap]))
 
 
 def slots(text: str) -> tuple[bool, list[tuple[int, bool]]]:
     """Whether a marker stands where nothing can talk about it; the windows (key, is a marker) of all other candidates."""
+    sure, windows = worded_slots(text)
+    return sure, [(key, marker) for key, marker, _ in windows]
+
+
+def worded_slots(text: str) -> tuple[bool, list[tuple[int, bool, str]]]:
+    """:func:`slots` with the word of each window by which its records are looked for."""
     lines = [x for x in text.split("\n") if _has_sign(x)]
     if not lines:
         return False, []
@@ -197,7 +225,7 @@ def slots(text: str) -> tuple[bool, list[tuple[int, bool]]]:
         if marker and not (key and places.closed(gap)):
             sure = True
         elif key:
-            out.append((key, marker))
+            out.append((key, marker, places.word(gap)))
     return sure, out
 
 
@@ -228,14 +256,26 @@ def aligned(text: str, windows: np.ndarray) -> Iterator[tuple[int, int]]:
             yield key, key64(" ".join(p.toks[gap : gap + width]))
 
 
+class _Plain(dict):
+    """Token -> its bare lower-case word; '' if it has none, holds digits or is a name."""
+
+    def __missing__(self, t: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        word = self[t] = "" if _codes[t] & (_EMPTY | _DIGIT_IN | _NAMED) else t.strip(_AROUND).lower()
+        return word
+
+
+_plain = _Plain()
+
+
 def skeleton_words(sentence: str) -> list[str]:
     """Words of a message in lower case, without names and anything that holds digits."""
-    out: list[str] = []
-    for t in sentence.split():
-        kind = _codes[t]
-        if not kind & (_EMPTY | _DIGIT_IN) and not (out and kind & _NAMED):
-            out.append(t.strip(_AROUND).lower())
-    return out
+    toks = sentence.split()
+    for i, t in enumerate(toks):
+        if not _codes[t] & (_EMPTY | _DIGIT_IN):  # the first word may look like a name
+            return [t.strip(_AROUND).lower(), *filter(None, map(_plain.__getitem__, toks[i + 1 :]))]
+    return []
 
 
 def message_sentences(lines: list[tuple[str, bool]]) -> list[list[str]]:
@@ -260,25 +300,26 @@ def is_filler(lines: list[tuple[str, bool]]) -> bool:
 
 
 #: Columns of :func:`page_facts`.
-FACTS = "struct<sure:boolean, windows:array<struct<key:long, marker:boolean>>, filler:boolean, heads:array<long>, halves:array<long>>"
+FACTS = "struct<sure:boolean, windows:array<struct<key:long, marker:boolean, word:string>>, filler:boolean, heads:array<long>, halves:array<long>>"
 
 
 def page_facts(title: str, lines: list[tuple[str, bool]], signed: bool = True) -> dict:
     """``signed``: a sign of a candidate may stand in the body.  What the judgement of one page needs: certain slots, windows, filler, keys of its first sentence and of halves of its first line."""
-    sure, windows = slots(title) if title else (False, [])
-    in_body, more = slots("\n".join([x for x, _ in lines])) if signed else (False, [])
+    sure, windows = worded_slots(title) if title else (False, [])
+    in_body, more = worded_slots("\n".join([x for x, _ in lines])) if signed else (False, [])
     line = next((x for x, aside in lines if not aside), "")
-    end = _SENTENCE.search(line)
-    first = skeleton_words(line[: end.start()] if end else line)
+    end = _FIRST_END.search(line)
+    first = skeleton_words(line[: end.start() + 1] if end else line)
     others = " ".join(skeleton_words(line[end.end() :])) if end else ""
     halves = [key64(f"{' '.join(first)} {others}")] if first or others else []
+    heads = sentence_keys(first)
     if len(first) >= MIN_WORDS:
-        halves += [key64(f"{k} {others}") for k in sentence_keys(first)]
+        halves += [key64(f"{k} {others}") for k in heads]
     return {
         "sure": sure or in_body,
-        "windows": [{"key": k, "marker": m} for k, m in {*windows, *more}],
+        "windows": [{"key": k, "marker": m, "word": w} for (k, m), w in {(k, m): w for k, m, w in (*windows, *more)}.items()],
         "filler": is_filler(lines),
-        "heads": sentence_keys(first),
+        "heads": heads,
         "halves": halves,
     }
 
@@ -289,13 +330,13 @@ def sentence_keys(words: list[str]) -> list[int]:
     return [key64("<" + " ".join(words[: max(1, half - 1)])), key64(">" + " ".join(words[half:] or words))] if words else []
 
 
-def signed(batch: pa.RecordBatch) -> list[bool]:
+def signed(batch: pa.RecordBatch, column: str = "body") -> list[bool]:
     """Whether a sign of a candidate stands in each body."""
-    return pc.match_substring_regex(batch.column("body"), _ANY_SIGN).to_pylist()
+    return pc.match_substring_regex(batch.column(column), _ANY_SIGN).to_pylist()
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("sure", pa.bool_()), ("windows", pa.list_(pa.struct([("key", pa.int64()), ("marker", pa.bool_())]))), ("filler", pa.bool_()), ("heads", pa.list_(pa.int64())), ("halves", pa.list_(pa.int64()))])
+    kind = pa.struct([("sure", pa.bool_()), ("windows", pa.list_(pa.struct([("key", pa.int64()), ("marker", pa.bool_()), ("word", pa.string())]))), ("filler", pa.bool_()), ("heads", pa.list_(pa.int64())), ("halves", pa.list_(pa.int64()))])
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in ("title", "body", "gone", "aside")), signed(batch))
         facts = [page_facts(squeeze(title or ""), own_lines(body, gone, aside), s) for title, body, gone, aside, s in rows]
@@ -313,18 +354,29 @@ def _bitmap(keys: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
+def _lines_with(words: list[str]) -> str | None:
+    """Pattern of the lines that may hold a record of windows with these words; None if any line may."""
+    return None if len(words) > MAX_WORDS or "" in words else "|".join(map(re.escape, sorted(words)))
+
+
 def aligned_places(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(key, n_values, n_empty): what the records of all texts hold at the asked windows (key)."""
+    """(key, n_values, n_empty): what the records of all texts hold at the asked windows (key, word).
+
+    If the windows have few words, only lines that hold one of them are aligned.
+    """
+    some = _lines_with([r["word"] for r in windows.select("word").distinct().limit(MAX_WORDS + 1).collect()])
+    windows = windows.select("key").distinct()
     asked = docs.sparkSession.sparkContext.broadcast(_bitmap(windows, WINDOW_BITS))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.frombuffer(asked.value, dtype=np.uint8)
         for batch in batches:
-            texts = []
-            for c in ("title", "body"):
-                column = batch.column(c)
-                signed = pc.match_substring_regex(column, _ANY_SIGN).to_pylist()
-                texts += [opened(x) if s else x for x, s in zip(column.to_pylist(), signed) if x]
+            columns = [batch.column(c).cast(pa.string()) for c in ("title", "body")]
+            lines = pa.chunked_array([pc.list_flatten(pc.split_pattern(x, "\n")) for x in columns]).unique()  # no window reaches across a line break
+            if some is not None:
+                lines = lines.filter(pc.match_substring_regex(lines, some, ignore_case=True))
+            signed = pc.match_substring_regex(lines, _ANY_SIGN).to_pylist()
+            texts = [opened(x) if s else x for x, s in zip(lines.to_pylist(), signed) if x]
             found: set[tuple[int, int]] = set()
             at = 0
             while at < len(texts):
@@ -343,16 +395,16 @@ def aligned_places(docs: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def open_slots(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(seq) of the pages with an unfilled slot, from (seq, facts)."""
-    each = facts.select("seq", F.explode("facts.windows").alias("w")).select("seq", "w.*")
+def open_slots(docs: DataFrame, facts: DataFrame, asked_for: Column) -> DataFrame:
+    """(seq) of the pages with an unfilled slot, from (seq, facts), among the pages ``asked_for``."""
+    each = facts.select("seq", asked_for.alias("_asked"), F.explode("facts.windows").alias("w")).select("seq", "_asked", "w.*")
     often = each.groupBy("key").agg(F.count_distinct("seq").alias("n"))
-    unsure = materialize(each.join(often, "key"), "windows")
+    unsure = materialize(each.where("_asked").drop("_asked").join(often, "key"), "windows")
     asked = unsure.where(~F.col("marker") | (F.col("n") > 1))
-    seen = aligned_places(docs, asked.select("key").distinct())
+    seen = aligned_places(docs, asked.select("key", "word"))
     judged = unsure.join(seen, "key", "left").na.fill(0, ["n_values", "n_empty"])
     marker = F.col("marker") & ((F.col("n") == 1) | (F.col("n_values") + F.col("n_empty") > 0))
-    return facts.where("facts.sure").select("seq").unionByName(judged.where(marker | (~F.col("marker") & (F.col("n_values") >= MIN_VALUES))).select("seq")).distinct()
+    return facts.where(asked_for & F.col("facts.sure")).select("seq").unionByName(judged.where(marker | (~F.col("marker") & (F.col("n_values") >= MIN_VALUES))).select("seq")).distinct()
 
 
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,26 +419,27 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["seq", "i", "n", "words", "heads"])
 
 
-def repeated_pages(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(seq) of the pages whose whole text is a template of ``MIN_HOSTS`` hosts, or aligns with the sentences of such."""
-    whole = facts.where("skeleton != 0 and not facts.sure and not facts.filler")
+def repeated_pages(docs: DataFrame, facts: DataFrame, asked_for: Column) -> DataFrame:
+    """(seq) of the pages ``asked_for`` whose whole text is a template of ``MIN_HOSTS`` hosts of any pages, or aligns with the sentences of such."""
+    whole = facts.withColumn("_asked", asked_for).where("skeleton != 0 and not facts.sure and not facts.filler")
     # the whole text, and the text with one half of its first sentence left open
     variants = F.explode(F.concat(F.array("skeleton"), F.transform("facts.halves", lambda h: F.xxhash64(h, "rest")))).alias("variant")
-    each = whole.select("seq", F.xxhash64(F.rtrim(F.lower(F.coalesce("host", F.lit(""))), F.lit("."))).alias("host"), variants)
+    each = whole.select("seq", "_asked", F.xxhash64(F.rtrim(F.lower(F.coalesce("host", F.lit(""))), F.lit("."))).alias("host"), variants)
     on_hosts = each.groupBy("variant", "host").agg(F.min("seq").alias("seq"))
     templates = on_hosts.groupBy("variant").agg(F.count("*").alias("n"), F.min("seq").alias("seq")).where(F.col("n") >= MIN_HOSTS)
     templates = materialize(templates.select("variant", "seq"), "page-templates")
-    repeated = materialize(each.join(templates.select("variant"), "variant", "left_semi").select("seq").distinct(), "repeated-pages")
-    whole = whole.select("seq", "gone", "aside", "facts.heads")
+    repeated = materialize(each.where("_asked").join(templates.select("variant"), "variant", "left_semi").select("seq").distinct(), "repeated-pages")
+    whole = whole.select("seq", "_asked", "gone", "aside", "facts.heads")
     bodies = docs.where("body is not null").select("seq", "body")
 
     def sentences(pages: DataFrame) -> DataFrame:
-        read = bodies.join(pages.select("seq", "gone", "aside"), "seq").dropDuplicates(["seq"])
+        few = materialize(pages.select("seq", "gone", "aside"), "message-numbers")  # if so few that they are broadcast, the bodies stay where they are
+        read = bodies.join(few, "seq").dropDuplicates(["seq"])
         return read.select("seq", "body", "gone", "aside").mapInArrow(_sentences, "seq long, i int, n int, words array<string>, heads array<long>")
 
     known = sentences(whole.join(templates.select("seq"), "seq", "left_semi")).dropDuplicates(["words"]).select(F.explode("heads").alias("head"), F.col("words").alias("known"))
     known = materialize(known, "message-templates")
-    rest = whole.join(repeated, "seq", "left_anti")
+    rest = whole.where("_asked").join(repeated, "seq", "left_anti")
     near = rest.select("seq", F.explode("heads").alias("head")).join(known.select("head").distinct(), "head", "left_semi").select("seq").distinct()
     tried = materialize(sentences(rest.join(near, "seq", "left_semi")), "message-pages")
     pairs = tried.select("seq", "i", "words", F.explode("heads").alias("head")).join(known, "head")
@@ -397,16 +450,27 @@ def repeated_pages(docs: DataFrame, facts: DataFrame) -> DataFrame:
     return repeated.unionByName(aligned_too)
 
 
-def judge(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(seq, kind), once for each page found, from materialised (seq, host, gone, aside, skeleton, rest, facts) of the pages with text."""
-    untexted = docs.where(F.length(F.trim(F.coalesce("body", F.lit("")))) == 0).where(F.col("title").rlike(r"[{\[%<@_#&]")).select("seq", "title")
-    found = open_slots(docs, facts).withColumn("kind", F.lit("open slot"))
-    found = found.unionByName(facts.where("facts.filler").select("seq", F.lit("filler").alias("kind")))
-    found = found.unionByName(repeated_pages(docs, facts).withColumn("kind", F.lit("repeated page")))
-    found = found.unionByName(untexted.mapInArrow(_title_only, "seq long, kind string"))
+def judge(docs: DataFrame, facts: DataFrame, asked_for: Column | None = None) -> DataFrame:
+    """(seq, kind), once for each page found, from materialised (seq, host, gone, aside, skeleton, rest, facts) of the pages with text.
+
+    With ``asked_for``, a condition on ``facts``, only the pages that meet it
+    are judged, by the windows and templates of all pages.
+    """
+    some = F.lit(True) if asked_for is None else asked_for
+    found = open_slots(docs, facts, some).withColumn("kind", F.lit("open slot"))
+    found = found.unionByName(facts.where(some & F.col("facts.filler")).select("seq", F.lit("filler").alias("kind")))
+    found = found.unionByName(repeated_pages(docs, facts, some).withColumn("kind", F.lit("repeated page")))
+    if asked_for is None:
+        found = found.unionByName(_untexted(docs))
     return found.groupBy("seq").agg(F.min("kind").alias("kind"))
 
 
+def _untexted(docs: DataFrame) -> DataFrame:
+    """(seq, kind) of the pages that have nothing but a title with an open slot."""
+    untexted = docs.where(F.length(F.trim(F.coalesce("body", F.lit("")))) == 0).where(F.col("title").rlike(r"[{\[%<@_#&]")).select("seq", "title")
+    return untexted.mapInArrow(_title_only, "seq long, kind string")
+
+
 def find_residue(docs: DataFrame) -> DataFrame:
     """(seq, kind): pages with an unfilled slot, or with nothing but messages or filler."""
     pages = own_pages(docs, "host", "title", "body")

@@ -42,9 +42,14 @@ MIN_STUFFED = 40
 
 _DIGITS = re.compile("[0-9]+")
 _TOKEN = re.compile(r"\x00|[^\W\d_぀-ヿ㐀-鿿฀-๿]+|[0-9]+|[぀-ヿ㐀-鿿]|[฀-๿]{1,4}|[#|]")
-_ASCII_TOKEN = re.compile(r"\x00|[a-z]+|0|[#|]")
-_BREAK = re.compile(r"(?<=[.!?…。！？।؟])[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
+_UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
+_SPACED_TOKEN = re.compile(r"[^\W\d_]+|[\x000#|]")
+_ASCII_TOKEN = re.compile(r"[a-z]+|[\x000#|]")
+#: A mark that ends a segment and what is dropped after it.
+_BREAK = re.compile(r"[.!?…।؟][\"'”’»)\]]*\s+|[。！？](?:[\"'”’»)\]]*\s+)?")
 _LINKS = re.compile(r"https?://|www\.|\.(?:com|net|org|example)\b|(?:^|[\s,;])#\w|\bSKU\b|[|;•]\s|_\w+_")
+#: One of these stands in every text in which ``_LINKS`` finds something.
+_LINK_SIGNS = ("://", "www.", ".com", ".net", ".org", ".example", "#", "SKU", "|", ";", "•", "_")
 _THAI = re.compile(r"[\u0e00-\u0e7f]{12}")
 _NEUTRAL = re.compile(r"^(?:[0-9]+(?:[.,/][0-9]+)? ?\w{1,3}\s|\[[0-9]+\]|[0-9]+[.)]\s|[-–—•*]\s)")
 
@@ -132,30 +137,90 @@ def _automaton(tokens: list[int]) -> tuple[list[int], list[tuple[int, int, int]]
     return cover, [(count[v], length[v], end[v]) for v in order if count[v] >= MIN_TIMES and length[v] >= 2]
 
 
-def page_stuffing(lines: list[tuple[str, bool]]) -> tuple[int, int]:
-    """Stuffed and honest characters of a page, given by its own lines and whether they are bylines or headings."""
+def _segments(lines: list[tuple[str, bool]]) -> tuple[list[str], list[str], list[int]]:
+    """Segments of the own lines that are no bylines or headings, their tokens, and the bounds of each segment's tokens."""
     segments: list[str] = []
     for line, aside in lines:
         if aside:
             continue
         if len(line) > 60:
-            segments.extend(s for s in _BREAK.split(line) if s and not s.isspace())
+            at = 0
+            for m in _BREAK.finditer(line):
+                segments.append(line[at : m.start() + 1])
+                at = m.end()
+            segments.append(line[at:])
         else:
             segments.append(line)
-    tokens: list[str] = []
-    bounds = [0]
+    segments = [s for s in segments if s and not s.isspace()]
     text = _DIGITS.sub("0", "\x00".join(segments).lower())
-    for t in (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text):
-        if t == "\x00":
-            bounds.append(len(tokens))
-        else:
-            tokens.append(t)
+    found = (_ASCII_TOKEN if text.isascii() else _TOKEN if _UNSPACED.search(text) else _SPACED_TOKEN).findall(text)
+    tokens: list[str] = []
+    bounds, at = [0], 0
+    for _ in range(found.count("\x00")):
+        end = found.index("\x00", at)
+        tokens += found[at:end]
+        bounds.append(len(tokens))
+        at = end + 1
+    tokens += found[at:]
     bounds.append(len(tokens))
+    return segments, tokens, bounds
+
+
+def _is_clause(s: str, n_tokens: int) -> bool:
+    tail = s.rstrip().rstrip(CLOSERS)
+    return bool(tail) and n_tokens >= 3 and (tail[-1] in END_MARKS or _THAI.search(s) is not None)  # Thai has no end marks
+
+
+def page_stuffing(lines: list[tuple[str, bool]]) -> tuple[int, int]:
+    """Stuffed and honest characters of a page, given by its own lines and whether they are bylines or headings."""
+    return _weigh(*_segments(lines))
+
+
+def page_is_spam(lines: list[tuple[str, bool]]) -> bool:
+    """:func:`is_spam` of :func:`page_stuffing`.
+
+    Where no phrase is frequent enough to be stuffing, a clause that cannot be
+    a list of links is honest whatever repeats in it; if such clauses outweigh
+    all the rest, the repeats need not be known.
+    """
+    segments, tokens, bounds = _segments(lines)
+    if not _may_recur(tokens, _phrase_times(segments)):
+        upto = [0, *accumulate(map(len, tokens))]
+        linked = _may_link("\n".join(segments))
+        doubtful = honest = 0
+        for s, a, b in zip(segments, bounds, bounds[1:]):
+            if _is_clause(s, b - a) and not (linked and _LINKS.search(s)):
+                honest += upto[b] - upto[a]
+            else:
+                doubtful += upto[b] - upto[a]
+        if not is_spam(doubtful, honest):
+            return False
+    return is_spam(*_weigh(segments, tokens, bounds))
+
+
+def _phrase_times(segments: list[str]) -> float:
+    return max(MIN_TIMES + 2, PHRASE_RATE * len(segments))
+
+
+def _may_link(text: str) -> bool:
+    for x in _LINK_SIGNS:
+        if x in text:
+            return True
+    return False
+
+
+def _may_recur(tokens: list[str], need: float) -> bool:
+    """Whether two neighbouring tokens recur ``need`` times."""
+    often = {t for t, n in Counter(tokens).items() if n >= need}
+    return bool(often) and any(n >= need for n in Counter([p for p in zip(tokens, tokens[1:]) if p[0] in often and p[1] in often]).values())
+
+
+def _weigh(segments: list[str], tokens: list[str], bounds: list[int]) -> tuple[int, int]:
     widths = list(map(len, tokens))
     cover, repeats = repeated_cover(tokens)
     upto = [0, *accumulate(widths)]
     covered_upto = [0, *accumulate(map(mul, widths, cover))]
-    need = max(MIN_TIMES + 2, PHRASE_RATE * len(segments))
+    need = _phrase_times(segments)
     best = max(((times * (upto[e + 1] - upto[e - ln + 1]), ln, e) for times, ln, e in repeats if times >= need), default=None)
     phrase_upto = None
     if best:
@@ -173,8 +238,7 @@ def page_stuffing(lines: list[tuple[str, bool]]) -> tuple[int, int]:
             continue
         covered = (covered_upto[b] - covered_upto[a]) / size
         on_phrase = (phrase_upto[b] - phrase_upto[a]) / size if phrase_upto else 0.0
-        tail = s.rstrip().rstrip(CLOSERS)
-        clause = bool(tail) and b - a >= 3 and (tail[-1] in END_MARKS or _THAI.search(s) is not None)  # Thai has no end marks
+        clause = _is_clause(s, b - a)
         links = (not clause or covered > 0.3) and _LINKS.search(s) is not None
         clause = clause and not links
         if on_phrase >= 0.25 or (not clause and (links or (covered >= MIN_COVER and not _NEUTRAL.match(s)))):
