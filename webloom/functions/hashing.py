@@ -58,7 +58,18 @@ def bands(fp: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.call_function("shiftright", fp, i * 8).bitwiseAND(F.lit(255)).cast("int"))
 
 
-_TOKEN = regex.compile(r"[\p{L}\p{Nd}]+")
+class _Folded(dict):
+    """For str.translate: token characters in lower case (final sigma and dotted I as in ``fold``), a blank for all others; filled as they occur."""
+
+    _token = regex.compile(r"[\p{L}\p{Nd}]")
+
+    def __missing__(self, code: int) -> str:
+        c = {0x3A3: "\u03c3", 0x130: "i"}.get(code, chr(code))
+        self[code] = out = c.lower() if self._token.match(c) else " "
+        return out
+
+
+_FOLDED = _Folded()
 _hashes: dict[str, int] = {}
 
 
@@ -71,7 +82,7 @@ def fnv64_text(s: str) -> int:
 
 def fingerprint_text(text: str | None) -> int:
     """SimHash of words and adjacent word pairs, as a signed integer; 0 without words."""
-    words = [w.lower() for w in _TOKEN.findall((text or "").translate({0x3A3: 0x3C3, 0x130: 0x69}))]
+    words = (text or "").translate(_FOLDED).split()
     if not words:
         return 0
     features = words + [a + b for a, b in zip(words, words[1:])]
