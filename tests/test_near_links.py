@@ -61,3 +61,12 @@ def test_tokens_of_all_letters():
         text = f"A{c}b"
         want = [w.lower() for w in hashing.regex.findall(r"[\p{L}\p{Nd}]+", text.replace("Σ", "σ").replace("İ", "i"))]
         assert text.translate(hashing._FOLDED).split() == want
+
+
+def test_pairs_of_a_dense_group_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "_BLOCK", 40)
+    fps = _dense(300)
+    df = spark.createDataFrame(list(enumerate(fps)), "seq long, fp long")
+    got = dedup.near_pairs(df)
+    assert sorted(map(tuple, got.collect())) == [(a, b, ((a ^ b) & (2**64 - 1)).bit_count()) for i, a in enumerate(fps) for b in fps[i + 1 :] if _is_near(a, b)]
+    assert "Join" not in got._jdf.queryExecution().toString()

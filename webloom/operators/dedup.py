@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.hashing import NEAR_BITS, fingerprint, hamming, is_near
+from webloom.functions.hashing import NEAR_BITS, fingerprint, is_near
 from webloom.session import materialize
 
 
@@ -125,18 +125,22 @@ def near_links(known: DataFrame) -> DataFrame:
     return found.groupBy("fp").agg(F.sum("n_links").alias("n_links"), F.min("before").alias("before"))
 
 
+def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    one, two, a, b = _read(batches)
+    left = one["fp"].to_numpy()
+    right = left if b is None else two["fp"].to_numpy()
+    for i, j, distance in _near(a, b):
+        x, y = left[i], right[j]
+        yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "distance": distance.astype(np.int32)})
+
+
 def near_pairs(fps: DataFrame) -> DataFrame:
     """(a, b, distance) of distinct fingerprints that share a byte band and differ in at most eight bits, a < b.
 
-    Fingerprints within eight bits differ in at most two bits in one of their
-    four quarters, so they meet if each side looks every quarter up as it is and
-    with one bit flipped; no pair is lost.  The byte-band rule is applied after.
+    Any two fingerprints meet in one cell, so no pair is lost and none comes out twice.
     ``fps`` is read several times: pass a materialised table.
     """
-    one = classes(fps).select("fp")
-    left, right = _keyed(one.select(F.col("fp").alias("a")), "a", _ONE_FLIP), _keyed(one.select(F.col("fp").alias("b")), "b", _ONE_FLIP)
-    near = left.join(right, ["q", "v"]).where((F.col("a") < F.col("b")) & is_near(F.col("a"), F.col("b")))
-    return near.where(shares_band(F.col("a"), F.col("b"))).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance")).distinct()
+    return _cells(classes(fps).select("fp")).groupBy("cell").applyInArrow(_cell_pairs, "a long, b long, distance int")
 
 
 def shares_band(a, b):
