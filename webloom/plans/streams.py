@@ -18,7 +18,10 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
     """Result rows through a file sink in the shared folder (append) or the memory sink (complete, update)."""
-    return jobs.run_to_memory(stream, "s_" + uuid.uuid4().hex, mode)
+    name = "s_" + uuid.uuid4().hex
+    if mode == "append":
+        return jobs.run_to_files(stream, f"{scratch_dir(stream.sparkSession).rstrip('/')}/{name}")
+    return jobs.run_to_memory(stream, name, mode)
 
 
 _COUNTS = "sum(ok::INT)::BIGINT AS pages, sum((NOT ok)::INT)::BIGINT AS errors, sum(CASE WHEN ok THEN bytes ELSE 0 END)::BIGINT AS bytes"
